@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, pii
+from . import byte_bpe, chat_format, language_id, pii
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -34,5 +34,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_language_id, op8_pii)}
-ORACLE: dict[str, str] = {}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.sql(r"SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select(*odd.columns).unionByName(odd)
+    return chat_format.digest(chat_format.windows(turns))
+
+
+QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
+ORACLE: dict[str, str] = {"op10_chat_format": chat_format.ORACLE}
