@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, pii
+from . import byte_bpe, chat_format, language_id, pii, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -19,6 +20,15 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
+    labelled = pages.join(labels, "page_id").select("url", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("verdict"))
+    judged = url_filter.judge(pages, labelled)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "fired")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,5 +50,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
 ORACLE: dict[str, str] = {"op10_chat_format": chat_format.ORACLE}
