@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, pii, url_filter
+from . import byte_bpe, chat_format, language_id, license_scan, pii, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
@@ -50,5 +54,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
-ORACLE: dict[str, str] = {"op10_chat_format": chat_format.ORACLE}
+QUERIES = {f.__name__: f for f in (op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
+ORACLE: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE}
