@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, license_scan, pii, url_filter
+from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, pii, url_filter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,11 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract_text(pages, html_extract.fit(pages))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,5 +63,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE}
