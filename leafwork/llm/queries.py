@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, pii, url_filter
+from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, pii, url_filter, vector_graph
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -57,11 +57,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_graph.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.sql(r"SELECT -7L AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select(*odd.columns).unionByName(odd)
     return chat_format.digest(chat_format.windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op9_vector_graph, op10_chat_format)}
 ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE}
