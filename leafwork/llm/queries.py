@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, pii, url_filter, vector_graph
+from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, ngram_join, pii, url_filter, vector_graph
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extract_text(pages, html_extract.fit(pages))
@@ -68,5 +72,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op9_vector_graph, op10_chat_format)}
-ORACLE: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op9_vector_graph, op10_chat_format)}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE}
