@@ -291,6 +291,25 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return tokens.select(kept).mapInArrow(run, schema)
 
 
+def tokenize(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """The documents with all their columns and ids, n_tokens, and lossless: whether the ids decode to the text."""
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "lossless")]
+
+    def run(batches):
+        own = coder(path)
+        for b in text_slices(batches, text_col):
+            texts = b.column(kept.index(text_col))
+            got = own.encode(texts)
+            data, begin, _ = own.decode(got)
+            raw = data.tobytes()
+            same = [raw[s:e] == (t or "").encode() for s, e, t in zip(begin[:-1].tolist(), begin[1:].tolist(), texts.to_pylist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(got.at, pa.int32()), pa.array(got.ids, pa.int32()))
+            yield pa.record_batch([*b.columns, ids, pa.array(np.diff(got.at)), pa.array(same)], names=[*kept, "ids", "n_tokens", "lossless"])
+
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
+    return docs.select(kept).mapInArrow(run, T.StructType([*docs.select(kept).schema, *more]))
+
+
 def _sha(parts: Iterator[bytes]) -> list[str]:
     return [hashlib.sha256(p).hexdigest() for p in parts]
 

@@ -135,14 +135,14 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
 
 
 def mask(text: str | None, found: list[tuple[str, int, int, float]]) -> str | None:
-    """The text with each found span replaced by its kind in brackets; overlaps go to the earlier, longer span."""
+    """The text with each found span replaced by its kind in brackets; spans that overlap are replaced as one."""
     if not found:
         return text
     out, done = [], 0
     for kind, s, e, _ in sorted(found, key=lambda x: (x[1], -x[2])):
         if s >= done:
             out += [text[done:s], f"[{kind.upper()}]"]
-            done = e
+        done = max(done, e)
     return "".join(out) + text[done:]
 
 
