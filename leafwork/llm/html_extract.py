@@ -36,7 +36,7 @@ WORD = 1.0
 OUTSIDE = -1.5
 #: Words of elements that are left out, where no article is marked: content may go on after them.
 LEFT_OUT = -0.4
-LEAST, MOST, UNKNOWN = 0.05, 4.0, 0.5
+LEAST, MOST, UNKNOWN = 0.05, 4.0, 0.2
 
 # Elements that are read over, that aren't content, and that don't part words.
 RAW = frozenset("script style noscript template title textarea svg math iframe object select xmp noembed noframes".split())
