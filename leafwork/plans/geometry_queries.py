@@ -158,3 +158,16 @@ def w13_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a19_merged_rects", None)
 def a19_merged_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged(_kind(spark, sf_dir, "drawing"))
+
+
+@query("p4_p10_clean_blocks", "SELECT book_id, page_no, CAST(chars % 5 AS BIGINT) AS block, count(*) AS lines, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rects WHERE cos(item_no % 4 * pi() / 2) > 0.99 AND abs(sin(item_no % 4 * pi() / 2)) < 0.05 GROUP BY ALL")
+def p4_p10_clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angle = F.col("item_no") % 4 * F.pi() / 2
+    level = page_rects(spark, sf_dir).where((F.cos(angle) > 0.99) & (F.abs(F.sin(angle)) < 0.05))
+    return level.groupBy("book_id", "page_no", (F.col("chars") % 5).cast("long").alias("block")).agg(F.count("*").alias("lines"), *bounds())
+
+
+@query("s4_s5_image_and_drawing_scans", "SELECT book_id, page_no, count(*) FILTER (WHERE kind = 'image') AS images, count(DISTINCT CASE WHEN kind = 'image' THEN digest END) AS digests, count(*) FILTER (WHERE kind = 'drawing') AS drawings FROM rects GROUP BY ALL")
+def s4_s5_image_and_drawing_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("kind")
+    return page_rects(spark, sf_dir).groupBy("book_id", "page_no").agg(F.count_if(kind == "image").alias("images"), F.countDistinct(F.when(kind == "image", F.col("digest"))).alias("digests"), F.count_if(kind == "drawing").alias("drawings"))

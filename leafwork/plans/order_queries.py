@@ -154,3 +154,10 @@ def u3_distinct_used_u5_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     own = lambda c: li.where(c).select("l_orderkey", "l_linenumber")
     return own("l_quantity > 20").subtract(own("l_discount > 0.05")).union(own("l_tax = 0")).distinct()
+
+
+@query("o7_names_by_case", "SELECT c_mktsegment, string_agg(CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE lower(c_name) END, ',' ORDER BY lower(c_name)) AS names FROM customer GROUP BY ALL")
+def o7_names_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).otherwise(F.lower("c_name"))
+    ordered = F.sort_array(F.collect_list(F.struct(F.lower("c_name").alias("k"), name.alias("n"))))
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.array_join(F.transform(ordered, lambda x: x.n), ",").alias("names"))
