@@ -35,9 +35,10 @@ def reading_order(items: DataFrame, keys: list[str], depth: int = 8, tie: str =
 
     A region is cut into bands and each band into columns, which are regions again; every pass
     adds a step to the items' paths, until a region is one column. Passes are bounded by how
-    deep columns nest on real pages; each is two windows over one partitioning.
+    deep columns nest on real pages. Items are dealt out by page once: every window's keys hold the
+    page's, so no pass shuffles again.
     """
-    out = items.withColumn("path", F.array().cast("array<long>"))
+    out = items.repartition(*keys).withColumn("path", F.array().cast("array<long>"))
     for _ in range(depth):
         region = [*keys, "path"]
         w = Window.partitionBy(*region)
