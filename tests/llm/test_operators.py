@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import json
 import random
 
 import numpy as np
