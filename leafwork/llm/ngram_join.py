@@ -6,8 +6,8 @@ singletons: the cell of a shingle's singleton holds the sets that contain it, at
 1 - 1/n. A set belongs to the cell of its rarest shingle, and is replicated to the next
 n - ceil(0.75 n) cells, a window that holds a common cell for every two linked sets. In each
 cell a document becomes the pivot and all others are compared with it. Cells whose sets are all in
-one class are done; the others recurse with further pivots from the rest, and end with a join of
-the pairs that are left, pruned by size and by the triangle inequality with their distances
+one class are done; the others recurse without their pivot, and end with a join of the pairs that
+are left, pruned by size and by the triangle inequality with their distances
 to the cell's pivot. Nothing is capped, so all links between classes are found.
 
 Sets are held as 64-bit shingle hashes; rarity is estimated by one row of counters over the whole
@@ -22,19 +22,21 @@ table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import dropped, saved
 from .textarrays import mix, shingle_sets, text_slices
 
 PERCENT = 75
-#: Counters of shingle frequency: 4 MB that every task gets.
-SKETCH_BITS = 20
-_BLOCK = 1 << 14
-_SALTS = 1024
+#: Counters of shingle frequency: 16 MB that every task gets.
+SKETCH_BITS = 22
+_BLOCK = 1 << 16
+#: Tasks whose counters are added up in one call.
+_FAN_IN = 64
 #: Rounds with new pivots before the pairs that are left are joined.
 ROUNDS = 3
 
@@ -52,7 +54,7 @@ def summaries(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        total, mask = np.zeros(1 << bits, np.int64), np.uint64((1 << bits) - 1)
+        total, mask = np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
         for b in text_slices(batches):
             n, f1, f2 = [], [], []
             sets = list(shingle_sets(b.column(1)))
@@ -61,25 +63,23 @@ def summaries(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 n.append(len(x))
                 f1.append(a)
                 f2.append(c)
-            total += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(total))
+            np.add.at(total, (np.concatenate(sets) & mask).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), none, none, pa.nulls(len(n), pa.binary())], schema=schema)
-        salt = TaskContext.get().partitionId() % _SALTS
+        salt = TaskContext.get().partitionId() // _FAN_IN
         for k in range(0, len(total), _BLOCK):
             part = total[k : k + _BLOCK]
             if part.any():
-                raw = pa.compress(part.tobytes(), "zstd", asbytes=True)
+                raw = pa.compress(part.astype(np.int64).tobytes(), "zstd", asbytes=True)
                 yield pa.record_batch([pa.nulls(1, pa.int64())] * 4 + [pa.array([k // _BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([raw], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, block int, salt int, counts binary")
 
 
 def counters(made: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """The counters of all tasks, added up in two steps; what comes to the driver is 2 ** bits numbers."""
-
-    def add(rows):
-        import pandas as pd
+    """The counters of all tasks, added up as a tree; what comes to the driver is 2 ** bits numbers."""
 
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_BLOCK, np.int64)
         for raw in rows["counts"]:
             total += np.frombuffer(pa.decompress(raw, 8 * _BLOCK, "zstd", asbytes=True), np.int64)
@@ -87,11 +87,13 @@ def counters(made: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         return pd.DataFrame([[first["block"], first["salt"], pa.compress(total.tobytes(), "zstd", asbytes=True)]], columns=["block", "salt", "counts"])
 
     kind = "block int, salt int, counts binary"
-    rows = made.where("block is not null").select("block", "salt", "counts").groupBy("block", "salt").applyInPandas(add, kind)
+    rows = made.where("block is not null").select("block", "salt", "counts")
+    for fan_in in (1, _FAN_IN, _FAN_IN**2):
+        rows = rows.withColumn("salt", F.expr(f"cast(salt div {fan_in} as int)")).groupBy("block", "salt").applyInPandas(add, kind)
     out = np.zeros(1 << bits, np.uint32)
-    for block, _, raw in rows.groupBy("block").applyInPandas(add, kind).collect():
+    for block, _, raw in rows.collect():
         part = np.frombuffer(pa.decompress(bytes(raw), 8 * _BLOCK, "zstd", asbytes=True), np.int64)
-        out[block * _BLOCK : (block + 1) * _BLOCK] = np.minimum(part, (1 << 31) - 1)
+        out[block * _BLOCK : (block + 1) * _BLOCK] += np.minimum(part, (1 << 31) - 1).astype(np.uint32)
     return out
 
 
@@ -168,13 +170,15 @@ def components(edges: DataFrame) -> DataFrame:
     label = None
     while True:
         both = rest.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(rest.select(F.col("b").alias("id"), F.col("a").alias("to")))
-        to = saved(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("to")), "pointers")
-        if to.isEmpty():
+        near = saved(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("to")), "pointers")
+        if near.isEmpty():
             break
+        to = near
         for _ in range(2):
             jump = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
             to = to.join(jump, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
         to = saved(to, "pointers")
+        dropped(near)
         ends = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
         half = rest.join(ends, "a").select("b", "x")
         rest = saved(half.join(ends.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
@@ -195,6 +199,21 @@ def _mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
     return now.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo < hi").select("cell", "id", "n", "label")
 
 
+def _crowded(members: DataFrame, percent: int) -> DataFrame:
+    """Members of a cell that another one's size lets link: the next smaller or larger tells."""
+    by_size = Window.partitionBy("cell").orderBy("n")
+    near = members.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    return near.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("cell", "id", "n")
+
+
+def _distinct_cells(members: DataFrame) -> DataFrame:
+    """Of cells with the same members (told by two hashes of their sets and the size) only one."""
+    of = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "id"))
+    told = members.groupBy("cell").agg(of(1).alias("h1"), of(2).alias("h2"), F.count("*").alias("size"))
+    kept = told.groupBy("h1", "h2", "size").agg(F.min("cell").alias("cell")).select("cell")
+    return members.join(kept, "cell", "left_semi")
+
+
 def _fits(a: str, b: str, percent: int):
     """Whether sizes let two sets link."""
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
@@ -209,16 +228,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     classes = saved(own.join(same, ["n", "f1", "f2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "classes")
 
     by = Window.partitionBy("cell")
-    crowded = lambda df: df.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo < hi").select("cell", "id", "n")
-    shared = saved(crowded(cells(texts, counters(made), percent)), "cells")
+    shared = saved(_crowded(cells(texts, counters(made), percent), percent), "cells")
+    dropped(made)
     reps = classes.where("n_shingles > 0 and id is not null").select("id", "rep").distinct()
-    members = saved(crowded(shared.join(reps, "id").select("cell", F.col("rep").alias("id"), "n").distinct()), "members")
+    members = saved(_distinct_cells(_crowded(shared.join(reps, "id").select("cell", F.col("rep").alias("id"), "n").distinct(), percent)), "members")
+    dropped(shared)
     ids = members.select("id").distinct()
     held = saved(sets(texts.join(ids, "id", "left_semi")), "sets")
 
-    label, links, tested, last = None, None, None, None
+    label, links, tested, last, open_ = None, None, None, None, members
     for turn in range(rounds):
-        mixed = saved(_mixed(members, label), "mixed") if turn else _mixed(members, None)
+        mixed = saved(_mixed(open_, label), "mixed") if turn else _mixed(members, None)
         if turn:
             each = mixed.groupBy("cell", "label").count()
             left = each.groupBy("cell").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
@@ -227,10 +247,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
             if last is not None and left > 0.5 * last:
                 break
             last = left
-        # The pivot of a cell: first its smallest document, then the smallest of those not in the first one's class.
+        # The pivot of a cell: first its smallest document, then the smallest of those not in the smallest class.
         lead = mixed.withColumn("lo", F.min("label").over(by)) if turn else mixed.withColumn("lo", F.lit(None).cast("long"))
         pivot = F.min(F.when(F.col("lo").isNull() | (F.col("label") != F.col("lo")), F.struct("id", "n", "label"))).over(by)
-        pairs = lead.withColumn("p", pivot).where((F.col("p.label") != F.col("label")) & _fits("n", "p.n", percent))
+        lead = lead.withColumn("p", pivot)
+        pairs = lead.where((F.col("p.label") != F.col("label")) & _fits("n", "p.n", percent))
         pairs = pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -238,8 +259,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         tested = now if tested is None else tested.unionByName(now)
         links = tested.where(linked(percent)).select("a", "b")
         label = components(links)
+        # The pivot has met all others of its cell; the rest recurse without it.
+        open_ = lead.where(F.col("p.id") != F.col("id")).select("cell", "id", "n")
     # What is left: pairs across classes, each in the first cell that both share.
-    mixed = saved(_mixed(members, label), "mixed")
+    mixed = saved(_mixed(open_, label), "mixed")
     near = tested.select("a", "b", (1 - F.col("shared") / F.col("union")).alias("d"))
     far = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "d").unionByName(near.select(F.col("b").alias("pivot"), F.col("a").alias("id"), "d"))
     pivots = members.groupBy("cell").agg(F.min("id").alias("pivot"))

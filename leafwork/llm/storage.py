@@ -19,9 +19,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows written as Parquet and read again: cuts lineage and survives lost executors."""
+    """The rows written as Parquet and read again: cuts lineage and survives lost executors.
+
+    What was shuffled for them is freed once they are written, as nothing reads it again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes tables that ``saved`` made and nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
