@@ -160,10 +160,15 @@ def tokens(page: str) -> list[Token]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> dict[str, float]:
-    """What each tag costs, from at most ``sample`` pages that mark their article, drawn by a hash."""
-    labelled = pages.where(F.col("html").rlike("(?i)<article|<main") & (F.length("html") <= chars)).select("html")
+    """What each tag costs, from at most ``sample`` different pages that mark their article, drawn by a hash.
+
+    The hashes alone are ordered; only the pages below the last one drawn reach the driver.
+    """
+    labelled = pages.where(F.col("html").rlike("(?i)<article|<main") & (F.length("html") <= chars)).select(F.xxhash64("html").alias("h"), "html")
+    last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    drawn = labelled.where(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html")) if last is not None else labelled.limit(0)
     inside, outside = {}, {}
-    for (page,) in labelled.orderBy(F.xxhash64("html"), "html").limit(sample).collect():
+    for (page,) in drawn.select("html").collect():
         for t in tokens(page):
             if t.tag and not t.left_out:
                 own = inside if t.in_article else outside
