@@ -32,9 +32,12 @@ from .storage import dropped, saved
 from .textarrays import mix, shingle_sets, text_slices
 
 PERCENT = 75
-#: Counters of shingle frequency: 16 MB that every task gets.
-SKETCH_BITS = 22
-_BLOCK = 1 << 16
+#: Counters of shingle frequency, a byte each (a twelfth of an octave): 32 MB that every task gets.
+SKETCH_BITS = 25
+STEPS = 12
+#: What one task counts at most, before tasks are added up.
+_TASK_MOST = 5_000
+_BLOCK = 1 << 18
 #: Tasks whose counters are added up in one call.
 _FAN_IN = 64
 #: Rounds with new pivots before the pairs that are left are joined.
@@ -54,7 +57,7 @@ def summaries(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        total, mask = np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
+        total, mask = np.zeros(1 << bits, np.uint16), np.uint64((1 << bits) - 1)
         for b in text_slices(batches):
             n, f1, f2 = [], [], []
             sets = list(shingle_sets(b.column(1)))
@@ -63,26 +66,29 @@ def summaries(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 n.append(len(x))
                 f1.append(a)
                 f2.append(c)
-            np.add.at(total, (np.concatenate(sets) & mask).astype(np.int64), 1)
+            for a in range(0, len(sets), 60_000):
+                np.add.at(total, (np.concatenate(sets[a : a + 60_000]) & mask).astype(np.int64), 1)
+                np.minimum(total, _TASK_MOST, out=total)  # 16 bits hold what 60,000 texts add
             none = pa.nulls(len(n), pa.int32())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), none, none, pa.nulls(len(n), pa.binary())], schema=schema)
         salt = TaskContext.get().partitionId() // _FAN_IN
         for k in range(0, len(total), _BLOCK):
             part = total[k : k + _BLOCK]
             if part.any():
-                raw = pa.compress(part.astype(np.int64).tobytes(), "zstd", asbytes=True)
+                raw = pa.compress(part.astype(np.uint32).tobytes(), "zstd", asbytes=True)
                 yield pa.record_batch([pa.nulls(1, pa.int64())] * 4 + [pa.array([k // _BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([raw], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, block int, salt int, counts binary")
 
 
 def counters(made: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """The counters of all tasks, added up as a tree; what comes to the driver is 2 ** bits numbers."""
+    """The counters of all tasks, added up as a tree; what comes to the driver is 2 ** bits bytes."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_BLOCK, np.int64)
+        total = np.zeros(_BLOCK, np.uint64)
         for raw in rows["counts"]:
-            total += np.frombuffer(pa.decompress(raw, 8 * _BLOCK, "zstd", asbytes=True), np.int64)
+            total += np.frombuffer(pa.decompress(raw, 4 * _BLOCK, "zstd", asbytes=True), np.uint32)
+        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
         first = rows.iloc[0]
         return pd.DataFrame([[first["block"], first["salt"], pa.compress(total.tobytes(), "zstd", asbytes=True)]], columns=["block", "salt", "counts"])
 
@@ -90,13 +96,24 @@ def counters(made: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     rows = made.where("block is not null").select("block", "salt", "counts")
     for fan_in in (1, _FAN_IN, _FAN_IN**2):
         rows = rows.withColumn("salt", F.expr(f"cast(salt div {fan_in} as int)")).groupBy("block", "salt").applyInPandas(add, kind)
-    out = np.zeros(1 << bits, np.uint32)
-    for block, _, raw in rows.collect():
-        part = np.frombuffer(pa.decompress(bytes(raw), 8 * _BLOCK, "zstd", asbytes=True), np.int64)
-        out[block * _BLOCK : (block + 1) * _BLOCK] += np.minimum(part, (1 << 31) - 1).astype(np.uint32)
+    # Logarithms keep common shingles apart from others however large the corpus is.
+    level = F.pandas_udf(_levels, "binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for block, _, raw in rows.withColumn("counts", level("counts")).collect():
+        part = np.frombuffer(pa.decompress(bytes(raw), _BLOCK, "zstd", asbytes=True), np.uint8)
+        at = slice(block * _BLOCK, (block + 1) * _BLOCK)
+        out[at] = np.maximum(out[at], part)
     return out
 
 
+def _levels(counts: pd.Series) -> pd.Series:
+    def of(raw: bytes) -> bytes:
+        total = np.frombuffer(pa.decompress(raw, 4 * _BLOCK, "zstd", asbytes=True), np.uint32)
+        return pa.compress(np.minimum(STEPS * np.log2(1.0 + total), 255).astype(np.uint8).tobytes(), "zstd", asbytes=True)
+
+    return counts.map(of)
+
+
 def cells(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """Rows (cell, id, n): each set in the cells of its rarest shingles, as many as links may need."""
     spark = docs.sparkSession
@@ -191,12 +208,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members (cell, id, n) with their label, of the cells that hold more than one."""
+    """Members (cell, id, n, far) with their label, of the cells that hold more than one."""
     if label is None:
         return members.withColumn("label", F.col("id"))
     by = Window.partitionBy("cell")
-    now = members.select("cell", "id", "n").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return now.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo < hi").select("cell", "id", "n", "label")
+    now = members.select("cell", "id", "n", "far").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return now.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo < hi").select("cell", "id", "n", "far", "label")
 
 
 def _crowded(members: DataFrame, percent: int) -> DataFrame:
@@ -231,8 +248,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     shared = saved(_crowded(cells(texts, counters(made), percent), percent), "cells")
     dropped(made)
     reps = classes.where("n_shingles > 0 and id is not null").select("id", "rep").distinct()
-    members = saved(_distinct_cells(_crowded(shared.join(reps, "id").select("cell", F.col("rep").alias("id"), "n").distinct(), percent)), "members")
+    members = _distinct_cells(_crowded(shared.join(reps, "id").select("cell", F.col("rep").alias("id"), "n").distinct(), percent))
+    members = saved(members, "members")
     dropped(shared)
+    # A document in many cells is the likeliest centre of a group; its cells then share it as pivot.
+    members = members.join(members.groupBy("id").agg((-F.count("*")).alias("far")), "id").select("cell", "id", "n", "far")
     ids = members.select("id").distinct()
     held = saved(sets(texts.join(ids, "id", "left_semi")), "sets")
 
@@ -247,9 +267,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
             if last is not None and left > 0.5 * last:
                 break
             last = left
-        # The pivot of a cell: first its smallest document, then the smallest of those not in the smallest class.
+        # The pivot of a cell: first its document of most cells, then such a one outside of the smallest class.
         lead = mixed.withColumn("lo", F.min("label").over(by)) if turn else mixed.withColumn("lo", F.lit(None).cast("long"))
-        pivot = F.min(F.when(F.col("lo").isNull() | (F.col("label") != F.col("lo")), F.struct("id", "n", "label"))).over(by)
+        pivot = F.min(F.when(F.col("lo").isNull() | (F.col("label") != F.col("lo")), F.struct("far", "id", "n", "label"))).over(by)
         lead = lead.withColumn("p", pivot)
         pairs = lead.where((F.col("p.label") != F.col("label")) & _fits("n", "p.n", percent))
         pairs = pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
@@ -260,12 +280,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         links = tested.where(linked(percent)).select("a", "b")
         label = components(links)
         # The pivot has met all others of its cell; the rest recurse without it.
-        open_ = lead.where(F.col("p.id") != F.col("id")).select("cell", "id", "n")
+        open_ = lead.where(F.col("p.id") != F.col("id")).select("cell", "id", "n", "far")
     # What is left: pairs across classes, each in the first cell that both share.
     mixed = saved(_mixed(open_, label), "mixed")
     near = tested.select("a", "b", (1 - F.col("shared") / F.col("union")).alias("d"))
     far = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "d").unionByName(near.select(F.col("b").alias("pivot"), F.col("a").alias("id"), "d"))
-    pivots = members.groupBy("cell").agg(F.min("id").alias("pivot"))
+    pivots = members.groupBy("cell").agg(F.min(F.struct("far", "id")).alias("p")).select("cell", F.col("p.id").alias("pivot"))
     placed = mixed.join(pivots, "cell").join(far, ["pivot", "id"], "left").withColumn("d", F.when(F.col("pivot") == F.col("id"), 0.0).otherwise(F.col("d")))
     own_cells = mixed.groupBy("id").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     placed = saved(placed.join(own_cells, "id"), "placed")
