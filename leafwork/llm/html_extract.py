@@ -2,10 +2,11 @@
 
 A page is read once into a sequence of tags and pieces of text. Words score positive and tags
 negative, by weights learnt from labelled pages (pages that mark their article; what lies inside
-is content): a tag costs little if it stands in content, much if outside, least within a marked article. Words in elements that
+is content): a tag costs little if it stands in content, much if outside. Words in elements that
 never are content (menus, adverts, forms, comments ...), and words outside the article of a page
-that marks one, score negative. A linear scan finds the region of the largest sum; its text,
-without such elements, is the main text.
+that marks one, score negative. Within a marked article neither tags nor words of such elements
+cost anything, so that the region spans the article from its first word to its last. A linear scan
+finds the region of the largest sum; its text, without such elements, is the main text.
 
 Character references are decoded; a tag of a block, or a line break, parts words, an inline tag
 doesn't; runs of white space become one space.
@@ -183,10 +184,13 @@ def extract(page: str | None, costs: dict[str, float]) -> str:
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, t in enumerate(read):
         if t.tag:
-            total -= LEAST if t.left_out or marks and t.in_article else costs.get(t.tag, UNKNOWN)
+            total -= 0.0 if t.in_article else LEAST if t.left_out else costs.get(t.tag, UNKNOWN)
         else:
             n = len(t.text.split())
-            total += n * (OUTSIDE if marks and not t.in_article else LEFT_OUT if t.left_out else WORD)
+            if t.in_article:
+                total += 0.0 if t.left_out else n * WORD
+            else:
+                total += n * (OUTSIDE if marks else LEFT_OUT if t.left_out else WORD)
         if total > best:
             best, best_at = total, (begin, i + 1)
         if total < 0:

@@ -94,6 +94,13 @@ def test_main_text(spark):
     assert html_extract.extract_text(rows.limit(0), html_extract.fit(rows.limit(0))).count() == 0
 
 
+def test_a_marked_article_is_whole():
+    body, long = "body " * 100, "other " * 300
+    for block in (f"<div class=ad>{long}</div>", f"<section id=comments><p>{long}</p></section>", f"<form>{long}</form>", "<figure><img></figure>" * 200):
+        page = f"<nav>Menu</nav><article><h1>A B C</h1>{block}<p>{body}</p>{block}<p>one last word</p></article><footer>Foot</footer>"
+        assert html_extract.extract(page, {}) == f"A B C {body}one last word"
+
+
 # -- 3 -------------------------------------------------------------------------------------
 def test_items_in_documents(spark):
     item, short = prose(3, 20), "tiny item here"
