@@ -96,7 +96,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, defa
 
     labelled has url and verdict (block or allow). ``block`` for a host with a seed word counts as
     a label too; the list's verdicts don't, as they would spread from listed hosts to all others.
-    Without labelled urls, those without a seed word count as ``allow``.
+    Without labelled urls, those without a seed word count as ``allow`` unless the list blocks them.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "fired")]
 
@@ -107,7 +107,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, defa
 
     seen = read(pages.select(kept))
     seeded = F.when(F.arrays_overlap("tokens", F.array(*(F.lit(f"word={w}") for w in SEEDS))), "block")
-    known = seen.select("tokens", (seeded if labelled is not None else F.coalesce(seeded, F.lit("allow"))).alias("verdict"))
+    unlabelled = F.when(F.coalesce(F.col("listed.verdict") != "block", F.lit(True)), "allow")
+    known = seen.select("tokens", (seeded if labelled is not None else F.coalesce(seeded, unlabelled)).alias("verdict"))
     if labelled is not None:
         own = read(labelled.select("url", F.col("verdict").alias("said")))
         known = known.where("verdict is not null").unionByName(own.select("tokens", F.coalesce(seeded, "said").alias("verdict")))

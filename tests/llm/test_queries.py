@@ -18,6 +18,14 @@ def test_rows(name, spark, sf_dir):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_labels_of_documents_say_nothing_on_urls(spark, tmp_path):
+    hosts = ["www.quiet.example.com"] * 20 + ["blog.still.example.org"] * 20 + ["www.free-casino.example.com"] * 5
+    spark.createDataFrame([(i, f"https://{h}/en/{i}") for i, h in enumerate(hosts)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i >= 20), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.op5_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i >= 40 else "allow" for i in range(45)}
+
+
 def test_pipeline_against_plain_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     items = [shingles(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
