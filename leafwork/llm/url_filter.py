@@ -50,7 +50,7 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: host endings, leading path segments without digits, query keys, scheme, file ending."""
+    """Distinct tokens of a url: host words and endings, leading path segments without digits, query keys, scheme, file ending."""
     labels = F.split(host, r"\.")
     levels = [F.when((F.size(labels) >= k) & (host != ""), F.concat(F.lit(f"host{k}="), F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k), "."))) for k in range(1, LEVELS + 1)]
     first = F.when((F.size(labels) >= 2) & (host != ""), F.concat(F.lit("first="), F.element_at(labels, 1)))
@@ -58,20 +58,41 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     segments = [F.when(F.size(parts) >= k, F.concat(F.lit(f"seg{k}="), F.regexp_replace(F.get(parts, F.lit(k - 1)), r"[0-9]+", "#"))) for k in range(1, SEGMENTS + 1)]
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.slice(F.array_sort(F.array_distinct(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.substring_index(x, "=", 1))))), 1, KEYS)
-    words = F.transform(F.filter(F.split(F.array_join(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), "-"), "-"), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
+    words = F.transform(F.filter(F.split(host, "[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
     scheme = F.when(F.instr(url, "://") > 0, F.concat(F.lit("scheme="), F.lower(F.substring_index(url, "://", 1))))
     ending = F.nullif(F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1), F.lit(""))
     own = F.concat(words, F.array(*levels, first, *segments, scheme, F.concat(F.lit("ending="), ending)), keys)
     return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(own, F.array().cast("array<string>")))))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Of each token: the rows that hold it, those of them to block, and two hashes of the token sets that hold it."""
+    each = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"))
+    each = each.withColumns({"h1": F.xxhash64(F.lit(1), "tokens"), "h2": F.xxhash64(F.lit(2), "tokens")})
+    each = each.select(F.explode("tokens").alias("token"), "n", "bad", "h1", "h2")
+    return each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+
+
 def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Rules (antecedent, confidence, support) that imply ``verdict=block``, from tokens and verdict columns.
 
-    A rule is kept if no rule on fewer of its tokens is as confident.
+    A rule is kept if no rule on fewer of its tokens is as confident. So tokens in too few rows to
+    block, and those that imply ``block`` alone, needn't be combined with others; of tokens that
+    always stand together one is combined, and its rules are repeated with each of the others.
     """
     target = "verdict=block"
-    items = labelled.where("verdict is not null").select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
+    rows = labelled.where("verdict is not null").select("tokens", "verdict")
+    total, bad = rows.agg(F.count("*"), F.count_if(F.col("verdict") == "block")).first()
+    # As Spark counts: the support asked for, in rows.
+    often = _counted(rows).where((F.col("bad") > 0) & (F.col("bad") >= F.ceil(F.lit(support) * total)))
+    alike = often.groupBy("h1", "h2", "n", "bad").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("same"))
+    sure = alike.where((F.col("n") == F.col("bad")) & F.lit(bad < total)).select(F.explode("same").alias("token"), (F.col("bad") / F.lit(total)).alias("support"))
+    sure = sure.select(F.array("token").alias("antecedent"), F.lit(1.0).alias("confidence"), "support")
+    open_ = alike.where("n > bad").select("token", "same")
+    held = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(open_.select("token"), "token")
+    held = held.groupBy("tokens").agg(F.collect_list("token").alias("combined"))
+    none = F.array().cast("array<string>")
+    items = rows.join(held, "tokens", "left").select(F.concat(F.coalesce("combined", none), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     found = model.associationRules.where(F.col("consequent")[0] == target)
     found = found.where(F.col("lift") > 1).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
@@ -80,7 +101,10 @@ def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float
     heads = found.select(F.col("antecedent").alias("fewer"), F.col("confidence").alias("as_good"), F.element_at("antecedent", 1).alias("token"))
     each = found.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
     beaten = each.join(heads, "token").where((F.size("fewer") < F.size("antecedent")) & (F.size(F.array_except("fewer", "antecedent")) == 0) & (F.col("as_good") >= F.col("confidence")))
-    return found.join(beaten.select("antecedent").distinct(), "antecedent", "left_anti")
+    found = found.join(beaten.select("antecedent").distinct(), "antecedent", "left_anti")
+    ways = found.select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(open_, "token").groupBy("antecedent", "confidence", "support").agg(F.collect_list("same").alias("ways"))
+    each = F.aggregate("ways", F.array(none), lambda had, more: F.flatten(F.transform(had, lambda x: F.transform(more, lambda y: F.concat(x, F.array(y))))))
+    return ways.select(F.explode(each).alias("antecedent"), "confidence", "support").select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").unionByName(sure)
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -147,6 +147,31 @@ def test_mined_rules_against_counts(spark):
     assert list(found) == [("a=1", "b=2")] and found["a=1", "b=2"] == pytest.approx(hit.count("block") / len(hit))
 
 
+def test_seed_words_without_a_hyphen(spark):
+    hosts = ["casino.example.com", "www.porn.org", "spam.example.com", "my-ads.example.com", "www.spamalot.example.com", "casinos.example.com", "www.example.com"]
+    rows = spark.createDataFrame([(i, f"http://{h}/en/{i}") for i, h in enumerate(hosts)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge(rows).orderBy("page_id").collect()] == ["block"] * 4 + ["allow"] * 3
+
+
+def test_mined_rules_against_all_combinations(spark):
+    from itertools import combinations
+
+    r, rows = random.Random(8), []
+    for _ in range(200):
+        a, b, c = r.randrange(3), r.randrange(3), r.randrange(4)
+        verdict = "block" if c == 3 or (a, b) == (1, 2) and r.random() < 0.9 else "allow"
+        rows.append((sorted({f"a={a}", f"again={a}", f"b={b}", f"c={c}", "all=1"}), verdict))
+    found = {tuple(x["antecedent"]): x["confidence"] for x in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8).collect()}
+    tokens, good = sorted({t for ts, _ in rows for t in ts}), {}
+    for k in range(1, 6):
+        for rule in combinations(tokens, k):
+            hit = [v for ts, v in rows if set(rule) <= set(ts)]
+            bad = hit.count("block")
+            if bad >= 0.02 * len(rows) and bad >= 0.8 * len(hit) and not any(set(g) < set(rule) and good[g] >= bad / len(hit) for g in good):
+                good[rule] = bad / len(hit)
+    assert found == pytest.approx(good) and len(good) > 3
+
+
 # -- 6 -------------------------------------------------------------------------------------
 def test_bpe_against_tiktoken(spark):
     import public_tokenizers
