@@ -107,8 +107,8 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("LicenseRef-All-Rights-Reserved", ("all-rights",)),
 )
-#: Every known sentence has one of these; texts without any aren't cut up.
-ANCHORS = r"(?i)licen|permi|warrant|redistribut|copyright|public domain|copy of the mpl|rights reserved|endorse"
+#: Every known sentence has one of these, however its words are parted; texts without any aren't cut up.
+ANCHORS = r"(?i)licen|permi|warrant|redistribut|copyright|public[^a-z0-9]+domain|copy[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+mpl|rights[^a-z0-9]+reserved|endorse"
 
 
 def normal(text: str) -> str:
@@ -124,8 +124,7 @@ def sequence(text: Column, sentences=SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order, each as <identifier>."""
     known = F.create_map(*(F.lit(x) for k, v in sentences.items() for x in (normal(v), f"<{k}>")))
     cut = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    near = F.filter(cut, lambda x: F.char_length(x) <= 2 * max(map(len, sentences.values())))
-    found = F.transform(near, lambda x: F.coalesce(F.try_element_at(known, _normal(x)), F.lit("")))
+    found = F.transform(cut, lambda x: F.coalesce(F.try_element_at(known, _normal(x)), F.lit("")))
     return F.array_join(found, "")
 
 

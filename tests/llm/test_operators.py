@@ -127,6 +127,25 @@ def test_licences(spark):
     assert all(__import__("re").search(license_scan.ANCHORS, x) for x in s.values())
 
 
+def test_licences_wrapped_or_padded(spark):
+    s, edge = license_scan.SENTENCES, "/* " + "*" * 2000 + " "
+    cc0, free, rights = s["cc0"], s["unlicense"], s["all-rights"]
+    texts = [cc0.replace("public domain", x) for x in ("public\ndomain", "public  domain", "public\u00a0domain")]
+    texts += [free.replace("public domain", x) for x in ("public\ndomain", "public\r\n * domain", "PUBLIC\u00a0Domain")]
+    texts += [rights.replace(" reserved", x) for x in ("\nreserved", "  reserved", "\u00a0reserved")]
+    texts += [edge + s["mit-permission"] + " " + "*" * 2000 + " */", edge + rights]
+    want = ["CC0-1.0"] * 3 + ["Unlicense"] * 3 + ["LicenseRef-All-Rights-Reserved"] * 3 + ["MIT", "LicenseRef-All-Rights-Reserved"]
+    rows = documents(spark, texts)
+    got = sorted((r["doc_id"], r["license"], r["n"]) for r in license_scan.scan(rows).collect())
+    assert got == [(i, x, 1) for i, x in enumerate(want)]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert sorted(con.sql(license_scan.oracle()).project("doc_id, license, n").fetchall()) == got
+
+
 # -- 5 -------------------------------------------------------------------------------------
 def test_url_rules(spark):
     urls = ["http://A.Net/x", "https://www.example.net/en/1", "http://example.com/de/", "http://x.org/fr/?a=b", "http://x.org/frost", "ftp://net", "nothing", None, "http://notexample.com/de/", "http://net/", "x://casino-win.example.com/en/9"]
