@@ -22,10 +22,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DEFAULT = "allow"
 LEAST_SUPPORT = 0.002
 LEAST_CONFIDENCE = 0.8
-#: Path segments, host levels and query keys that become tokens.
-SEGMENTS = 2
-LEVELS = 3
-KEYS = 3
 #: Words of host names that label a url for mining where no list or label does.
 SEEDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,18 +46,19 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url: host words and endings, leading path segments without digits, query keys, scheme, file ending."""
+    """Distinct tokens of a url: host words and endings, path segments without digits, query keys, scheme, file ending."""
     labels = F.split(host, r"\.")
-    levels = [F.when((F.size(labels) >= k) & (host != ""), F.concat(F.lit(f"host{k}="), F.array_join(F.slice(labels, F.greatest(F.size(labels) - k + 1, F.lit(1)), k), "."))) for k in range(1, LEVELS + 1)]
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("host"), k.cast("string"), F.lit("="), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".")))
+    levels = F.when(host != "", ends).otherwise(F.array().cast("array<string>"))
     first = F.when((F.size(labels) >= 2) & (host != ""), F.concat(F.lit("first="), F.element_at(labels, 1)))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    segments = [F.when(F.size(parts) >= k, F.concat(F.lit(f"seg{k}="), F.regexp_replace(F.get(parts, F.lit(k - 1)), r"[0-9]+", "#"))) for k in range(1, SEGMENTS + 1)]
+    segments = F.transform(parts, lambda x, i: F.concat(F.lit("seg"), (i + 1).cast("string"), F.lit("="), F.regexp_replace(x, r"[0-9]+", "#")))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.slice(F.array_sort(F.array_distinct(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.substring_index(x, "=", 1))))), 1, KEYS)
+    keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.substring_index(x, "=", 1)))
     words = F.transform(F.filter(F.split(host, "[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
     scheme = F.when(F.instr(url, "://") > 0, F.concat(F.lit("scheme="), F.lower(F.substring_index(url, "://", 1))))
     ending = F.nullif(F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1), F.lit(""))
-    own = F.concat(words, F.array(*levels, first, *segments, scheme, F.concat(F.lit("ending="), ending)), keys)
+    own = F.concat(words, levels, segments, F.array(first, scheme, F.concat(F.lit("ending="), ending)), keys)
     return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(own, F.array().cast("array<string>")))))
 
 

@@ -191,6 +191,17 @@ def test_mined_rules_against_all_combinations(spark):
     assert found == pytest.approx(good) and len(good) > 3
 
 
+def test_all_keys_segments_and_levels_are_tokens(spark):
+    plain = [f"http://a.b.c.d.example.com/x/y/z{i}?k1=1&k2=2&k3=3" for i in range(20)]
+    labelled = [(u, "allow") for u in plain] + [(f"{u}&zz=4", "block") for u in plain] + [(u.replace("/z", "/bad/z"), "block") for u in plain] + [(u.replace("a.b", "a.bad.b"), "block") for u in plain]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(labelled)], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame(labelled, "url string, verdict string"), rules=()).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == [v for _, v in labelled]
+    host, path = url_filter.parse(F.col("url"))
+    tokens = set(pages.where("page_id = 0").select(url_filter.tokens(F.col("url"), host, path)).first()[0])
+    assert {"host6=a.b.c.d.example.com", "host5=b.c.d.example.com", "host1=com", "seg1=x", "seg3=z#", "key=k3"} <= tokens
+
+
 # -- 6 -------------------------------------------------------------------------------------
 def test_bpe_against_tiktoken(spark):
     import public_tokenizers
