@@ -307,10 +307,28 @@ def _answer(classes: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents with all their columns, of each component only the one of smallest id; rows without words stay."""
-    found = join(docs, id_col, text_col, percent)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The documents with all their columns, of each component only the one of smallest id; rows without words stay.
+
+    If ids repeat or are null, it is decided by id and text: of an id's texts only those that are
+    copies go, and a row without an id stays, once, only if its component has no id. Rows that
+    repeat both id and text are one document, and stay or go together.
+    """
+    odd = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null")
+    if odd.isEmpty():
+        found = join(docs, id_col, text_col, percent)
+        gone = found.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
+        return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    key = "_id_and_text"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
+    found = join(keyed, key, text_col, percent).where("n_shingles > 0").select(key, "component_id").distinct()
+    named = keyed.select(key, F.col(id_col).alias("id")).distinct().join(found, key)
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", key))
+    stay = named.groupBy("component_id").agg(first.alias("first")).select(f"first.{key}")
+    gone = found.select(key).join(stay, key, "left_anti")
+    rest = keyed.join(gone, key, "left_anti")
+    rest = rest.join(found.select(key, F.lit(True).alias("worded")), key, "left")
+    once = F.col(id_col).isNull() & F.col("worded").isNotNull()
+    return rest.where(~once).select(docs.columns).unionByName(rest.where(once).dropDuplicates([key]).select(docs.columns))
 
 
 ORACLE = """

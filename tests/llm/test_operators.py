@@ -76,6 +76,16 @@ def test_join_empty_null_ids_and_repeated_rows(spark):
     assert ngram_join.drop_copies(documents(spark, ["a b c d e f", "a b c d e f", None])).count() == 2
 
 
+def test_copies_of_repeated_and_null_ids(spark):
+    a, b, c, d = prose(1), prose(2), prose(3), prose(4)
+    near = a.rsplit(" ", 1)[0]
+    rows = [(1, a, "x"), (3, near, "x"), (3, b, "y"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (None, None, "x"), (None, None, "x"), (5, d, "x"), (5, d, "x"), (6, d, "x"), (7, b, "x")]
+    got = ngram_join.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    want = [(1, a, "x"), (3, b, "y"), (None, c, "x"), (None, None, "x"), (None, None, "x"), (5, d, "x"), (5, d, "x")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 # -- 2 -------------------------------------------------------------------------------------
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site name</header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies on all pages</div><article><h1>The  title</h1><p>First <b>bo</b>ld &amp; words</p><div class=ad>Buy now</div>
