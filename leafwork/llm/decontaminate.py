@@ -11,7 +11,8 @@ Words are runs without blanks, lower-cased; a shingle is five words, or the whol
 shorter text. An item of fewer words is thus found only in a document of just these words.
 
 Edge cases: null or empty texts have no shingles and match nothing; rows without an id take no
-part; repeated rows give one result per pair of ids; texts are whole; other columns are ignored
+part; repeated rows give one result per pair of ids, that of the best contained text if an item's
+id has several; texts are whole; other columns are ignored
 by ``find``, and ``clean`` keeps them; empty tables give no pairs.
 """
 
@@ -73,8 +74,8 @@ def find(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT) -> Dat
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     items = items.select("item_id", "text").where("item_id is not null and text is not null")
     pairs = candidates(docs, items, percent)
-    own = items.select("item_id", texts(F.col("text").cast("string")).alias("s")).where("s is not null")
-    own = own.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("shingles"))
+    # An id's texts are items of their own, as in their sketches.
+    own = items.select("item_id", F.array_sort(texts(F.col("text").cast("string"))).alias("shingles")).where("shingles is not null").distinct()
     if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
         own = F.broadcast(own)
     found = pairs.join(docs, "doc_id").join(own, "item_id")
@@ -82,8 +83,9 @@ def find(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT) -> Dat
     # A shingle of fewer words is a whole text: it has to be the document's whole text too.
     held = let(padded(words(F.col("text").cast("string"))), lambda t: F.size(F.filter("shingles", lambda s: F.contains(t, s) & ((F.size(F.split(s, " ")) == SHINGLE + 2) | (t == s)))))
     found = found.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), held.cast("long").alias("n_shared"))
-    found = found.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    found = found.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_item", "n_shared")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:

@@ -125,6 +125,14 @@ def test_items_in_documents(spark):
     assert decontaminate.find(documents(spark, texts), items.limit(0)).count() == 0
 
 
+def test_an_item_id_with_several_texts(spark):
+    one, two = prose(11, 40), prose(12, 30)
+    texts = [one, "before " + two + " after", one + " " + two, prose(13), " ".join(one.split()[:36])]
+    items = spark.createDataFrame([(7, one), (7, two), (7, two)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_item"], r["n_shared"], r["containment"]) for r in decontaminate.find(documents(spark, texts), items).collect()}
+    assert got == {0: (36, 36, 1.0), 1: (26, 26, 1.0), 2: (36, 36, 1.0), 4: (36, 32, 32 / 36)}
+
+
 # -- 4 -------------------------------------------------------------------------------------
 def test_licences(spark):
     s = license_scan.SENTENCES
