@@ -1,14 +1,26 @@
 """Exact Jaccard self-join of word-shingle sets, with the classes of documents it links.
 
-Jaccard distance is a metric, and links are pairs at distance 1/4 or less. Documents at distance
-1 from every document pivot can't be told apart by such pivots, so the first pivots are
-singletons: the cell of a shingle's singleton holds the sets that contain it, at distance
-1 - 1/n. A set belongs to the cell of its rarest shingle, and is replicated to the next
-n - ceil(0.75 n) cells, a window that holds a common cell for every two linked sets. In each
-cell a document becomes the pivot and all others are compared with it. Cells whose sets are all in
-one class are done; the others recurse without their pivot, and end with a join of the pairs that
-are left, pruned by size and by the triangle inequality with their distances
-to the cell's pivot. Nothing is capped, so all links between classes are found.
+Two sets of sizes m and n are at Jaccard distance 1/4 or less just if their symmetric difference
+is at most (m + n) / 7. That difference is a metric too, and the one in which regions are cut.
+
+Documents at Jaccard distance 1 from every document pivot can't be told apart by such pivots, so
+the first pivots are singletons: the cell of a shingle's singleton holds the sets that contain
+it. A set belongs to the cell of its rarest shingle, and is replicated to the next
+n - ceil(0.75 n) cells, a window that holds a common cell for every two linked sets. Cells with
+the same members are one, and cells with the same central document, the one in most
+cells, are united to its region.
+
+A region of more than ``LEAF`` documents is joined recursively: document pivots make Voronoi
+regions, and a document is replicated to each region whose pivot is, by the triangle inequality,
+near enough for a linked one to belong there. Where such regions don't shrink, as all documents
+lie within the window, the region is cut by distance from its pivot into rings as wide as a link
+is long, so that only the same and neighbouring rings meet, in tiles of bounded size.
+
+Distances between members are bounded below by parity bitmaps: bit h mod B of a set's bitmap is the parity of
+its shingles there, and two bitmaps differ in no more bits than the sets in shingles. This distance
+obeys the triangle inequality, and never exceeds the true one, so windows on it lose nothing. In
+each leaf the pairs that may link are found by it; a spanning forest of them is
+measured exactly, then all pairs that still cross classes. Nothing is capped.
 
 Sets are held as 64-bit shingle hashes; rarity is estimated by one row of counters over the whole
 corpus, and only orders cells (any order gives the same links). Equal sets are joined beforehand.
@@ -21,27 +33,41 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import dropped, saved
-from .textarrays import mix, shingle_sets, text_slices
+from .textarrays import mix, shingle_sets, text_slices, tidied
 
 PERCENT = 75
-#: Counters of shingle frequency, a byte each (a twelfth of an octave): 32 MB that every task gets.
-SKETCH_BITS = 25
+#: Counters of shingle frequency, a byte each (a twelfth of an octave): 16 MB that every task gets.
+SKETCH_BITS = 24
 STEPS = 12
 #: What one task counts at most, before tasks are added up.
 _TASK_MOST = 5_000
 _BLOCK = 1 << 18
 #: Tasks whose counters are added up in one call.
 _FAN_IN = 64
-#: Rounds with new pivots before the pairs that are left are joined.
-ROUNDS = 3
+#: Documents that are joined at once.
+LEAF = 512
+#: Document pivots of a region that is cut.
+PIVOTS = 4
+#: A region is cut by its pivots if its largest part holds at most this share of it, and all parts twice as much.
+SHRINKS = 0.8
+#: Levels of document pivots at most, before regions are cut into rings alone.
+ROUNDS = 20
+#: Sets that a task remembers to have dealt to cells; copies beyond are dealt again, and found equal later.
+SEEN = 100_000
+#: Ids that are broadcast to pick texts or sets; more are shuffled.
+BROADCAST_IDS = 1_000_000
+#: Bits of the smallest bitmap.
+LEAST_BITS = 512
 
 
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,7 +104,7 @@ def summaries(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 raw = pa.compress(part.astype(np.uint32).tobytes(), "zstd", asbytes=True)
                 yield pa.record_batch([pa.nulls(1, pa.int64())] * 4 + [pa.array([k // _BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([raw], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, block int, salt int, counts binary")
+    return docs.mapInArrow(tidied(run), "id long, n long, f1 long, f2 long, block int, salt int, counts binary")
 
 
 def counters(made: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -114,13 +140,12 @@ def _levels(counts: pd.Series) -> pd.Series:
     return counts.map(of)
 
 
-def cells(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def cells(docs: DataFrame, rarity: Broadcast, percent: int = PERCENT) -> DataFrame:
     """Rows (cell, id, n): each set in the cells of its rarest shingles, as many as links may need."""
-    spark = docs.sparkSession
-    rarity, mask = spark.sparkContext.broadcast(counts), np.uint64(len(counts) - 1)
 
     def run(batches):
         order_by, seen = rarity.value, set()
+        mask = np.uint64(len(order_by) - 1)
         for b in text_slices(batches):
             got, ids, ns = [], [], []
             for i, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
@@ -128,6 +153,8 @@ def cells(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFr
                 key = (n, *_fingerprints(x)) if n else None
                 if i is None or not n or key in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
                 often = order_by[(x & mask).astype(np.int64)].astype(np.int64)
                 # x is sorted, so that a stable sort breaks ties by the shingle
@@ -139,17 +166,40 @@ def cells(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFr
                 sizes = [len(g) for g in got]
                 yield pa.record_batch([pa.array(np.concatenate(got)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes))], names=["cell", "id", "n"])
 
-    return docs.mapInArrow(run, "cell long, id long, n int")
+    return docs.mapInArrow(tidied(run), "cell long, id long, n int")
+
+
+def parity(x: np.ndarray) -> bytes:
+    """The bitmap of a set: twice as many bits as it has shingles, rounded up to a power of two."""
+    bits = max(LEAST_BITS, 1 << (2 * len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Of each document its shingle hashes, sorted, as bytes: id, s."""
+    """Of each document its shingle hashes, sorted, as bytes, their number and their bitmap: id, n, s, bits."""
 
     def run(batches):
+        seen: set[tuple] = set()
         for b in text_slices(batches):
-            yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1))], pa.binary())], names=["id", "s"])
+            got = []
+            for i, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
+                key = (i, len(x), *_fingerprints(x))
+                if len(x) and key not in seen:  # rows that repeat one another are held once by a task
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    got.append((i, len(x), x.tobytes(), parity(x)))
+            if got:
+                i, n, raw, bits = zip(*got, strict=True)
+                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n", "s", "bits"])
+
+    return docs.mapInArrow(tidied(run), "id long, n int, s binary, bits binary")
 
-    return docs.mapInArrow(run, "id long, s binary")
+
+def _small(ids: DataFrame) -> DataFrame:
+    """The ids, to be broadcast if their number allows it."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def measure(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -169,8 +219,12 @@ def measure(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 union.append(len(x) + len(y) - both)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "shared", "union"])
 
-    left, right = held.select(F.col("id").alias("a"), F.col("s").alias("s")), held.select(F.col("id").alias("b"), F.col("s").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long, shared long, union long")
+    # Both joins read the sets by the same columns, so that they are shuffled once, and only those that are met.
+    pairs = saved(pairs, "pairs")
+    own = held.select("id", "s").join(_small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()), "id", "left_semi")
+    one = pairs.select(F.col("a").alias("id"), "b").join(own, "id").select(F.col("id").alias("a"), F.col("b").alias("id"), F.col("s").alias("x"))
+    both = one.join(own, "id").select("a", F.col("id").alias("b"), "x", F.col("s").alias("y"))
+    return both.mapInArrow(tidied(run), "a long, b long, shared long, union long")
 
 
 def linked(percent: int = PERCENT):
@@ -183,39 +237,32 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node to its smallest neighbour, follows these pointers three times
     and contracts the edges, until none is left.
     """
-    rest = saved(edges.select("a", "b").where("a <> b"), "edges")
+    rest = saved(edges.select("a", "b").where("a <> b").distinct(), "edges")
     label = None
-    while True:
+    while not rest.isEmpty():
         both = rest.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(rest.select(F.col("b").alias("id"), F.col("a").alias("to")))
         near = saved(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("to")), "pointers")
-        if near.isEmpty():
-            break
         to = near
         for _ in range(2):
             jump = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
             to = to.join(jump, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
         to = saved(to, "pointers")
-        dropped(near)
         ends = to.select(F.col("id").alias("a"), F.col("to").alias("x"))
         half = rest.join(ends, "a").select("b", "x")
-        rest = saved(half.join(ends.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = saved(half.join(ends.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(near, rest)
+        rest = left
         if label is None:
-            label = to.select("id", F.col("to").alias("label"))
+            label = saved(to.select("id", F.col("to").alias("label")), "labels")
         else:
             moved = to.select(F.col("id").alias("label"), F.col("to").alias("next"))
-            label = saved(label.join(moved, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+            new = saved(label.join(moved, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+            dropped(label)
+            label = new
+        dropped(to)
     return label if label is not None else rest.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
-def _mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members (cell, id, n, far) with their label, of the cells that hold more than one."""
-    if label is None:
-        return members.withColumn("label", F.col("id"))
-    by = Window.partitionBy("cell")
-    now = members.select("cell", "id", "n", "far").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return now.withColumn("lo", F.min("label").over(by)).withColumn("hi", F.max("label").over(by)).where("lo < hi").select("cell", "id", "n", "far", "label")
-
-
 def _crowded(members: DataFrame, percent: int) -> DataFrame:
     """Members of a cell that another one's size lets link: the next smaller or larger tells."""
     by_size = Window.partitionBy("cell").orderBy("n")
@@ -223,20 +270,199 @@ def _crowded(members: DataFrame, percent: int) -> DataFrame:
     return near.where((F.col("less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("more") * percent)).select("cell", "id", "n")
 
 
-def _distinct_cells(members: DataFrame) -> DataFrame:
-    """Of cells with the same members (told by two hashes of their sets and the size) only one."""
-    of = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "id"))
-    told = members.groupBy("cell").agg(of(1).alias("h1"), of(2).alias("h2"), F.count("*").alias("size"))
-    kept = told.groupBy("h1", "h2", "size").agg(F.min("cell").alias("cell")).select("cell")
-    return members.join(kept, "cell", "left_semi")
+def regions_of(members: DataFrame) -> DataFrame:
+    """Rows (region, id, n) from rows (cell, id, n): equal cells are one, and a region is named by its central document."""
+    told = F.bit_xor(F.xxhash64("id")).over(Window.partitionBy("cell"))
+    one = saved(members.withColumn("told", told).select("told", "id", "n").distinct(), "equal")
+    times = one.groupBy("id").agg((-F.count("*")).alias("far"))
+    lead = one.join(times, "id").groupBy("told").agg(F.min(F.struct("far", "id"))["id"].alias("region"))
+    made = saved(one.join(lead, "told").select("region", "id", "n").distinct(), "regions")
+    dropped(one)
+    return made
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the rows of two arrays of words differ."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
 
+def _folded(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap as words, brought down to ``size`` bytes: parities of halves add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), 0)
 
-def _fits(a: str, b: str, percent: int):
-    """Whether sizes let two sets link."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
+def _within(total, percent: int):
+    """The largest symmetric difference at which sets of this size together link."""
+    return total * (100 - percent) // (100 + percent)
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+
+def _cut(open_: DataFrame, level: int, percent: int) -> DataFrame:
+    """Regions with pivots: rows (region, id, n, bits, size, wide, lead, parts, d, star).
+
+    parts are the pivots to whose Voronoi regions the document goes, d is its distance from the first pivot, lead,
+    star whether it may link with that one, wide the longest link of the region.
+    """
+    # The first pivot is the central document, of which the region has its name, where that is still a member.
+    first = F.struct((F.col("id") != F.col("region")).alias("other"), F.xxhash64("id").alias("h"), "id", "n", "bits")
+    more = [F.min(F.struct(F.xxhash64(F.lit(level), F.lit(k), "id").alias("h"), "id", "n", "bits")) for k in range(1, PIVOTS)]
+    pivots = open_.groupBy("region").agg(
+        F.count("*").alias("size"), F.min(F.octet_length("bits")).alias("least"), (F.max("n") * (100 - percent) / F.lit(percent)).cast("long").alias("wide"),
+        F.min(first).alias("p0"), *(m.alias(f"p{k}") for k, m in enumerate(more, 1)),
+    )
+    pivots = pivots.select("region", "size", "least", "wide", F.col("p0.id").alias("lead"), F.col("p0.n").alias("lead_n"), F.array(*(f"p{k}.bits" for k in range(PIVOTS))).alias("pivots"))
+    kept = ["region", "id", "n", "bits", "size", "wide", "lead"]
+
+    def run(batches):
+        for b in batches:
+            parts, away, star = [], [], []
+            last, own = None, None
+            for bits, n, least, region, lead_n, pivots in zip(*(b.column(c).to_pylist() for c in ("bits", "n", "least", "region", "lead_n", "pivots")), strict=True):
+                if region != last:
+                    last, own = region, np.stack([_folded(p, least) for p in pivots])
+                d = _differ(own, _folded(bits, least))
+                parts.append(np.flatnonzero(d <= d.min() + 2 * (n * (100 - percent) // percent)))
+                away.append(int(d[0]))
+                star.append(bool(d[0] <= _within(n + lead_n, percent) and min(n, lead_n) * 100 >= max(n, lead_n) * percent))
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(parts, pa.list_(pa.int32())), pa.array(away, pa.int64()), pa.array(star, pa.bool_())], names=[*kept, "parts", "d", "star"])
+
+    return open_.join(pivots, "region").mapInArrow(tidied(run), "region long, id long, n int, bits binary, size long, wide long, lead long, parts array<int>, d long, star boolean")
+
+
+def _tiles(dense: DataFrame, leaf: int) -> DataFrame:
+    """Regions cut into rings around their pivot and blocks of rings: the members of each two blocks that may hold a link."""
+    blocks = F.ceil(F.col("size") / leaf)
+    at = dense.select("region", "id", "n", "bits", F.floor(F.col("d") / F.greatest("wide", F.lit(1))).alias("ring"), F.pmod(F.xxhash64("id"), blocks).alias("block"), blocks.alias("blocks"))
+    at = at.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col("blocks") - 1)))
+    own = F.col("ring") * F.col("blocks") + F.col("block")
+    other = F.expr("(ring - 1 + k div blocks) * blocks + k % blocks")
+    at = at.select(F.xxhash64("region", F.least(own, other), F.greatest(own, other)).alias("tile"), "id", "n", "bits", ((own != other) | (F.col("blocks") == 1)).alias("needed"))
+    return at.where("needed").select(F.col("tile").alias("region"), "id", "n", "bits")
+
+
+def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Regions (region, id, n, bits) small enough to be joined at once: those that were so, those made of larger ones, and pairs (a, b) with pivots."""
+    large = lambda df: df.groupBy("region").count().where(F.col("count") > leaf).select("region")
+    hot = large(members)
+    if hot.isEmpty():
+        return members, None, None
+    small, open_ = members.join(hot, "region", "left_anti"), members.join(hot, "region")
+    leaves, stars = [], []
+    for level in range(rounds + 1):
+        placed = saved(_cut(open_, level, percent), "placed")
+        stars.append(placed.where("star and id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
+        parts = placed.select("region", "size", F.explode("parts").alias("part")).groupBy("region", "size", "part").count()
+        stats = parts.groupBy("region", "size").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+        shrinks = stats.where((F.col("most") <= SHRINKS * F.col("size")) & (F.col("all") <= 2 * F.col("size")) & F.lit(level < rounds)).select("region")
+        leaves.append(_tiles(placed.join(shrinks, "region", "left_anti"), leaf))
+        cut = placed.join(shrinks, "region").withColumn("part", F.explode("parts"))
+        cut = saved(cut.select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "id", "n", "bits"), "parts")
+        hot = large(cut)
+        leaves.append(cut.join(hot, "region", "left_anti"))
+        if hot.isEmpty():
+            break
+        open_ = cut.join(hot, "region")
+    union = lambda many: functools.reduce(DataFrame.unionByName, many)
+    return small, saved(union(leaves), "leaves"), union(stars)
+
+
+def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (i, j) a shortest forest that spans what they connect; ``own`` are the parts connected already."""
+    order = np.argsort(far, kind="stable")
+    i, j, own = i[order], j[order], own.copy()
+    got_i, got_j = [i[:0]], [j[:0]]
+    while len(i):
+        cross = own[i] != own[j]
+        i, j = i[cross], j[cross]
+        if not len(i):
+            break
+        best = np.full(int(own.max()) + 1, len(i))
+        for end in (own[i], own[j]):
+            np.minimum.at(best, end, np.arange(len(i)))
+        pick = np.unique(best[best < len(i)])
+        got_i.append(i[pick])
+        got_j.append(j[pick])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        for a, b in zip(own[i[pick]].tolist(), own[j[pick]].tolist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        parts, at = np.unique(own, return_inverse=True)
+        own = np.array([find(x) for x in parts.tolist()], np.int64)[at]
+    return np.concatenate(got_i), np.concatenate(got_j)
+
+
+def _near_pairs(region: np.ndarray, n: np.ndarray, label: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of a region with different labels that may link by their bitmaps, and how far they are at least. Regions stand together."""
+    size = np.array([len(x) for x in bits])
+    words, place = {}, {}
+    for s in np.unique(size).tolist():
+        rows = np.flatnonzero(size >= s)
+        words[s] = np.stack([_folded(bits[r], s) for r in rows.tolist()])
+        place[s] = np.zeros(len(size), np.int64)
+        place[s][rows] = np.arange(len(rows))
+    edge = np.flatnonzero(np.append(region[1:] != region[:-1], True))
+    end = np.repeat(edge, np.diff(np.append(-1, edge)))
+    live, k = np.arange(len(region)), 0
+    out = [(live[:0], live[:0], np.zeros(0))]
+    while True:
+        k += 1
+        live = live[end[live] - live >= k]
+        if not len(live):
+            break
+        i, j = live, live + k
+        ok = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (label[i] != label[j])
+        i, j = i[ok], j[ok]
+        lower = np.minimum(size[i], size[j])
+        for s in np.unique(lower).tolist():
+            a, b = i[lower == s], j[lower == s]
+            d = _differ(words[s][place[s][a]], words[s][place[s][b]])
+            both = n[a] + n[b]
+            near = d <= _within(both, percent)
+            out.append((a[near], b[near], d[near] / both[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def near_pairs(members: DataFrame, label: DataFrame | None, percent: int = PERCENT, every: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) across labels that may link: all, or of each region a forest that connects what they connect."""
+    if label is None:
+        members = members.withColumn("label", F.col("id"))
+    else:
+        members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    columns = ["region", "id", "n", "label", "bits"]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch | None:
+        region, ids, n, labels = (t.column(c).to_numpy().astype(np.int64) for c in columns[:4])
+        i, j, far = _near_pairs(region, n, labels, t.column("bits").to_pylist(), percent)
+        if not every and len(i):
+            _, own = np.unique(np.stack([region, labels]), axis=1, return_inverse=True)
+            i, j = _forest(i, j, far, own.ravel())
+        a, b = ids[i], ids[j]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]) if len(a) else None
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            region = t.column("region").to_numpy()
+            cut = int(np.flatnonzero(region == region[-1])[0])  # the last region may go on
+            rest = t.slice(cut)
+            if cut and (got := pairs(t.slice(0, cut))) is not None:
+                yield got
+        if rest is not None and (got := pairs(rest)) is not None:
+            yield got
+
+    return members.select(columns).repartition("region").sortWithinPartitions("region", "id").mapInArrow(tidied(run), "a long, b long").distinct()
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:
     """One row per document: its id, n_shingles and component_id, the smallest id reachable by links."""
     texts = _docs(docs, id_col, text_col)
     made = saved(summaries(texts), "summaries")
@@ -244,60 +470,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     same = own.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     classes = saved(own.join(same, ["n", "f1", "f2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "classes")
 
-    by = Window.partitionBy("cell")
-    shared = saved(_crowded(cells(texts, counters(made), percent), percent), "cells")
+    rarity = docs.sparkSession.sparkContext.broadcast(counters(made))
     dropped(made)
+    shared = saved(_crowded(cells(texts, rarity, percent), percent), "cells")
+    rarity.unpersist()
     reps = classes.where("n_shingles > 0 and id is not null").select("id", "rep").distinct()
-    members = _distinct_cells(_crowded(shared.join(reps, "id").select("cell", F.col("rep").alias("id"), "n").distinct(), percent))
-    members = saved(members, "members")
+    placed = regions_of(_crowded(shared.join(reps, "id").select("cell", F.col("rep").alias("id"), "n").distinct(), percent))
     dropped(shared)
-    # A document in many cells is the likeliest centre of a group; its cells then share it as pivot.
-    members = members.join(members.groupBy("id").agg((-F.count("*")).alias("far")), "id").select("cell", "id", "n", "far")
-    ids = members.select("id").distinct()
-    held = saved(sets(texts.join(ids, "id", "left_semi")), "sets")
-
-    label, links, tested, last, open_ = None, None, None, None, members
-    for turn in range(rounds):
-        mixed = saved(_mixed(open_, label), "mixed") if turn else _mixed(members, None)
-        if turn:
-            each = mixed.groupBy("cell", "label").count()
-            left = each.groupBy("cell").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-            if not left:
-                return _answer(classes, label, id_col)
-            if last is not None and left > 0.5 * last:
-                break
-            last = left
-        # The pivot of a cell: first its document of most cells, then such a one outside of the smallest class.
-        lead = mixed.withColumn("lo", F.min("label").over(by)) if turn else mixed.withColumn("lo", F.lit(None).cast("long"))
-        pivot = F.min(F.when(F.col("lo").isNull() | (F.col("label") != F.col("lo")), F.struct("far", "id", "n", "label"))).over(by)
-        lead = lead.withColumn("p", pivot)
-        pairs = lead.where((F.col("p.label") != F.col("label")) & _fits("n", "p.n", percent))
-        pairs = pairs.select(F.least("p.id", "id").alias("a"), F.greatest("p.id", "id").alias("b")).distinct()
+    held = saved(sets(texts.join(_small(placed.select("id").distinct()), "id", "left_semi")), "sets")
+    members = saved(placed.join(held.select("id", "n", "bits"), ["id", "n"]).select("region", "id", "n", "bits"), "members")
+    dropped(placed)
+
+    small, hot, stars = divided(members, percent, leaf, rounds)
+    label, tested = None, None
+
+    def met(pairs: DataFrame) -> None:
+        """Measures the pairs that weren't yet, and follows their links."""
+        nonlocal label, tested
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = saved(measure(pairs, held), "measured")
+        links = now.where(linked(percent)).select("a", "b")
         tested = now if tested is None else tested.unionByName(now)
-        links = tested.where(linked(percent)).select("a", "b")
-        label = components(links)
-        # The pivot has met all others of its cell; the rest recurse without it.
-        open_ = lead.where(F.col("p.id") != F.col("id")).select("cell", "id", "n", "far")
-    # What is left: pairs across classes, each in the first cell that both share.
-    mixed = saved(_mixed(open_, label), "mixed")
-    near = tested.select("a", "b", (1 - F.col("shared") / F.col("union")).alias("d"))
-    far = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "d").unionByName(near.select(F.col("b").alias("pivot"), F.col("a").alias("id"), "d"))
-    pivots = members.groupBy("cell").agg(F.min(F.struct("far", "id")).alias("p")).select("cell", F.col("p.id").alias("pivot"))
-    placed = mixed.join(pivots, "cell").join(far, ["pivot", "id"], "left").withColumn("d", F.when(F.col("pivot") == F.col("id"), 0.0).otherwise(F.col("d")))
-    own_cells = mixed.groupBy("id").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    placed = saved(placed.join(own_cells, "id"), "placed")
-    x = placed.select("cell", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "label", "d", "cells")))
-    y = placed.select("cell", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "label", "d", "cells")))
-    window = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    first = F.array_min(F.array_intersect("cells1", "cells2")) == x["cell"]
-    rest = x.join(y, (x["cell"] == y["cell"]) & (F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2")) & _fits("n1", "n2", percent) & window & first)
-    rest = rest.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(measure(rest, held).where(linked(percent)).select("a", "b"), "links")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+        if label is None:
+            label = components(links)
+        elif not links.isEmpty():
+            label = components(links.unionByName(label.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+
+    first = near_pairs(small, None, percent)
+    met(first if stars is None else first.unionByName(stars).distinct())
+    if hot is not None:
+        met(near_pairs(hot, label, percent))
+    met(near_pairs(small if hot is None else small.unionByName(hot), label, percent, every=True))
+    dropped(members, held)
     return _answer(classes, label, id_col)
 
 

@@ -6,7 +6,8 @@ partition. A single longer text forms a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64) * _U(2) + _U(1)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -45,6 +47,26 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def release() -> None:
+    """Gives free memory back to the system; a worker waits beside others once its task is done."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """The function over batches, releasing memory when its task ends."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def text_slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the texts of each hold at most ``most`` bytes, or one row."""
     for batch in batches:
