@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textarrays import codepoints, text_slices
+from .textarrays import codepoints, text_slices, tidied
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
-#: Pieces that a task keeps; a full cache starts anew.
-CACHE = 1_000_000
+#: Bytes of merged pieces that a task keeps, as estimated; a full cache starts anew, and none outlives its task.
+CACHE = 32_000_000
+#: What a piece takes besides its text.
+_PIECE = 200
 #: Longer pieces are merged by a heap.
 LONG = 96
 
@@ -133,10 +135,12 @@ class Coder:
         self.joins = joins
         self.join_keys = np.array(sorted(joins), np.int64)
         self.join_ids = np.array([joins[k] for k in self.join_keys.tolist()], np.int64)
-        self._reset()
+        self.forget()
 
-    def _reset(self):
+    def forget(self):
+        """Empties the cache."""
         self.known: dict[str, int] = {}
+        self.held = 0
         self.pool, self.pool_n = np.zeros(1 << 16, np.int32), 0
         self.piece_at, self.piece_n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -223,12 +227,11 @@ class Coder:
         self.piece_n[base : base + len(pieces)] = n
         self.pool_n += len(ids)
         self.known.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces)) + _PIECE * len(pieces)
 
     def encode(self, texts: pa.Array) -> Encoded:
         cps, at, joined = codepoints(texts)
         begin = starts(cps, at)
-        if len(self.known) > CACHE:
-            self._reset()
         bounds = [*begin.tolist(), len(joined)]
         pieces = [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         new = [p for p in dict.fromkeys(pieces) if p not in self.known]
@@ -237,6 +240,8 @@ class Coder:
         which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         size = self.piece_n[which]
         ids = self.pool[_spread(self.piece_at[which], size)]
+        if self.held > CACHE:
+            self.forget()
         ends = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=ends[1:])
         return Encoded(ids, ends[np.searchsorted(begin, at)])
@@ -259,25 +264,36 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
+def _with_coder(path: str, body: Callable) -> Callable:
+    """body(coder, batches) as a function over batches, which leaves no cache behind."""
+
+    def run(batches):
+        own = coder(path)
+        try:
+            yield from body(own, batches)
+        finally:
+            own.forget()
+
+    return tidied(run)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The documents with all their columns and ``ids``, the token ids of the text (array of int)."""
     kept = [c for c in docs.columns if c != "ids"]
 
-    def run(batches):
-        own = coder(path)
+    def run(own, batches):
         for b in text_slices(batches, text_col):
             got = own.encode(b.column(kept.index(text_col)))
             yield pa.record_batch([*b.columns, pa.ListArray.from_arrays(pa.array(got.at, pa.int32()), pa.array(got.ids, pa.int32()))], names=[*kept, "ids"])
 
-    return docs.select(kept).mapInArrow(run, T.StructType([*docs.select(kept).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.select(kept).mapInArrow(_with_coder(path, run), T.StructType([*docs.select(kept).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with all their columns and ``decoded`` (binary) and ``offsets`` (byte offset of each token's end)."""
     kept = [c for c in tokens.columns if c not in ("decoded", "offsets")]
 
-    def run(batches):
-        own = coder(path)
+    def run(own, batches):
         for b in batches:
             lists = b.column(kept.index(ids_col))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -288,15 +304,14 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.record_batch([*b.columns, pa.array([raw[s:e] for s, e in zip(begin[:-1], begin[1:], strict=True)], pa.binary()), pa.array([offsets[s + 1 : e + 1] - offsets[s] for s, e in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))], names=[*kept, "decoded", "offsets"])
 
     schema = T.StructType([*tokens.select(kept).schema, T.StructField("decoded", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.LongType()))])
-    return tokens.select(kept).mapInArrow(run, schema)
+    return tokens.select(kept).mapInArrow(_with_coder(path, run), schema)
 
 
 def tokenize(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The documents with all their columns and ids, n_tokens, and lossless: whether the ids decode to the text."""
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "lossless")]
 
-    def run(batches):
-        own = coder(path)
+    def run(own, batches):
         for b in text_slices(batches, text_col):
             texts = b.column(kept.index(text_col))
             got = own.encode(texts)
@@ -307,7 +322,7 @@ def tokenize(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([*b.columns, ids, pa.array(np.diff(got.at)), pa.array(same)], names=[*kept, "ids", "n_tokens", "lossless"])
 
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
-    return docs.select(kept).mapInArrow(run, T.StructType([*docs.select(kept).schema, *more]))
+    return docs.select(kept).mapInArrow(_with_coder(path, run), T.StructType([*docs.select(kept).schema, *more]))
 
 
 def _sha(parts: Iterator[bytes]) -> list[str]:
@@ -318,8 +333,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     """By document its number of tokens, and digests of its ids and of what they decode to."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def run(batches):
-        own = coder(path)
+    def run(own, batches):
         text = [f" {i}" for i in range(own.size)]
         for b in text_slices(batches):
             got = own.encode(b.column(1))
@@ -331,4 +345,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             decoded_sha = _sha(raw[s:e] for s, e in zip(begin[:-1], begin[1:], strict=True))
             yield pa.record_batch([b.column(0), pa.array(np.diff(got.at)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_with_coder(path, run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
