@@ -11,6 +11,7 @@ from itertools import groupby
 from leafwork.functions import rolls as R
 from leafwork.functions.references import References, anchor
 from leafwork.functions.references import plain as squeeze
+from leafwork.functions.scan import Span, disjoint
 from leafwork.operators.blocks import ENDS, plain
 
 #: Fixed value: the version of the program that journals are for.
@@ -113,25 +114,25 @@ def headings(blocks: Iterable[dict]) -> Iterable[str]:
             yield squeeze(plain(b))
 
 
-def annotator(pages: list[dict], printed: dict[int, int], with_rolls: bool, with_links: bool) -> Callable[[str], list[R.Span]]:
+def annotator(pages: list[dict], printed: dict[int, int], with_rolls: bool, with_links: bool) -> Callable[[str], list[Span]]:
     """Replacements in a text: rolls, and the links that meet none."""
     names = [x for p in pages for x in [(p["title"], f".{p['id']}"), *((h, f".{p['id']}#{anchor(h)}") for h in headings(p["blocks"]))]]
     refs = References(names, [(n, p["id"]) for p in pages for n in p["pdf_pages"]], printed) if with_links else None
 
-    def annotate(text: str) -> list[R.Span]:
+    def annotate(text: str) -> list[Span]:
         found = R.find_rolls(text) if with_rolls else []
-        return sorted(found + [s for s in (refs.find(text) if refs else ()) if not R.meets(s.start, s.end, found)])
+        return sorted(found + disjoint(refs.find(text) if refs else (), found))
 
     return annotate
 
 
-def splice(text: str, spans: list[R.Span]) -> str:
+def splice(text: str, spans: list[Span]) -> str:
     for s in reversed(spans):
         text = text[: s.start] + s.text + text[s.end :]
     return text
 
 
-def splice_runs(runs: list[list], spans: list[R.Span]) -> list[list]:
+def splice_runs(runs: list[list], spans: list[Span]) -> list[list]:
     """Replacements over runs: each takes the form of the run where it starts."""
     if not spans:
         return runs
@@ -163,7 +164,7 @@ def runs_html(runs: list[list], heading: bool = False) -> str:
     return squeeze(out)
 
 
-def table_html(table: dict, annotate: Callable[[str], list[R.Span]], with_rolls: bool) -> str:
+def table_html(table: dict, annotate: Callable[[str], list[Span]], with_rolls: bool) -> str:
     rows = [(i in table["th"], r) for i, r in enumerate(table["rows"]) if any(r)]
     if not rows:
         return ""
@@ -181,7 +182,7 @@ def table_html(table: dict, annotate: Callable[[str], list[R.Span]], with_rolls:
     return f"<table><tbody>{''.join(lines)}</tbody></table>"
 
 
-def render(blocks: list[dict], source: Callable[[str], str], annotate: Callable[[str], list[R.Span]], with_rolls: bool) -> str:
+def render(blocks: list[dict], source: Callable[[str], str], annotate: Callable[[str], list[Span]], with_rolls: bool) -> str:
     parts = []
     told = lambda b: runs_html(splice_runs(b["runs"], annotate(plain(b))))
     for (kind, ordered), group in groupby(blocks, key=lambda b: (b["k"], b["k"] == "li" and b["ordered"])):
@@ -217,7 +218,7 @@ def entry(doc: str, name: str, pages: list[dict], source: str, now_ms: int) -> d
         }
         for i, p in enumerate(pages)
     ]
-    return {"_id": page_id(doc, -1), "name": name, "pages": told, "folder": None, "sort": 0, "ownership": {"default": 0}, "flags": {"pdf2journal": {"source": source}}, "_stats": stats}
+    return {"_id": page_id(doc, -1), "name": name, "pages": told, "folder": None, "sort": 0, "ownership": {"default": 0}, "flags": {"leafwork": {"source": source}}, "_stats": stats}
 
 
 def macro(made: dict) -> str:

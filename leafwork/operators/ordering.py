@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,25 +32,63 @@ def columns(items: DataFrame, keys: list[str], tie: str = "item_no") -> DataFram
     return islands(items, keys, ["x0", "x1", tie], F.col("x0") > reach + COLUMN_SLACK, "col")
 
 
-def reading_order(items: DataFrame, keys: list[str], depth: int = 8, tie: str = "item_no") -> DataFrame:
-    """Items with ``place``, their rank in reading order on the page.
+def page_order(rects: np.ndarray, x0: float | None = None, x1: float | None = None) -> list[int]:
+    """Rows of an array of rectangles in reading order.
 
-    A region is cut into bands and each band into columns, which are regions again; every pass
-    adds a step to the items' paths, until a region is one column. Passes are bounded by how
-    deep columns nest on real pages. Items are dealt out by page once: every window's keys hold the
-    page's, so no pass shuffles again.
+    A region is cut into bands at its wide items, and a band into columns, which are regions
+    again, until a band is one column: that reads from the top, then from the left. Regions wait on a stack,
+    so they may nest as deep as they like.
     """
-    out = items.repartition(*keys).withColumn("path", F.array().cast("array<long>"))
-    for _ in range(depth):
-        region = [*keys, "path"]
-        w = Window.partitionBy(*region)
-        sized = out.withColumns({"rx0": F.min("x0").over(w), "rx1": F.max("x1").over(w)})
-        banded = bands(sized, region, tie=tie)
-        split = columns(banded, [*region, "band"], tie)
-        step = F.array(F.col("band").cast("long"), F.col("col").cast("long"))
-        out = split.withColumn("path", F.concat("path", step)).drop("rx0", "rx1", "wide", "band", "col")
-    w = Window.partitionBy(*keys).orderBy("path", "y0", "x0", tie)
-    return out.withColumn("place", F.row_number().over(w)).drop("path")
+    out: list[int] = []
+    if not len(rects):
+        return out
+    top = np.lexsort((rects[:, 0], rects[:, 1]))
+    bounds = (rects[:, 0].min(), rects[:, 2].max()) if x0 is None or x1 is None else (x0, x1)
+    todo: list[tuple[np.ndarray, tuple[float, float] | None]] = [(top, bounds)]
+    while todo:
+        own, sides = todo.pop()
+        if sides is None or len(own) < 2:
+            out += own.tolist()
+            continue
+        wide = rects[own, 2] - rects[own, 0] >= WIDE * max(1.0, sides[1] - sides[0])
+        band = 2 * np.cumsum(wide) - wide
+        parts = []
+        for piece in np.split(own, np.flatnonzero(np.diff(band)) + 1):
+            by_side = piece[np.lexsort((rects[piece, 2], rects[piece, 0]))]
+            reach = np.maximum.accumulate(rects[by_side, 2])
+            gaps = np.flatnonzero(rects[by_side[1:], 0] > reach[:-1] + COLUMN_SLACK) + 1
+            if not len(gaps):
+                parts.append((piece, None))
+                continue
+            for column in np.split(by_side, gaps):
+                inside = piece[np.isin(piece, column)]  # from the top again
+                parts.append((inside, (rects[inside, 0].min(), rects[inside, 2].max())))
+        todo += reversed(parts)
+    return out
+
+
+def reading_order(items: DataFrame, keys: list[str], tie: str = "item_no") -> DataFrame:
+    """Items with ``place``, their rank in reading order on the page; of equal places the smaller ``tie`` goes first.
+
+    How deep columns nest isn't known beforehand, so a page's rectangles, gathered in one row, are ordered in an Arrow function.
+    """
+    columns_ = [c for c in items.columns if c not in keys]
+
+    @F.pandas_udf("array<int>")
+    def places(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        out = []
+        for sides in zip(x0, y0, x1, y1, strict=True):
+            order = page_order(np.stack(sides, axis=1))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(1, len(order) + 1)
+            out.append(rank)
+        return pd.Series(out)
+
+    pages = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(tie).alias("_tie"), *columns_))).alias("_items"))
+    side = lambda c: F.transform("_items", lambda i: i[c].cast("double"))
+    placed = pages.withColumn("_places", places(*map(side, ("x0", "y0", "x1", "y1"))))
+    each = placed.select(*keys, F.explode(F.arrays_zip(F.col("_items").alias("item"), F.col("_places").alias("place"))).alias("x"))
+    return each.select(*keys, *(F.col(f"x.item.{c}").alias(c) for c in columns_), F.col("x.place").alias("place"))
 
 
 def join_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

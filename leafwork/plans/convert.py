@@ -185,7 +185,7 @@ def convert(layout: Layout, options: Options = Options(), name: str | None = Non
         for i, p in enumerate(pages):
             p["id"] = J.page_id(key[0], i)
         annotate = J.annotator(pages, numbers, options.rolls, options.links)
-        prefix = options.asset_prefix if options.asset_prefix is not None else f"pdf2journal/{stem}"
+        prefix = options.asset_prefix if options.asset_prefix is not None else f"leafwork/{stem}"
         html = lambda p, folder: J.render(p["blocks"], lambda f: f"{folder}/{f}", annotate, options.rolls)
         for p in pages:
             p["html"] = html(p, prefix)

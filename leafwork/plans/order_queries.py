@@ -48,7 +48,7 @@ def w3_column_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w4_o1_reading_order", None)
 def w4_o1_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.reading_order(page_rects(spark, sf_dir), _PAGE, depth=4).select(*_PAGE, "item_no", "place")
+    return O.reading_order(page_rects(spark, sf_dir), _PAGE).select(*_PAGE, "item_no", "place")
 
 
 @query("p19_a8_line_text", f"""WITH {SPANS_SQL}, t AS (SELECT *, lag(text) OVER w AS pt, lag(x1) OVER w AS px FROM spans WHERE text <> '' WINDOW w AS (PARTITION BY book_id, page_no, line_no ORDER BY span_no))

@@ -39,7 +39,7 @@ def list_worlds(data_dir: str | Path) -> list[str]:
 
 
 def world_output_dir(data_dir: str | Path, world: str) -> Path:
-    return Path(data_dir) / "worlds" / checked_world(world) / "pdf2journal"
+    return Path(data_dir) / "worlds" / checked_world(world) / "leafwork"
 
 
 def checked_world(world: str) -> str:
@@ -50,7 +50,7 @@ def checked_world(world: str) -> str:
 
 def output_and_prefix(slug: str, out: str | None, world: str | None, data_dir: str | None) -> tuple[str, str]:
     """Output folder and asset prefix: a world with a data folder takes precedence over ``out``."""
-    prefix = f"worlds/{checked_world(world)}/pdf2journal/{slug}" if world else f"pdf2journal/{slug}"
+    prefix = f"worlds/{checked_world(world)}/leafwork/{slug}" if world else f"leafwork/{slug}"
     if world and data_dir:
         return str(world_output_dir(data_dir, world)), prefix
     return out or ".", prefix

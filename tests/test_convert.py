@@ -40,7 +40,7 @@ def test_text(by_page):
     assert "<blockquote><h4>Nota do Guardião</h4>" in text
     assert "Livro" not in text.replace("Livros", "")
     assert "<th>1D6</th>" in text and "<td>Ratos</td>" in text and "<em>Um texto em itálico.</em>" in text
-    assert "pdf2journal/sample/sample-p002-01.webp" in text
+    assert "leafwork/sample/sample-p002-01.webp" in text
 
 
 def test_no_split_without_images(book):

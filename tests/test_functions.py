@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.functions import glyphs, pages, references, rolls, stats, text
+from leafwork.functions import glyphs, pages, references, rolls, scan, stats, text
 from leafwork.operators import blocks, geometry, journal, ordering
 from leafwork.sources import worlds
 
@@ -75,7 +77,7 @@ def test_html():
     runs = [["a ", True, False, False], [" ", False, False, False], ["b<", True, True, False], ["2", False, False, True]]
     assert journal.runs_html(runs) == "<strong>a</strong> <strong><em>b&lt;</em></strong><sup>2</sup>" and journal.runs_html(runs, True) == "a <em>b&lt;</em><sup>2</sup>"
     assert journal.table_html({"k": "table", "rows": [["", ""], ["a", "b"]], "th": []}, lambda t: [], False) == "<table><tbody><tr><td>a</td><td>b</td></tr></tbody></table>"
-    assert journal.splice_runs([["ab", True, False, False], ["cd", False, False, False]], [rolls.Span(1, 3, "X")]) == [["aX", True, False, False], ["d", False, False, False]]
+    assert journal.splice_runs([["ab", True, False, False], ["cd", False, False, False]], [scan.Span(1, 3, "X")]) == [["aX", True, False, False], ["d", False, False, False]]
 
 
 def test_rectangles_merge_to_a_fixpoint():
@@ -83,18 +85,53 @@ def test_rectangles_merge_to_a_fixpoint():
     assert geometry.merge_overlapping([(0, 0, 10, 10), (13, 0, 20, 10)], 2.0) == [(0, 0, 10, 10), (13, 0, 20, 10)]
 
 
+def plainly_ordered(rects, x0, x1):
+    """Reading order by plain recursion: numbers of (x0, y0, x1, y1, number)."""
+    band, out = [], []
+    for r in [*sorted(rects, key=lambda r: (r[1], r[0], r[4])), None]:
+        if r is not None and r[2] - r[0] < 0.6 * max(1.0, x1 - x0):
+            band.append(r)
+            continue
+        columns = []
+        for b in sorted(band):
+            if columns and b[0] <= max(c[2] for c in columns[-1]) + 2:
+                columns[-1].append(b)
+            else:
+                columns.append([b])
+        if len(columns) < 2:
+            out += [b[4] for b in band]
+        else:
+            for c in columns:
+                out += plainly_ordered(c, min(b[0] for b in c), max(b[2] for b in c))
+        out += [r[4]] if r else []
+        band = []
+    return out
+
+
 def test_reading_order(spark):
     rects = [(0, 0, 100, 10), (0, 20, 40, 30), (60, 20, 100, 30), (0, 40, 40, 50), (60, 40, 100, 50), (0, 60, 100, 70), (0, 80, 30, 90)]
-    rows = spark.createDataFrame([(1, i, *map(float, r)) for i, r in enumerate(rects)], "page_no int, item_no int, x0 double, y0 double, x1 double, y1 double")
-    got = [r["item_no"] for r in ordering.reading_order(rows, ["page_no"], depth=3).orderBy("place").collect()]
-    assert got == [0, 1, 3, 2, 4, 5, 6] == [i["n"] for i in blocks.in_order([{"bbox": r, "n": i} for i, r in enumerate(rects)])]
+    drawn, r = [rects, [(420, 444, 480, 534), (315, 686, 435, 726), (315, 644, 375, 656), (310, 20, 500, 60)]], random.Random(3)
+    for _ in range(300):
+        drawn.append([(x := r.randrange(0, 560, 15), y := r.randrange(0, 700, 12), x + r.randrange(15, 300, 15), y + r.randrange(10, 90, 10)) for _ in range(r.randrange(1, 14))])
+    deep = [(0, 0, 4096, 1)]  # columns within columns, a dozen deep
+    for k in range(12):
+        w = 4096 >> k
+        deep += [(w * 0.55, k * 10 + 5, w, k * 10 + 8), (0, k * 10 + 5, w * 0.3, k * 10 + 6)]
+    drawn.append(deep)
+    kind = "page_no int, item_no int, x0 double, y0 double, x1 double, y1 double, note string"
+    rows = spark.createDataFrame([(p, i, *map(float, x), "n") for p, page in enumerate(drawn) for i, x in enumerate(page)], kind)
+    got = {}
+    for row in ordering.reading_order(rows, ["page_no"]).orderBy("page_no", "place").collect():
+        got.setdefault(row["page_no"], []).append(row["item_no"])
+    want = {p: plainly_ordered([(*x, i) for i, x in enumerate(page)], min(x[0] for x in page), max(x[2] for x in page)) for p, page in enumerate(drawn)}
+    assert got == want and got[0] == [0, 1, 3, 2, 4, 5, 6]
 
 
 def test_worlds(tmp_path):
     for name in ("zeta", "Arkham", "beta"):
         (tmp_path / "worlds" / name).mkdir(parents=True)
     assert worlds.list_worlds(tmp_path) == ["Arkham", "beta", "zeta"] and worlds.list_worlds(tmp_path / "no") == []
-    assert worlds.output_and_prefix("s", "o", "arkham", str(tmp_path)) == (str(tmp_path / "worlds/arkham/pdf2journal"), "worlds/arkham/pdf2journal/s")
-    assert worlds.output_and_prefix("s", "o", None, None) == ("o", "pdf2journal/s")
+    assert worlds.output_and_prefix("s", "o", "arkham", str(tmp_path)) == (str(tmp_path / "worlds/arkham/leafwork"), "worlds/arkham/leafwork/s")
+    assert worlds.output_and_prefix("s", "o", None, None) == ("o", "leafwork/s")
     with pytest.raises(worlds.SettingsError):
         worlds.checked_world("../x")
