@@ -7,7 +7,8 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-_WORD = re.compile(r"\w+|[^\w\s]")
+#: Dice, numbers, words, and signs one by one.
+_WORD = re.compile(r"\d*[dD]\d+|\d+|[^\W\d]+|[^\w\s]")
 
 
 class Span(NamedTuple):
@@ -40,6 +41,10 @@ class Words:
         """Whether nothing stands between word i and the word before."""
         return 0 < i < len(self.at) and self.at[i - 1][1] == self.at[i][0]
 
+    def bound(self, i: int) -> bool:
+        """Whether a word may start or end before word i: there aren't letters or digits on both sides without a blank."""
+        return not (self.touches(i) and self.word(i - 1)[-1].isalnum() and self.word(i)[0].isalnum())
+
     def between(self, i: int, j: int) -> str:
         """The text from word i to the word before j."""
         return self.text[self.at[i][0] : self.at[j - 1][1]] if i < j else ""

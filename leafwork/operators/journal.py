@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import re
 from collections.abc import Callable, Iterable
-from itertools import groupby
+from itertools import dropwhile, groupby
 
 from leafwork.functions import rolls as R
 from leafwork.functions.references import References, anchor
 from leafwork.functions.references import plain as squeeze
 from leafwork.functions.scan import Span, disjoint
-from leafwork.operators.blocks import ENDS, plain
+from leafwork.operators.paragraphs import ENDS, plain
 
 #: Fixed value: the version of the program that journals are for.
 CORE_VERSION = "13.351"
@@ -22,88 +23,92 @@ def is_heading(b: dict | None) -> bool:
     return bool(b) and b["k"][0] == "h"
 
 
-def tidy(blocks: list[dict], across: bool) -> list[dict]:
-    """Drop caps put before their paragraphs, titles repeated after a break dropped, broken paragraphs and boxes joined.
+def without_repeats(blocks: list[dict]) -> list[dict]:
+    """Headings at the top of a page that repeat the last heading before it are dropped."""
+    told = lambda b: (b["k"], squeeze(plain(b)).casefold())
+    tops = [k for k, b in enumerate(blocks) if b["k"] == "break"]
+    out, title = blocks[: tops[0]] if tops else list(blocks), None
+    for a, z in zip(tops, [*tops[1:], len(blocks)], strict=False):
+        title = next((told(b) for b in reversed(out) if is_heading(b)), title)
+        out += [blocks[a], *dropwhile(lambda b: is_heading(b) and told(b) == title, blocks[a + 1 : z])]
+    return out
 
-    ``across``: whether paragraphs and boxes are joined over page breaks.
-    """
-    out: list[dict] = []
-    capital, open_, title, fresh = "", None, None, False
+
+def with_capitals(blocks: list[dict]) -> list[dict]:
+    """Drop caps put before the next text, in its first run's weight; one with no text after it is lost."""
+    out, capital = [], ""
     for b in blocks:
-        if b["k"] == "box":
-            own, prev = b["children"], box_before_break(out) if across else None
-            if prev is not None and not is_heading(own[0] if own else None):
-                prev["children"] = tidy(prev["children"] + own, False)
-            else:
-                out.append({"k": "box", "children": tidy(own, False)})
-            open_, fresh = None, False
-        elif b["k"] == "break":
-            out.append(b)
-            fresh, open_ = True, open_ if across else None
+        if b["k"] == "dropcap":
+            capital += plain(b).strip()
+        elif capital and b.get("runs"):
+            first = b["runs"][0]
+            out.append(b | {"runs": [[capital, first[1], first[2], False], *b["runs"]]})
+            capital = ""
         else:
-            if is_heading(b):
-                key = b["k"], squeeze(plain(b)).casefold()
-                if fresh and key == title:
-                    continue
-                title = key
-            fresh = False
-            if b["k"] == "dropcap":
-                capital += plain(b).strip()
-                continue
-            if "runs" not in b:
-                out.append(b)
-                open_ = None
-                continue
-            b = b | {"runs": [list(r) for r in b["runs"]]}
-            if capital and b["runs"]:
-                b["runs"].insert(0, [capital, b["runs"][0][1], b["runs"][0][2], False])
-                capital = ""
-            if b["k"] == "p" and open_ is not None and goes_on(plain(open_), plain(b)):
-                open_["runs"] += [[" ", False, False, False], *b["runs"]]
-                continue
             out.append(b)
-            open_ = b if b["k"] in ("p", "li") else None
     return out
 
 
-def box_before_break(out: list[dict]) -> dict | None:
-    rest = list(out)
-    while rest and rest[-1]["k"] == "break":
-        rest.pop()
-    return rest[-1] if rest and len(rest) < len(out) and rest[-1]["k"] == "box" else None
+def before(out: list[dict], across: bool) -> int | None:
+    """The place of the last block; over breaks, if they may be crossed."""
+    k = len(out) - 1
+    while across and k >= 0 and out[k]["k"] == "break":
+        k -= 1
+    return k if k >= 0 else None
 
 
-def goes_on(before: str, after: str) -> bool:
-    before, after = before.rstrip(), after.lstrip()
-    return bool(before) and not before.endswith(ENDS) and after[:1].islower()
+def with_joins(blocks: list[dict], across: bool) -> list[dict]:
+    """Paragraphs that go on with a small letter joined to the text before; boxes joined to the box before the page's top."""
+    out: list[dict] = []
+    for b in blocks:
+        k = before(out, across)
+        last = out[k] if k is not None else {"k": ""}
+        if b["k"] == "p" and last["k"] in ("p", "li") and goes_on(plain(last), plain(b)):
+            out[k] = last | {"runs": [*last["runs"], [" ", False, False, False], *b["runs"]]}
+        elif b["k"] == "box" and last["k"] == "box" and k < len(out) - 1 and not is_heading(next(iter(b["children"]), None)):
+            out[k] = {"k": "box", "children": tidy(last["children"] + b["children"], False)}
+        else:
+            out.append({"k": "box", "children": tidy(b["children"], False)} if b["k"] == "box" else b)
+    return out
+
+
+def tidy(blocks: list[dict], across: bool) -> list[dict]:
+    """Repeated titles dropped, drop caps put before their texts, broken paragraphs and boxes joined.
+
+    ``across``: whether paragraphs and boxes are joined over page breaks.
+    """
+    return with_joins(with_capitals(without_repeats(blocks)), across)
+
+
+def goes_on(first: str, then: str) -> bool:
+    """Whether a text ends without a sentence's end and the next starts small."""
+    return bool(first.strip()) and not first.rstrip().endswith(ENDS) and then.lstrip()[:1].islower()
 
 
 def split(stream: list[dict], mode: str, level: int, name: str) -> list[dict]:
     """Journal pages (title, blocks, pdf_pages): one for each page, for each heading of the level or above, or one in all."""
-    if mode == "page":
-        pages = []
-        for b in tidy(stream, False):
-            if b["k"] == "break":
-                pages.append({"title": f"Página {b['n']}", "blocks": [], "pdf_pages": [b["n"]]})
-            elif pages:
-                pages[-1]["blocks"].append(b)
-        for p in pages:
-            if p["blocks"] and is_heading(p["blocks"][0]):
-                p["title"] = squeeze(plain(p["blocks"].pop(0)))
-        return [p for p in pages if p["blocks"] or p["title"]]
-    blocks = tidy(stream, True)
-    if mode == "none":
-        return [{"title": name, "blocks": [b for b in blocks if b["k"] != "break"], "pdf_pages": [b["n"] for b in blocks if b["k"] == "break"]}]
-    pages = [{"title": name, "blocks": [], "pdf_pages": []}]
-    for b in blocks:
-        if b["k"] == "break":
-            pages[-1]["pdf_pages"].append(b["n"])
-        elif is_heading(b) and int(b["k"][1:]) <= level:
-            pages.append({"title": squeeze(plain(b)), "blocks": [], "pdf_pages": pages[-1]["pdf_pages"][-1:]})
+    blocks = tidy(stream, mode != "page")
+    at_break = lambda b: b["k"] == "break"
+    opens = {"page": at_break, "heading": lambda b: is_heading(b) and int(b["k"][1:]) <= level, "none": lambda b: False}[mode]
+    cuts = [k for k, b in enumerate(blocks) if opens(b)]
+    if mode != "page":
+        cuts = [-1, *cuts]  # what stands before the first heading has the journal's name
+    pages, seen = [], []
+    for a, z in zip(cuts, [*cuts[1:], len(blocks)], strict=False):
+        numbers = [b["n"] for b in blocks[max(a, 0) : z] if at_break(b)]
+        own = [b for b in blocks[a + 1 : z] if not at_break(b)]
+        if mode == "page":
+            title = f"Página {blocks[a]['n']}"
+            if own and is_heading(own[0]):
+                title = squeeze(plain(own.pop(0)))
+            keep = bool(own or title)
         else:
-            pages[-1]["blocks"].append(b)
-    kept = [p for p in pages if p["blocks"] or p["title"] != name]
-    return kept or pages[-1:]
+            title = name if a < 0 else squeeze(plain(blocks[a]))
+            keep = bool(own) or title != name
+            numbers, seen = (seen[-1:] if a >= 0 else []) + numbers, seen + numbers
+        pages.append((keep, {"title": title, "blocks": own, "pdf_pages": numbers}))
+    kept = [p for keep, p in pages if keep]
+    return kept or [p for _, p in pages[-1:] if mode != "page"]
 
 
 def headings(blocks: Iterable[dict]) -> Iterable[str]:
@@ -147,39 +152,39 @@ def splice_runs(runs: list[list], spans: list[Span]) -> list[list]:
 
 def runs_html(runs: list[list], heading: bool = False) -> str:
     """Runs as HTML: equal forms joined, blanks outside of marks, no bold in headings."""
-    joined: list[list] = []
-    for text, bold, italic, sup in runs:
-        form = [bold and not heading, italic, sup]
-        if joined and text and (joined[-1][1:] == form or not text.strip()):
-            joined[-1][0] += text
-        elif text:
-            joined.append([text, *form])
-    out = ""
-    for text, bold, italic, sup in joined:
-        core = html.escape(text.strip(), quote=False)
-        for on, tag in ((sup, "sup"), (italic, "em"), (bold, "strong")):
-            core = f"<{tag}>{core}</{tag}>" if on and core else core
-        lead = text[: len(text) - len(text.lstrip())]
-        out += lead + core + (text[len(text.rstrip()) :] if text.strip() else "")
-    return squeeze(out)
+    forms: list[tuple] = []
+    shown = [r for r in runs if r[0]]
+    for text, bold, italic, sup in shown:  # blanks look like what stands before them
+        forms.append(forms[-1] if forms and not text.strip() else (bold and not heading, italic, sup))
+    out = []
+    for form, group in groupby(zip(forms, shown, strict=True), key=lambda p: p[0]):
+        text = "".join(r[0] for _, r in group)
+        lead, core, tail = re.fullmatch(r"(\s*)(.*?)(\s*)", text, re.S).groups()
+        core = html.escape(core, quote=False)
+        tags = [tag for on, tag in zip(form, ("strong", "em", "sup"), strict=True) if on and core]
+        out.append(lead + "".join(f"<{t}>" for t in tags) + core + "".join(f"</{t}>" for t in reversed(tags)) + tail)
+    return squeeze("".join(out))
 
 
 def table_html(table: dict, annotate: Callable[[str], list[Span]], with_rolls: bool) -> str:
-    rows = [(i in table["th"], r) for i, r in enumerate(table["rows"]) if any(r)]
+    """A table without its empty rows; cells of a column headed by sanity may be losses."""
+    heads = [k in table["th"] for k, r in enumerate(table["rows"]) if any(r)]
+    rows = [r for r in table["rows"] if any(r)]
     if not rows:
         return ""
-    losses = {k for k, c in enumerate(rows[0][1]) if R.SANITY_HEADER.search(c)} if with_rolls and rows[0][0] else set()
+    sanity = [with_rolls and bool(R.SANITY_HEADER.search(c)) and heads[0] for c in rows[0]]
 
-    def cell(k: int, text: str, head: bool) -> str:
-        if not head:
-            text = k in losses and R.loss_cell(text) or splice(text, annotate(text))
+    def linked(k: int, text: str) -> str:
+        loss = R.loss_cell(text) if k < len(sanity) and sanity[k] else None
+        return loss or splice(text, annotate(text))
+
+    def drawn(row: list[str], head: bool) -> str:
         tag = "th" if head else "td"
-        return f"<{tag}>{html.escape(text, quote=False)}</{tag}>"
+        return "<tr>" + "".join(f"<{tag}>{html.escape(c if head else linked(k, c), quote=False)}</{tag}>" for k, c in enumerate(row)) + "</tr>"
 
-    lines = ["<tr>" + "".join(cell(k, c, head) for k, c in enumerate(r)) + "</tr>" for head, r in rows]
-    if [head for head, _ in rows] == [True] + [False] * (len(rows) - 1):
-        return f"<table><thead>{lines[0]}</thead><tbody>{''.join(lines[1:])}</tbody></table>"
-    return f"<table><tbody>{''.join(lines)}</tbody></table>"
+    lines = [drawn(r, h) for r, h in zip(rows, heads, strict=True)]
+    top = 1 if heads[0] and not any(heads[1:]) else 0
+    return "<table>" + ("<thead>" + lines[0] + "</thead>") * top + "<tbody>" + "".join(lines[top:]) + "</tbody></table>"
 
 
 def render(blocks: list[dict], source: Callable[[str], str], annotate: Callable[[str], list[Span]], with_rolls: bool) -> str:
@@ -229,8 +234,6 @@ def macro(made: dict) -> str:
 
 def preview_links(content: str) -> str:
     """Links shown as labelled spans."""
-    import re
-
     content = re.sub(r"@coc7\.(\w+)\[([^\]]*)\]\{([^}]*)\}", r'<span class="roll" title="@coc7.\1[\2]">🎲 \3</span>', content)
     return re.sub(r"@UUID\[([^\]]*)\]\{([^}]*)\}", r'<span class="link" title="@UUID[\1]">📄 \2</span>', content)
 

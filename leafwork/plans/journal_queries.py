@@ -12,7 +12,8 @@ from leafwork.functions.references import References
 from leafwork.functions.rolls import find_rolls, loss_cell
 from leafwork.operators import frames
 from leafwork.operators import journal as J
-from leafwork.operators.blocks import paragraphs, text_tables
+from leafwork.operators.grids import text_tables
+from leafwork.operators.paragraphs import paragraphs
 from leafwork.sources.layout import book_lines, table, word_spans
 
 QUERIES, ORACLE = {}, {}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork.functions import glyphs, pages, references, rolls, scan, stats, text
-from leafwork.operators import blocks, geometry, journal, ordering
+from leafwork.operators import geometry, journal, ordering, paragraphs
 from leafwork.sources import worlds
 
 
@@ -26,13 +26,13 @@ def test_page_specs(spark):
 def test_stat_lines(spark):
     table = lambda t: one(spark, stats.stat_table(F.lit(t)))
     six = "FOR 50 CON 60 TAM 70 DES 40 INT 30 POD 55"
-    assert table(six) == [["FOR", "CON", "TAM", "DES", "INT", "POD"], ["50", "60", "70", "40", "30", "55"]] == blocks.stat_table(six)["rows"]
+    assert table(six) == [["FOR", "CON", "TAM", "DES", "INT", "POD"], ["50", "60", "70", "40", "30", "55"]] == paragraphs.stat_table(six)["rows"]
     names = "STR DEX CON INT WIS CHA 18 (+4) 14 (+2) 12 (+1) 10 (+0) 8 (-1) 9"
-    assert table(names) == [names.split()[:6], ["18 (+4)", "14 (+2)", "12 (+1)", "10 (+0)", "8 (-1)", "9"]] == blocks.stat_table(names)["rows"]
+    assert table(names) == [names.split()[:6], ["18 (+4)", "14 (+2)", "12 (+1)", "10 (+0)", "8 (-1)", "9"]] == paragraphs.stat_table(names)["rows"]
     for prose in ("FOR uma vez, CON nada mais que prosa", "", "a b c d e f g h"):
-        assert table(prose) is None and blocks.stat_table(prose) is None
+        assert table(prose) is None and paragraphs.stat_table(prose) is None
     eight = " ".join(f"{a} {i}" for i, a in enumerate(("FOR", "CON", "TAM", "DES", "INT", "POD", "EDU")))
-    assert table(eight) == blocks.stat_table(eight)["rows"] and len(table(eight)) == 4 and table(eight)[2][-1] == ""
+    assert table(eight) == paragraphs.stat_table(eight)["rows"] and len(table(eight)) == 4 and table(eight)[2][-1] == ""
 
 
 def test_numerals_and_keys(spark):
