@@ -1,9 +1,9 @@
 """Benchmark decontamination: items found inside long documents, with DataFrame functions only.
 
 Containment is asymmetric, so documents aren't sketched: all their shingles probe an index of
-item sketches. Items are partitioned by the size of their shingle set; an item of n shingles is
-sketched by its n - ceil(0.75 n) + 1 smallest hashes (bottom-k MinHash, k fixed by the size
-partition). A document that holds 75 % of the item's shingles misses fewer than k of them, so it
+item sketches. Items fall into partitions by the size of their shingle set, one for each size; an
+item of n shingles is sketched by its n - ceil(0.75 n) + 1 smallest hashes (bottom-k MinHash, k
+fixed by the partition). A document that holds 75 % of the item's shingles misses fewer than k of them, so it
 holds one of the sketch: the search loses nothing. Candidates are verified on the words
 themselves: the share of the item's distinct shingles that stand in the document.
 
@@ -21,11 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import saved
+
 SHINGLE = 5
 LEAST_PERCENT = 75
-#: Rows of the sketch index, and items, that are broadcast at most; more are shuffled.
-BROADCAST_SKETCH_ROWS = 400_000
-BROADCAST_ITEMS = 10_000
+#: Bytes of a table that is broadcast at most; larger ones are shuffled.
+BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame, *sized: Column) -> DataFrame:
+    """The table, to be broadcast if its rows (8 bytes a column, and the sizes told) are few enough."""
+    row = F.lit(8 * len(df.columns)) + sum((F.coalesce(c, F.lit(0)) for c in sized), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:
@@ -64,21 +71,19 @@ def candidates(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT)
     """Pairs (doc_id, item_id) that share a sketched shingle: all that can reach the share."""
     index = sketches(items, percent)
     probes = docs.select("doc_id", F.explode(hashes(F.col("text").cast("string"))).alias("hash"))
-    if index.limit(BROADCAST_SKETCH_ROWS + 1).count() <= BROADCAST_SKETCH_ROWS:
-        index = F.broadcast(index)
-    return probes.join(index, "hash").select("doc_id", "item_id").distinct()
+    return probes.join(small(index, F.octet_length(F.col("item_id").cast("string"))), "hash").select("doc_id", "item_id").distinct()
 
 
 def find(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """Pairs of document and item with n_item (shingles of the item), n_shared, and containment."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     items = items.select("item_id", "text").where("item_id is not null and text is not null")
-    pairs = candidates(docs, items, percent)
+    # Few documents are candidates: their ids go to the texts, not the texts to a shuffle.
+    pairs = small(saved(candidates(docs, items, percent), "candidates"))
     # An id's texts are items of their own, as in their sketches.
     own = items.select("item_id", F.array_sort(texts(F.col("text").cast("string"))).alias("shingles")).where("shingles is not null").distinct()
-    if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
-        own = F.broadcast(own)
-    found = pairs.join(docs, "doc_id").join(own, "item_id")
+    own = small(own, F.aggregate("shingles", F.lit(0), lambda n, x: n + F.octet_length(x) + 16))
+    found = docs.join(pairs, "doc_id").join(own, "item_id")
     padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     # A shingle of fewer words is a whole text: it has to be the document's whole text too.
     held = let(padded(words(F.col("text").cast("string"))), lambda t: F.size(F.filter("shingles", lambda s: F.contains(t, s) & ((F.size(F.split(s, " ")) == SHINGLE + 2) | (t == s)))))
@@ -90,8 +95,8 @@ def find(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT) -> Dat
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """The documents that hold no item, with all their columns; rows without an id stay."""
-    hit = find(docs, items, percent).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = saved(find(docs, items, percent).select("doc_id").distinct(), "hits")
+    return docs.join(small(hit), "doc_id", "left_anti").select(docs.columns)
 
 
 _SHINGLES = """CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])

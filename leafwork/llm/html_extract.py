@@ -2,7 +2,8 @@
 
 A page is read once into a sequence of tags and pieces of text. Words score positive and tags
 negative, by weights learnt from labelled pages (pages that mark their article; what lies inside
-is content): a tag costs little if it stands in content, much if outside. Words in elements that
+is content): a tag costs little if it stands in content, much if outside; a word earns by how
+often words directly in such a block are content, and costs where they mostly aren't. Words in elements that
 never are content (menus, adverts, forms, comments ...), and words outside the article of a page
 that marks one, score negative. Within a marked article neither tags nor words of such elements
 cost anything, so that the region spans the article from its first word to its last. A linear scan
@@ -44,6 +45,7 @@ RAW = frozenset("script style noscript template title textarea svg math iframe o
 NOT_CONTENT = frozenset("nav aside footer form head button dialog menu label fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CLOSED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 # Words in class, id or role that mark such elements.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus feedback footer gdpr masthead menu nav navbar navigation newsletter notice notices "
@@ -59,12 +61,16 @@ _ATTRIBUTE_END = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Token(NamedTuple):
-    """A tag (name, with / before it if it ends an element) or a piece of text, and where it stands."""
+    """A tag (name, with / before it if it ends an element) or a piece of text, and where it stands.
+
+    ``within`` is the block that holds a text directly.
+    """
 
     tag: str
     text: str
     left_out: bool
     in_article: bool
+    within: str = ""
 
 
 def _marked(attributes: str) -> set[str]:
@@ -120,11 +126,12 @@ def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     left_by, depth, article, seen, holder = "", 0, 0, False, False
     done = 0
+    open_: list[str] = []
 
     def piece(stop: int) -> None:
         if stop > done:
             text = page[done:stop]
-            out.append(Token("", html.unescape(text) if "&" in text else text, bool(left_by), article > 0))
+            out.append(Token("", html.unescape(text) if "&" in text else text, bool(left_by), article > 0, open_[-1] if open_ else ""))
 
     for start, stop, closing, name, attributes in _tags(page):
         piece(start)
@@ -132,6 +139,14 @@ def tokens(page: str) -> list[Token]:
         if not name:
             continue
         void = name in VOID or attributes.endswith("/")
+        if not void and name not in INLINE:
+            if not closing:
+                if open_ and open_[-1] == name and name in CLOSED_BY_NEXT:
+                    open_.pop()
+                open_.append(name)
+            elif name in open_:
+                while open_.pop() != name:
+                    pass
         marked = _marked(attributes) if attributes and not closing and not void else set()
         if name in ("article", "main") and not marked:
             if not closing and not (left_by and (seen or holder)):
@@ -161,7 +176,7 @@ def tokens(page: str) -> list[Token]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> dict[str, float]:
-    """What each tag costs, from at most ``sample`` different pages that mark their article, drawn by a hash.
+    """What each tag costs, and what a word earns by the block that holds it (``#p``), from at most ``sample`` different pages that mark their article, drawn by a hash.
 
     The hashes alone are ordered; only the pages below the last one drawn reach the driver.
     """
@@ -171,32 +186,51 @@ def fit(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> di
     inside, outside = {}, {}
     for (page,) in drawn.select("html").collect():
         for t in tokens(page):
-            if t.tag and not t.left_out:
-                own = inside if t.in_article else outside
-                own[t.tag] = own.get(t.tag, 0) + 1
-    return {tag: LEAST + (MOST - LEAST) * (outside.get(tag, 0) / (n + 2.0)) ** 2 for tag in inside | outside if (n := inside.get(tag, 0) + outside.get(tag, 0))}
-
-
-def extract(page: str | None, costs: dict[str, float]) -> str:
-    """The main text of a page."""
-    read = tokens(page) if page else []
+            own = inside if t.in_article and not t.left_out else outside
+            key, times = (t.tag, 1) if t.tag else (f"#{t.within}", len(t.text.split()))
+            own[key] = own.get(key, 0) + times
+    weights = {}
+    for key in inside | outside:
+        good, bad = inside.get(key, 0), outside.get(key, 0)
+        if key[0] == "#":
+            weights[key] = WORD * (good - bad) / (good + bad + 2.0)
+        elif good + bad:
+            weights[key] = LEAST + (MOST - LEAST) * (bad / (good + bad + 2.0)) ** 2
+    return weights
+
+
+def scores(read: list[Token], weights: dict[str, float]) -> list[float]:
+    """What each tag costs and each text earns, by the learnt weights and by what the page marks."""
     marks = any(t.in_article for t in read)
-    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, t in enumerate(read):
+    out = []
+    for t in read:
         if t.tag:
-            total -= 0.0 if t.in_article else LEAST if t.left_out else costs.get(t.tag, UNKNOWN)
-        else:
-            n = len(t.text.split())
-            if t.in_article:
-                total += 0.0 if t.left_out else n * WORD
-            else:
-                total += n * (OUTSIDE if marks else LEFT_OUT if t.left_out else WORD)
+            out.append(0.0 if t.in_article else -(LEAST if t.left_out else weights.get(t.tag, UNKNOWN)))
+            continue
+        n, learnt = len(t.text.split()), weights.get(f"#{t.within}", WORD)
+        word = 0.0 if t.left_out and t.in_article else WORD if t.in_article else OUTSIDE if marks else min(LEFT_OUT, learnt) if t.left_out else learnt
+        out.append(n * word)
+    return out
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """Where the contiguous part of the largest sum starts and ends: one scan; (0, 0) if no sum is above 0."""
+    best, found, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, v in enumerate(values):
+        total += v
         if total > best:
-            best, best_at = total, (begin, i + 1)
+            best, found = total, (begin, i + 1)
         if total < 0:
             total, begin = 0.0, i + 1
+    return found
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of a page."""
+    read = tokens(page) if page else []
+    begin, end = best_region(scores(read, weights))
     parts = []
-    for t in read[best_at[0] : best_at[1]]:
+    for t in read[begin:end]:
         if t.tag:
             if t.tag.removeprefix("/") not in INLINE:
                 parts.append(" ")
@@ -205,13 +239,13 @@ def extract(page: str | None, costs: dict[str, float]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract_text(pages: DataFrame, costs: dict[str, float]) -> DataFrame:
+def extract_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
         for b in text_slices(batches, "html"):
-            texts = [extract(x, costs) for x in b.column(2).to_pylist()]
+            texts = [extract(x, weights) for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema=schema)
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

@@ -5,7 +5,8 @@ sentences, which gives the text's sequence of sentence identifiers. Ordered rule
 identifiers, longest first) are matched against the sequence; what a rule has matched is taken
 out, so a long licence isn't reported again by its parts.
 
-Sentences end at ``.``, ``!``, ``?`` or ``;`` before a blank, and at line ends. As licences are
+Sentences end at ``.``, ``!``, ``?`` or ``;`` before a blank, and at line ends; a label or a list's number
+before one isn't part of it. As licences are
 also wrapped, the sequence is read a second time from the text with line ends as blanks; a
 licence counts as often as in the reading that has more of it.
 
@@ -111,6 +112,10 @@ RULES = (
 ANCHORS = r"(?i)licen|permi|warrant|redistribut|copyright|public[^a-z0-9]+domain|copy[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+mpl|rights[^a-z0-9]+reserved|endorse"
 
 
+#: What may lead a sentence without being part of it: a label such as ``License:``, a number or letter of a list.
+LABEL = r"^\s*(?:[A-Za-z][A-Za-z -]{0,30}:|\(?[A-Za-z0-9]{1,3}[.)])\s+"
+
+
 def normal(text: str) -> str:
     """A sentence's normal form: lower-case a-z and digits, all else one blank."""
     return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
@@ -124,7 +129,8 @@ def sequence(text: Column, sentences=SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order, each as <identifier>."""
     known = F.create_map(*(F.lit(x) for k, v in sentences.items() for x in (normal(v), f"<{k}>")))
     cut = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    found = F.transform(cut, lambda x: F.coalesce(F.try_element_at(known, _normal(x)), F.lit("")))
+    look_up = lambda x: F.try_element_at(known, _normal(x))
+    found = F.transform(cut, lambda x: F.coalesce(look_up(x), look_up(F.regexp_replace(x, LABEL, "")), F.lit("")))
     return F.array_join(found, "")
 
 
@@ -169,7 +175,8 @@ v AS (SELECT rid, doc_id, 1 AS v, text FROM r UNION ALL SELECT rid, doc_id, 2, r
 c AS (SELECT rid, doc_id, v, unnest(p) AS s, generate_subscripts(p, 1) AS k
       FROM (SELECT rid, doc_id, v, string_split(regexp_replace(text, '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM v)),
 s0 AS (SELECT min(doc_id) AS doc_id, v, string_agg(id, '' ORDER BY k) AS seq, CAST([] AS BIGINT[]) AS ns
-       FROM c JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = norm GROUP BY rid, v),
+       FROM (SELECT c.*, coalesce(a.id, b.id) AS id FROM c LEFT JOIN known a ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = a.norm
+             LEFT JOIN known b ON trim(regexp_replace(lower(regexp_replace(s, {q(LABEL)}, '')), '[^a-z0-9]+', ' ', 'g')) = b.norm) WHERE id IS NOT NULL GROUP BY rid, v),
 {", ".join(steps)},
 n AS (SELECT doc_id, v, unnest({names}) AS license, unnest(ns) AS n FROM {last}),
 t AS (SELECT doc_id, v, license, sum(n) AS n FROM n GROUP BY ALL)

@@ -521,8 +521,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     odd = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null")
     if odd.isEmpty():
         found = join(docs, id_col, text_col, percent)
-        gone = found.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct()
-        return docs.join(gone, id_col, "left_anti").select(docs.columns)
+        gone = saved(found.where((F.col("n_shingles") > 0) & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct(), "copies")
+        return docs.join(_small(gone), id_col, "left_anti").select(docs.columns)
     key = "_id_and_text"
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
     found = join(keyed, key, text_col, percent).where("n_shingles > 0").select(key, "component_id").distinct()

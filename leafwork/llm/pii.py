@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context adjusts the score.
 
-Kinds: email, ip, card (Luhn), phone by the base patterns, and iban (mod 97) and label-led
-national numbers (``taxid``) added by the method. Positions are code points, end exclusive.
+Kinds: email, ip, card (Luhn), phone by the base patterns, and iban (mod 97), national numbers
+(``taxid``) and secrets (keys of known forms, and values given to names such as ``token``, if their
+characters are mixed enough) added by the method. Positions are code points, end exclusive.
 
 Edge cases: a null or empty text has no spans; every text is read whole; every pattern is
 linear in the text's length, as a match starts only where a run of its characters starts.
@@ -12,7 +13,9 @@ no harm; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +35,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _TAXID = re.compile(r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])")
 
+# Forms of keys, and names that secrets are given to.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+_GIVEN = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?key)[\"']?[\x20\t]*(?:=|:|=>)[\x20\t]*(?P<open>[\"'`]?)(?P<value>[^\s\"'`,;]{8,})")
+
 # Base score by kind, and words that make a span of the kind likelier.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "taxid": 0.4}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "taxid": 0.4, "secret": 0.5}
 CONTEXT = {
     "email": ("mail", "contact", "write", "address", "courriel", "correo"),
     "ip": ("ip", "host", "server", "address", "login"),
@@ -41,6 +49,7 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "portable"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "taxid": ("ssn", "social", "security", "tax"),
+    "secret": ("secret", "token", "key", "password", "credential", "credentials", "login"),
 }
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.3
@@ -111,7 +120,25 @@ def _taxids(text: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "taxid": _taxids}
+def mixed(value: str) -> bool:
+    """Whether a value looks drawn rather than written: characters of two kinds, at least three bits each."""
+    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    n = len(value)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    return kinds >= 2 and bits >= min(3.0, 0.85 * math.log2(n))
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    found = [m.span() for pattern in (_KEY, _PEM) for m in pattern.finditer(text)]
+    found += [m.span("value") for m in _GIVEN.finditer(text) if mixed(m["value"])]
+    done = 0
+    for s, e in sorted(found):
+        if s >= done:
+            yield s, e
+            done = e
+
+
+FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban": _ibans, "taxid": _taxids, "secret": _secrets}
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
@@ -177,8 +204,8 @@ def mask_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds by document, the digest of the base spans, and all spans."""
-    kinds = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    """Counts of the base kinds by document, the digest of the base spans, all spans, their number and the highest score."""
+    kinds = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for b in text_slices(batches):
@@ -186,8 +213,8 @@ def digest(docs: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 found = find(t)
                 base = [x for x in found if x[0] in KINDS]
-                rows.append([*(sum(x[0] == k for x in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)])
+                rows.append([*(sum(x[0] == k for x in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(found), len(found), max((x[3] for x in found), default=0.0)])
             columns = zip(*rows, strict=True)
             yield pa.record_batch([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(kinds)[1:], strict=True))], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, score double")

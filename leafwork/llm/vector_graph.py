@@ -22,12 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved
+from .textarrays import tidied
 
 DEGREE = 24
 BEAM = 48
+#: Width of a search: the root of the shard's size, at least this.
 SEARCH_BEAM = 96
 ALPHA = 1.2
-SHARD = 4096
+#: Nodes of a shard: a twelfth of all between these bounds. Every query visits every shard, so shards are few while
+#: a task can hold them; a beam search takes little longer in a larger one.
+SHARDS = 12
+LEAST_SHARD, MOST_SHARD = 8192, 65_536
 BLOCK = 512
 #: Nodes whose edges a beam search follows at once.
 WIDTH = 4
@@ -172,7 +177,7 @@ def packed(vectors: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(_raw(b.column(1)), pa.binary())], names=["vec_id", "raw"])
 
-    own = _usable(vectors).mapInArrow(run, "vec_id long, raw binary")
+    own = _usable(vectors).mapInArrow(tidied(run), "vec_id long, raw binary")
     return own.select("vec_id", (F.octet_length("raw") / 8).cast("int").alias("dim"), "raw")
 
 
@@ -196,15 +201,16 @@ def nodes(vectors: DataFrame, keep: int) -> DataFrame:
         for k in range(0, len(parts), 4096):
             yield pa.record_batch([pa.array([p[0] for p in parts[k : k + 4096]], pa.binary()), pa.array([p[1] for p in parts[k : k + 4096]], pa.list_(pa.int64()))], names=["raw", "ids"])
 
-    few = _usable(vectors).mapInArrow(run, "raw binary, ids array<long>").groupBy("raw").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    few = _usable(vectors).mapInArrow(tidied(run), "raw binary, ids array<long>").groupBy("raw").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     few = few.select("raw", F.slice(F.array_sort(F.array_distinct("ids")), 1, keep).alias("ids"))
     return few.select(F.col("ids")[0].alias("node"), (F.octet_length("raw") / 8).cast("int").alias("dim"), "raw", "ids")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """For each row of queries (vec_id, embedding) its k nearest in vectors: query_id, rank, vec_id, score."""
     own = saved(nodes(vectors, k + 1), "nodes")
-    n_shards = max(1, math.ceil(own.count() / shard))
+    n = own.count()
+    n_shards = max(1, math.ceil(n / (shard or min(max(n / SHARDS, LEAST_SHARD), MOST_SHARD))))
     dealt = own.withColumn("shard", F.pmod(F.xxhash64("raw"), F.lit(n_shards)).cast("int"))
 
     def index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -216,6 +222,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
             ids[i, : len(x)] = x
         return pd.DataFrame([[key[0], key[1], data.tobytes(), graph.tobytes(), entry, ids.tobytes()]])
 
+    # Told how many partitions, Spark doesn't merge the small ones: each shard is built by a task of its own.
+    dealt = dealt.repartition(4 * n_shards, "dim", "shard")
     graphs = dealt.groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, data binary, graph binary, entry int, ids binary")
     asked = packed(queries).select("dim", "raw", F.col("vec_id").alias("query_id")).distinct()
     n_blocks = max(1, math.ceil(queries.select("vec_id").count() / BLOCK))
@@ -233,7 +241,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
                 for a in range(0, len(row["asked"]), BLOCK):
                     part = row["asked"][a : a + BLOCK]
                     x = np.frombuffer(b"".join(p["raw"] for p in part), np.float64).reshape(-1, dim)
-                    found, _ = beam_search(unit, graph, row["entry"], _unit(x), min(beam, max(len(data), k + 1)))
+                    found, _ = beam_search(unit, graph, row["entry"], _unit(x), min(max(beam, math.isqrt(len(data))), max(len(data), k + 1)))
                     r, c = np.nonzero(found[:, : k + 1] >= 0)
                     node = found[r, c]
                     score = cosine(x[r], data[node])
@@ -243,7 +251,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHAR
                     times = ok.sum(1)
                     yield pa.record_batch([pa.array(np.repeat(who, times)), pa.array(which[ok]), pa.array(np.repeat(score, times))], names=["query_id", "vec_id", "score"])
 
-    pairs = blocks.join(graphs, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    pairs = blocks.join(graphs, ["dim", "shard"]).mapInArrow(tidied(run), "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))

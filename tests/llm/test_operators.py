@@ -67,6 +67,37 @@ def test_join_recurses_to_the_last_pair(spark):
         assert sorted(tuple(x) for x in ngram_join.join(documents(spark, texts), rounds=rounds).collect()) == plain_components(texts)
 
 
+@pytest.mark.parametrize(("leaf", "rounds"), [(4, 20), (6, 0)])
+def test_large_regions_are_cut(spark, leaf, rounds):
+    base, other, r = prose(31, 90).split(), prose(32, 90).split(), random.Random(6)
+    texts = [" ".join(base), " ".join(other)]
+    for k in range(60):  # two families, many of whose members link with some others only
+        w = list((base, other)[k % 2])
+        for _ in range(r.randrange(1, 14)):
+            w[r.randrange(len(w))] = f"new{r.randrange(40)}"
+        texts.append(" ".join(w[: r.randrange(70, 91)]))
+    assert sorted(tuple(x) for x in ngram_join.join(documents(spark, texts), leaf=leaf, rounds=rounds).collect()) == plain_components(texts)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    pool = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    for n in (1, 3, 200, 700, 2500):
+        x = np.sort(r.choice(pool, n, replace=False))
+        y = np.sort(np.unique(np.concatenate([x[: n * 9 // 10], r.choice(pool, max(1, n // 8))])))
+        a, b = ngram_join.parity(x), ngram_join.parity(y)
+        size = min(len(a), len(b))
+        differ = int(ngram_join._differ(ngram_join._folded(a, size), ngram_join._folded(b, size)))
+        assert differ <= len(np.setxor1d(x, y)) and (differ == 0) == (len(np.setxor1d(x, y)) == 0)
+
+
+def test_join_of_very_long_texts(spark):
+    long = prose(77, 60_000)
+    texts = [long, long + " end", long[: len(long) // 2], prose(78, 60_000), None]
+    got = sorted(tuple(x) for x in ngram_join.join(documents(spark, texts)).collect())
+    assert [x[2] for x in got] == [0, 0, 2, 3, 4] and got[0][1] == len(shingles(long))
+
+
 def test_join_empty_null_ids_and_repeated_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert ngram_join.join(empty).count() == 0
@@ -111,6 +142,26 @@ def test_a_marked_article_is_whole():
         assert html_extract.extract(page, {}) == f"A B C {body}one last word"
 
 
+def test_weights_decide_where_nothing_is_marked(spark):
+    r = random.Random(12)
+    page = lambda k: f"<html><body><ul><li><a href=x>{prose(k, 5)}</a></li></ul><div class=ad>{prose(k + 1, 30)}</div><article><h1>{prose(k + 2, 4)}</h1><p>{prose(k + 3, 40)}<p>{prose(k + 4, 25)}</article><div>{prose(k + 5, r.randrange(5, 60))}</div></body></html>"
+    pages = [page(10 * k) for k in range(30)]
+    weights = html_extract.fit(spark.createDataFrame([(i, x) for i, x in enumerate(pages)], "page_id long, html string"))
+    for marked in pages:
+        bare = marked.replace("article>", "section>").replace(" class=ad", "")
+        want = html_extract.extract(marked, weights)
+        assert html_extract.extract(bare, weights) == want != html_extract.extract(bare, {})
+
+
+def test_region_against_all_intervals():
+    r = random.Random(2)
+    for _ in range(300):
+        values = [r.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(r.randrange(12))]
+        begin, end = html_extract.best_region(values)
+        best = max([0.0, *(sum(values[a:z]) for a in range(len(values)) for z in range(a + 1, len(values) + 1))])
+        assert sum(values[begin:end]) == best
+
+
 # -- 3 -------------------------------------------------------------------------------------
 def test_items_in_documents(spark):
     item, short = prose(3, 20), "tiny item here"
@@ -164,6 +215,20 @@ def test_licences_wrapped_or_padded(spark):
     assert sorted(con.sql(license_scan.oracle()).project("doc_id, license, n").fetchall()) == got
 
 
+def test_licences_behind_labels(spark):
+    s = license_scan.SENTENCES
+    texts = [f"License: {s['mit-short']}.", f"1. {s['bsd-source']}.\n(b) {s['cc0']}", f"Terms of use:  {s['gpl3-short']}; more", "Note: no licence", "x " * 400_000 + f"\nLicense: {s['mit-short']}."]
+    rows = documents(spark, texts)
+    got = sorted((r["doc_id"], r["license"], r["n"]) for r in license_scan.scan(rows).collect())
+    assert got == [(0, "MIT", 1), (1, "CC0-1.0", 1), (2, "GPL-3.0-only", 1), (4, "MIT", 1)]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert sorted(con.sql(license_scan.oracle()).project("doc_id, license, n").fetchall()) == got
+
+
 # -- 5 -------------------------------------------------------------------------------------
 def test_url_rules(spark):
     urls = ["http://A.Net/x", "https://www.example.net/en/1", "http://example.com/de/", "http://x.org/fr/?a=b", "http://x.org/frost", "ftp://net", "nothing", None, "http://notexample.com/de/", "http://net/", "x://casino-win.example.com/en/9"]
@@ -255,6 +320,47 @@ def test_languages(spark, sf_dir):
     assert language_id.learn(docs.limit(0)) == {}
 
 
+def plain_grams(text):
+    """Letters alone, in pairs and in threes; what isn't a letter is one blank, at both ends too."""
+    low = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    padded = " " + " ".join(low.split()) + " "
+    return [g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
+
+
+def test_languages_against_plain_profiles(spark):
+    from collections import Counter
+
+    r = random.Random(4)
+    alphabets = {"aa": "abcde fg", "bb": "defgh ij", "cc": "aeiou xy", "dd": "abcdj xz"}
+    texts, langs = [], []
+    for k in range(160):
+        lang = sorted(alphabets)[k % 4]
+        texts.append("".join(r.choice(alphabets[lang]) for _ in range(r.randrange(1, 300))) + r.choice(["", "!", " 12 ", "A"]))
+        langs.append(lang)
+    rows = spark.createDataFrame([(i, t, x, "s") for i, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string, lang_pred string")
+    size = 60
+    profiles = language_id.learn(rows, size=size)
+    # the same codes, written as strings
+    told = lambda code: tuple((int(code) >> s) & 255 for s in (16, 8, 0)[-(int(code) >> 24) :])
+    symbol = lambda g: tuple(int(language_id.symbols()[ord(c)]) if c != " " else 0 for c in g)
+    plain = {}
+    for lang in alphabets:
+        counts = Counter(symbol(g) for t, x in zip(texts, langs, strict=True) if x == lang and any(map(str.isalpha, t)) for g in plain_grams(t))
+        ranked = sorted(counts.items(), key=lambda kv: (-kv[1], len(kv[0]), kv[0]))[:size]
+        plain[lang] = [g for g, _ in ranked]
+        assert [told(c) for c in profiles[lang]] == plain[lang]
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.predict(rows, profiles, size=size).collect()}
+    for i, t in enumerate(texts):
+        if not any(map(str.isalpha, t)):
+            assert got[i] == ("und", 0.0)
+            continue
+        counts = Counter(map(symbol, plain_grams(t)))
+        own = [g for g, _ in sorted(counts.items(), key=lambda kv: (-kv[1], len(kv[0]), kv[0]))[:size]]
+        far = {x: sum(abs(p.index(g) - k) if g in p else size for k, g in enumerate(own)) for x, p in plain.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i] == (best, pytest.approx(1 - far[best] / (size * len(own))))
+
+
 def test_out_of_place_distance():
     a, b = {"x": np.array([5, 6, 7], np.uint32)}, np.array([6, 6, 5, 9], np.uint32)
     # ranks in the text: 6, 5, 9; in the profile: 1, 0, absent (3)
@@ -290,6 +396,15 @@ def test_personal_data(spark):
     assert pii.mask_text(rows).columns == rows.columns and pii.find_spans(rows.limit(0)).count() == 0
 
 
+def test_secrets_and_scores(spark):
+    hexa, key = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "AKIA" + "ABCDEFGH12345678"
+    texts = [f'our token = "{hexa}" here', f"aws {key}.", "password: correcthorse", "password: Tr0ub4dor&3x", "the token was lost", "api_key='zzzzzzzzzzzz'", f"-----BEGIN RSA PRIVATE KEY-----\n{hexa}", None]
+    found = [[t[s:e] for k, s, e, _ in pii.find(t) if k == "secret"] for t in texts]
+    assert found == [[hexa], [key], [], ["Tr0ub4dor&3x"], [], [], ["-----BEGIN RSA PRIVATE KEY-----"], []]
+    got = pii.digest(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_spans"] for r in got] == [1, 1, 0, 1, 0, 0, 1, 0] and got[0]["score"] == pytest.approx(0.8) and got[4]["score"] == 0.0
+
+
 # -- 9 -------------------------------------------------------------------------------------
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
