@@ -71,9 +71,11 @@ def unique_headings(names: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def longest_heading(refs: DataFrame, headings: DataFrame, doc: str = "doc_id") -> DataFrame:
     """For each reference (doc, ref_id, rest: the text after ``see``) the longest heading it starts with."""
-    low = F.lower("rest")
-    pairs = refs.join(headings, doc).where(F.startswith(low, F.col("key")) & ~F.substring(low, F.char_length("key") + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}]"))
-    return pairs.groupBy(doc, "ref_id").agg(F.max(F.struct(F.char_length("key").alias("n"), "target")).alias("m")).select(doc, "ref_id", F.col("m.target").alias("target"))
+    # The distinct lengths of a document's headings are few: each reference meets headings by its start of that length.
+    lengths = headings.select(doc, F.char_length("key").alias("n")).distinct()
+    starts = refs.join(lengths, doc).select(doc, "ref_id", "n", F.substring(F.lower("rest"), F.lit(1), F.col("n")).alias("key"), F.substring(F.lower("rest"), F.col("n") + 1, F.lit(1)).alias("then"))
+    hits = starts.where(~F.col("then").rlike(r"^[\p{L}\p{N}]")).join(headings, [doc, "key"])
+    return hits.groupBy(doc, "ref_id").agg(F.max(F.struct("n", "target")).alias("m")).select(doc, "ref_id", F.col("m.target").alias("target"))
 
 
 def page_targets(refs: DataFrame, printed: DataFrame, pdf_pages: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from leafwork.functions.rolls import find_rolls, loss_cell
 from leafwork.operators import frames
 from leafwork.operators import journal as J
 from leafwork.operators.grids import text_tables
-from leafwork.operators.paragraphs import paragraphs
-from leafwork.sources.layout import book_lines, table, word_spans
+from leafwork.operators.paragraphs import paragraphs, plain
+from leafwork.sources.layout import LINES_SQL, book_lines, table, word_spans
 
 QUERIES, ORACLE = {}, {}
 
@@ -165,22 +167,58 @@ def s12_f24_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BODY, _LEVELS = 10.0, {18.0: 1, 14.0: 2}
-
-
-@query("w5_w6_paragraphs", None)
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_PARAGRAPHS = LINES_SQL + f""",
+l0 AS (SELECT book_id, page_no, line_no, replace(text, chr(173), '') AS text, x0, y0, x1, y1, bold, round_even(size * 2, 0) / 2 AS size, {_TRIM.format("replace(text, chr(173), '')")} AS t FROM lines),
+l1 AS (SELECT *, CASE WHEN length(t) <= 2 AND regexp_full_match(t, '\\pL+') AND size >= 18 THEN 'dropcap' WHEN size = 18 THEN 'h1' WHEN size = 14 THEN 'h2' ELSE 'p' END AS kind,
+  length(regexp_extract(text, '^(\\s*[•●▪■◦○▸►–—*·-]\\s+|\\s*([0-9]{{1,3}}|[a-zA-Z])[.)]\\s+)')) AS mark, regexp_matches(t, '^[A-ZÀ-Ý][\\pL\\pN_À-ÿ%/()'' -]{{1,32}}:\\s*\\S') AS lab,
+  regexp_matches(t, '^[\\p{{Lu}}0-9]') AS cap, regexp_matches(t, '[.!?:…"”»)]$') AS ends FROM l0 WHERE t <> ''),
+l2 AS (SELECT *, min(x0) OVER pg AS lft, max(x1) OVER pg AS rgt, (count(*) FILTER (WHERE lab) OVER pg) >= greatest(2, 0.4 * count(*) OVER pg) AS sheet,
+  lag(kind) OVER w AS pk, lag(y1) OVER w AS py1, lag(x1) OVER w AS px1, lag(bold) OVER w AS pb, lag(lab) OVER w AS plab, lag(ends) OVER w AS pends, lag(t) OVER w AS pt
+  FROM l1 WINDOW pg AS (PARTITION BY book_id, page_no), w AS (PARTITION BY book_id, page_no ORDER BY line_no)),
+l3 AS (SELECT *, pk IS NULL OR pk <> kind OR kind = 'dropcap' OR kind = 'p' AND (mark > 0 OR y0 - py1 > 0.7 * size) AS hard,
+  CASE WHEN sheet THEN cap AND NOT regexp_matches(pt, '[-,(]$') ELSE x0 > lft + greatest(6, 0.8 * size) OR plab AND lab OR cap AND pends AND px1 < rgt - 3 * size END AS looks, NOT sheet AND pb AND NOT bold AS turns FROM l2),
+l4 AS (SELECT *, sum(hard::INT) OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS seg FROM l3),
+l5 AS (SELECT *, first(kind = 'p' AND mark = 0) OVER (PARTITION BY book_id, page_no, seg ORDER BY line_no) AS free FROM l4),
+l6 AS (SELECT *, hard OR free AND looks AS plainly FROM l5),
+l7 AS (SELECT *, hard OR free AND (looks OR turns AND lag(plainly) OVER (PARTITION BY book_id, page_no ORDER BY line_no)) AS new FROM l6),
+l8 AS (SELECT *, sum(new::INT) OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS para FROM l7),
+l9 AS (SELECT *, CASE WHEN new THEN substring(text, (CASE WHEN kind = 'p' THEN mark ELSE 0 END) + 1) ELSE regexp_replace(text, '^\\s+', '') END AS piece,
+  lead(regexp_replace(text, '^\\s+', '')) OVER (PARTITION BY book_id, page_no, para ORDER BY line_no) AS nxt FROM l8),
+l10 AS (SELECT *, CASE WHEN nxt IS NULL THEN piece WHEN regexp_matches(piece, '\\pL-\\s*$') AND regexp_matches(nxt, '^\\p{{Ll}}') THEN regexp_replace(piece, '-\\s*$', '') WHEN ends_with(piece, ' ') THEN piece ELSE regexp_replace(piece, '\\s+$', '') || ' ' END AS glued FROM l9),
+l11 AS (SELECT book_id, page_no, para, arg_min(CASE WHEN kind = 'p' AND mark > 0 THEN 'li' ELSE kind END, line_no) AS kind, count(*) AS lines, bool_and(bold) AS bold, {_TRIM.format("string_agg(glued, '' ORDER BY line_no)")} AS text FROM l10 GROUP BY ALL),
+blocks AS (SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id, page_no ORDER BY para) - 1 AS INTEGER) AS ord,
+  CASE WHEN kind = 'p' AND lines = 1 AND bold AND length(text) < 70 AND NOT regexp_matches(text, '[.,;:]$') THEN 'h4' WHEN kind IN ('h1', 'h2') AND length(text) > 200 THEN 'p' ELSE kind END AS kind, CAST(lines AS INTEGER) AS lines, text FROM l11 WHERE text <> '')"""
+
+
+def _by_page(rows: DataFrame, keys: list[str], order: list[str], body, schema: str) -> DataFrame:
+    """body(rows of a key in order, as dicts) gives rows, for each key; the rows of a key are gathered in one."""
+    held = F.sort_array(F.collect_list(F.struct(*order, *(c for c in rows.columns if c not in (*keys, *order)))))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+    def run(batches):
+        for batch in batches:
+            out = [(*key, *made) for *key, own in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 1)), strict=True) for made in body(own)]
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+    return rows.groupBy(*keys).agg(held.alias("held")).mapInArrow(run, schema)
+
+
+@query("w5_w6_paragraphs", f"WITH {_PARAGRAPHS} SELECT * FROM blocks")
 def w5_w6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of each synthetic page: book_id, page_no, ord, kind, lines, text."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lines = []
-        for r in rows.sort_values("line_no").itertuples():
-            span = {"text": r.text, "font": "", "size": r.size, "flags": 16 if r.bold else 0, "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1}
-            lines.append({"spans": [span], "bbox": (r.x0, r.y0, r.x1, r.y1)})
-        out = [[*key, i, b["k"], b.get("lines", 0), "".join(x[0] for x in b.get("runs", ()))] for i, b in enumerate(paragraphs(lines, _BODY, _LEVELS))]
-        return pd.DataFrame(out, columns=["book_id", "page_no", "ord", "kind", "lines", "text"])
+    def body(rows: list[dict]):
+        spans = [r | {"font": "", "flags": 16 if r["bold"] else 0} for r in rows]
+        lines = [{"spans": [s], "bbox": (s["x0"], s["y0"], s["x1"], s["y1"])} for s in spans]
+        for i, b in enumerate(paragraphs(lines, _BODY, _LEVELS)):
+            yield i, b["k"], b.get("lines", 0), plain(b)
 
     sized = book_lines(spark, sf_dir).withColumnRenamed("size", "points").withColumn("size", F.rint(F.col("points") * 2) / 2)
-    return sized.select("book_id", "page_no", "line_no", "text", "size", "bold", "x0", "y0", "x1", "y1").groupBy("book_id", "page_no").applyInPandas(run, "book_id long, page_no int, ord int, kind string, lines int, text string")
+    rows = sized.select("book_id", "page_no", "line_no", "text", "size", "bold", "x0", "y0", "x1", "y1")
+    return _by_page(rows, ["book_id", "page_no"], ["line_no"], body, "book_id bigint, page_no int, ord int, kind string, lines int, text string")
 
 
 @query("w7_w10_j14_text_tables", None)
@@ -200,16 +238,31 @@ def w7_w10_j14_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("book_id", "page_no").applyInPandas(run, "book_id long, page_no int, table_no int, used_lines int, rows string")
 
 
-@query("w11_tidy", None)
+_TIDY = _PARAGRAPHS + f""",
+s0 AS (SELECT book_id, page_no, ord, kind, text, CASE WHEN kind[1] = 'h' THEN kind || '|' || lower(regexp_replace({_TRIM.format('text')}, '\\s+', ' ', 'g')) END AS title FROM blocks),
+pt AS (SELECT book_id, page_no, arg_max(title, ord) AS last FROM s0 GROUP BY ALL),
+pl AS (SELECT book_id, page_no, last_value(last IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pt),
+s1 AS (SELECT s0.*, bool_and(coalesce(title = before, false)) OVER (PARTITION BY book_id, page_no ORDER BY ord) AS again FROM s0 JOIN pl USING (book_id, page_no)),
+s2 AS (SELECT *, count(*) FILTER (WHERE kind <> 'dropcap') OVER (PARTITION BY book_id ORDER BY page_no, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM s1 WHERE NOT again),
+dc AS (SELECT book_id, g, string_agg({_TRIM.format('text')}, '' ORDER BY page_no, ord) AS pre FROM s2 WHERE kind = 'dropcap' GROUP BY ALL),
+s3 AS (SELECT book_id, page_no, ord, kind, coalesce(pre, '') || text AS text FROM s2 LEFT JOIN dc USING (book_id, g) WHERE kind <> 'dropcap'),
+s4 AS (SELECT *, coalesce(kind = 'p' AND lag(kind) OVER w IN ('p', 'li') AND NOT regexp_matches(lag(text) OVER w, '[.!?:…"”»)]\\s*$') AND regexp_matches(text, '^\\s*\\p{{Ll}}'), false) AS joins FROM s3 WINDOW w AS (PARTITION BY book_id ORDER BY page_no, ord)),
+s5 AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY book_id ORDER BY page_no, ord) AS grp FROM s4),
+s6 AS (SELECT book_id, grp, min(page_no) AS page_no, arg_min(ord, page_no * 100000 + ord) AS o, arg_min(kind, page_no * 100000 + ord) AS kind, string_agg(text, ' ' ORDER BY page_no, ord) AS text FROM s5 GROUP BY ALL),
+st AS (SELECT book_id, page_no, o, kind, text FROM s6 UNION ALL SELECT DISTINCT book_id, page_no, -1, 'break', '' FROM blocks)
+SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_no, o) - 1 AS INTEGER) AS ord, kind, text FROM st"""
+
+
+@query("w11_tidy", f"WITH {_TIDY}")
 def w11_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tidied stream of each synthetic book: paragraphs joined over pages, repeated titles dropped."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def body(rows: list[dict]):
         stream = []
-        for page, own in rows.sort_values(["page_no", "ord"]).groupby("page_no"):
-            stream.append({"k": "break", "n": int(page) + 1})
-            stream += [{"k": r.kind, "runs": [[r.text, False, False, False]], "ordered": False} for r in own.itertuples() if r.kind not in ("table",)]
-        out = [[key[0], i, b["k"], "".join(x[0] for x in b.get("runs", ()))] for i, b in enumerate(J.tidy(stream, True))]
-        return pd.DataFrame(out, columns=["book_id", "ord", "kind", "text"])
+        for page, own in groupby(rows, key=lambda r: r["page_no"]):
+            stream.append({"k": "break", "n": page + 1})
+            stream += [{"k": r["kind"], "runs": [[r["text"], False, False, False]], "ordered": False} for r in own if r["kind"] != "table"]
+        for i, b in enumerate(J.tidy(stream, True)):
+            yield i, b["k"], plain(b)
 
-    return w5_w6_paragraphs(spark, sf_dir).groupBy("book_id").applyInPandas(run, "book_id long, ord int, kind string, text string")
+    return _by_page(w5_w6_paragraphs(spark, sf_dir).drop("lines"), ["book_id"], ["page_no", "ord"], body, "book_id bigint, ord int, kind string, text string")

@@ -73,13 +73,31 @@ def f6_heading_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book_lines(spark, sf_dir).select("book_id", "page_no", "line_no", T.heading_anchor(F.col("text")).alias("anchor"))
 
 
-_ROMAN = "CASE n WHEN 'IV' THEN 4 WHEN 'XII' THEN 12 WHEN 'xl' THEN 40 WHEN 'IIII' THEN 4 WHEN 'XCIX' THEN 99 WHEN 'três' THEN 3 WHEN 'twelve' THEN 12 WHEN '17' THEN 17 WHEN 'Dez' THEN 10 ELSE NULL END"
-_NUMERALS = ["IV", "XII", "xl", "IIII", "XCIX", "três", "twelve", "17", "Dez", "zero", "AB"]
+# Numerals of all numbers to 150 in Roman letters, in digits and by words, of either case, and words that are none.
+_NUMERALS = """nm AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN repeat('C', k // 100) || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][k // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][k % 10 + 1]
+  WHEN 1 THEN ' ' || k || ' ' WHEN 2 THEN ['One', 'dois', 'três', 'FOUR', 'cinco', 'six', 'Sete', 'eight', 'nove', 'ten', 'onze', 'Doze', 'treze', 'zero'][k % 14 + 1] ELSE repeat('I', k % 5) || 'xx' || substring(o_orderpriority, 3, k % 3) END AS n FROM (SELECT *, CAST(o_orderkey // 4 % 150 + 1 AS INTEGER) AS k FROM orders))"""
+_VALUE = """CASE WHEN regexp_full_match(trim(n), '[0-9]+') THEN CAST(trim(n) AS INTEGER)
+  WHEN regexp_full_match(upper(trim(n)), '[IVXLC]+') THEN CAST(list_sum(list_transform(range(1, length(trim(n)) + 1), lambda i: v(upper(trim(n))[i]) * CASE WHEN coalesce(v(upper(trim(n))[i + 1]), 0) > v(upper(trim(n))[i]) THEN -1 ELSE 1 END)) AS INTEGER)
+  ELSE CAST(list_position(['um', 'dois', 'tres', 'quatro', 'cinco', 'seis', 'sete', 'oito', 'nove', 'dez', 'onze', 'doze'], replace(lower(trim(n)), 'ê', 'e')) + list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve'], lower(trim(n))) AS INTEGER) END"""
+_WORTH = "CASE {0} WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 END"
 
 
-@query("f7_chapter_number", f"SELECT o_orderkey, n, CAST({_ROMAN} AS INTEGER) AS value FROM (SELECT o_orderkey, ({_NUMERALS})[o_orderkey % 11 + 1] AS n FROM orders)")
+def _value_sql() -> str:
+    import re
+
+    sql = _VALUE.replace("list_position(['um'", "coalesce(list_position(['um'").replace("'ê', 'e')) + ", "'ê', 'e')), ").replace("lower(trim(n))) AS INTEGER) END", "lower(trim(n)))) AS INTEGER) END")
+    return re.sub(r"v\((upper\(trim\(n\)\)\[[^\]]+\])\)", lambda m: f"({_WORTH.format(m[1])})", sql)
+
+
+@query("f7_chapter_number", f"WITH {_NUMERALS} SELECT o_orderkey, n, {_value_sql()} AS value FROM nm")
 def f7_chapter_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.get(F.array(*map(F.lit, _NUMERALS)), (F.col("o_orderkey") % 11).cast("int"))
+    key = F.col("o_orderkey")
+    k = (F.expr("o_orderkey div 4") % 150 + 1).cast("int")
+    tens, ones = (F.array(*map(F.lit, x.split(","))) for x in (",X,XX,XXX,XL,L,LX,LXX,LXXX,XC", ",I,II,III,IV,V,VI,VII,VIII,IX"))
+    words = F.array(*map(F.lit, "One,dois,três,FOUR,cinco,six,Sete,eight,nove,ten,onze,Doze,treze,zero".split(",")))
+    roman = F.concat(F.when(k >= 100, "C").otherwise(""), F.get(tens, (k / 10).cast("int") % 10), F.get(ones, k % 10))
+    other = F.concat(F.repeat(F.lit("I"), k % 5), F.lit("xx"), F.substring(F.col("o_orderpriority"), F.lit(3), k % 3))
+    n = F.when(key % 4 == 0, roman).when(key % 4 == 1, F.concat(F.lit(" "), k.cast("string"), F.lit(" "))).when(key % 4 == 2, F.get(words, k % 14)).otherwise(other)
     return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), T.chapter_number(n).alias("value"))
 
 

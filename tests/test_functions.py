@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork.functions import glyphs, pages, references, rolls, scan, stats, text
-from leafwork.operators import geometry, journal, ordering, paragraphs
+from leafwork.operators import geometry, grids, journal, ordering, paragraphs
 from leafwork.sources import worlds
 
 
@@ -85,6 +85,60 @@ def test_rectangles_merge_to_a_fixpoint():
     assert geometry.merge_overlapping([(0, 0, 10, 10), (13, 0, 20, 10)], 2.0) == [(0, 0, 10, 10), (13, 0, 20, 10)]
 
 
+def test_merging_against_all_pairs():
+    r = random.Random(5)
+    for _ in range(400):
+        rects = [(x := r.randrange(0, 90), y := r.randrange(0, 90), x + r.randrange(1, 25), y + r.randrange(1, 25)) for _ in range(r.randrange(9))]
+        plain, gap = sorted(set(rects)), r.choice([0.5, 2.0])
+        meets = lambda a, b: a[0] - gap < b[2] and b[0] < a[2] + gap and a[1] - gap < b[3] and b[1] < a[3] + gap  # noqa: B023, E731
+        while pair := next(((a, b) for a in plain for b in plain if a < b and meets(a, b)), None):
+            a, b = pair
+            plain = sorted({p for p in plain if p not in pair} | {(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))})
+        assert sorted(geometry.merge_overlapping(rects, gap)) == plain
+
+
+def drawn_line(y, cells, bold=False, size=10.0):
+    spans = [{"text": t, "font": "Bold" if bold else "", "size": size, "flags": 0, "x0": x, "y0": y, "x1": x + 5.0 * len(t), "y1": y + size} for x, t in cells]
+    return {"spans": spans, "bbox": (spans[0]["x0"], y, spans[-1]["x1"], y + size)}
+
+
+def test_tables_drawn_are_found():
+    r = random.Random(9)
+    word = lambda n=8: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, n)))
+    for _ in range(200):
+        block, want, used, y = [], [], set(), 50.0
+        for _ in range(r.randrange(1, 4)):
+            left = [54 + 100.0 * k for k in sorted(r.sample(range(5), r.randrange(2, 6)))]
+            rows = [[word() for _ in left] for _ in range(r.randrange(2, 7))]
+            counted = r.random() < 0.5  # numbers below a word make the first row a header
+            if counted:
+                rows[1:] = [[str(r.randrange(99)), *row[1:]] for row in rows[1:]]
+            for row in rows:
+                used.add((0, len(block)))
+                block.append(drawn_line(y, [(x + r.choice([0, 1, 3]), t) for x, t in zip(left, row, strict=True)]))
+                y += r.choice([12.0, 14.0])
+            want.append((rows, [0] if counted else []))
+            y += 40.0  # a wide line of prose parts tables
+            block.append(drawn_line(y, [(54.0, " ".join(word() for _ in range(18)))]))
+            y += 40.0
+        found, lines = grids.text_tables([block], 10.0, 612.0)
+        assert [(t["rows"], t["th"]) for _, t in found] == want and lines == used
+
+
+def test_columns_set_as_blocks_are_a_table():
+    left, right = ["alpha", "beta", "gamma"], ["one", "two", "three"]
+    blocks = [[drawn_line(50.0 + 14 * k, [(x, t)]) for k, t in enumerate(column)] for x, column in ((54.0, left), (110.0, right))]
+    found, used = grids.text_tables(blocks, 10.0, 612.0)
+    assert [t["rows"] for _, t in found] == [[list(p) for p in zip(left, right, strict=True)]] and len(used) == 6
+    assert grids.text_tables([blocks[0], [drawn_line(50.0 + 14 * k, [(300.0, t)]) for k, t in enumerate(right)]], 10.0, 612.0) == ([], set())
+
+
+def test_what_goes_on_below_a_cell_joins_it():
+    block = [drawn_line(50.0, [(54.0, "Name"), (160.0, "Note")], bold=True), drawn_line(64.0, [(54.0, "Ana"), (160.0, "a long")]), drawn_line(75.0, [(160.0, "note")]), drawn_line(88.0, [(54.0, "Bea"), (160.0, "short")])]
+    found, used = grids.text_tables([block], 10.0, 612.0)
+    assert [(t["rows"], t["th"]) for _, t in found] == [([["Name", "Note"], ["Ana", "a long note"], ["Bea", "short"]], [0])] and len(used) == 4
+
+
 def plainly_ordered(rects, x0, x1):
     """Reading order by plain recursion: numbers of (x0, y0, x1, y1, number)."""
     band, out = [], []
