@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.functions import rolls as R
 from leafwork.functions.references import References
 from leafwork.functions.rolls import find_rolls, loss_cell
 from leafwork.operators import frames
@@ -31,20 +32,42 @@ def query(name: str, sql: str | None):
     return add
 
 
-_ROLL = "CASE p_partkey % 5 WHEN 0 THEN 'Um teste Difícil de Encontrar para ' || p_name WHEN 1 THEN p_name || ': Hard Spot Hidden roll now' WHEN 2 THEN 'Luck roll, ' || p_name WHEN 3 THEN 'teste de FOR com dois dados de penalidade' ELSE 'nada em ' || p_name END"
-_ROLLED = """CASE p_partkey % 5 WHEN 0 THEN 'Um @coc7.check[subtype:skill,name:Encontrar,difficulty:+]{teste Difícil de Encontrar} para ' || p_name
-  WHEN 1 THEN p_name || ': @coc7.check[subtype:skill,name:Spot Hidden,difficulty:+]{Hard Spot Hidden roll} now' WHEN 2 THEN '@coc7.check[subtype:attribute,name:lck]{Luck roll}, ' || p_name
-  WHEN 3 THEN '@coc7.check[subtype:characteristic,name:str,poolModifier:-2]{teste de FOR com dois dados de penalidade}' ELSE 'nada em ' || p_name END"""
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-@query("f10_f14_j18_checks", f"SELECT p_partkey, {_ROLLED} AS text FROM part")
+# Each part is asked for by another name, difficulty, form and number of dice.
+_WHAT = [(n, "skill", n) for n in R.SKILLS] + [(n, "characteristic", k) for n, k in R.CHARACTERISTICS.items()] + [(n, "attribute", k) for n, k in R.ATTRIBUTES.items()]
+_HARD = ["", *R.HARDNESS]
+_CODE = ["", *(R.DIFFICULTIES[h.lower()] for h in R.HARDNESS)]
+_POOLS = {"": "", " com um dado de bônus": "+1", ", with two penalty dice": "-2", " com 3 dados de penalidade": "-3", " with a bonus die": "+1", ", com duas": ""}
+_ASK = f"""ask AS (SELECT p_partkey, p_name, {_listed([w[0] for w in _WHAT])}[p_partkey % {len(_WHAT)} + 1] AS name, {_listed([w[1] for w in _WHAT])}[p_partkey % {len(_WHAT)} + 1] AS kind, {_listed([w[2] for w in _WHAT])}[p_partkey % {len(_WHAT)} + 1] AS value,
+  {_listed(_HARD)}[p_size % {len(_HARD)} + 1] AS hard, {_listed(_CODE)}[p_size % {len(_HARD)} + 1] AS code, {_listed(list(_POOLS))}[p_partkey // 3 % {len(_POOLS)} + 1] AS pool, {_listed(list(_POOLS.values()))}[p_partkey // 3 % {len(_POOLS)} + 1] AS dice, p_partkey % 2 = 0 AS asked FROM part),
+sh AS (SELECT *, CASE WHEN asked THEN 'teste ' || CASE WHEN hard = '' THEN '' ELSE hard || ' ' END || 'de ' || name ELSE CASE WHEN hard = '' THEN '' ELSE hard || ' ' END || name || ' roll' END || CASE WHEN dice = '' THEN '' ELSE pool END AS shown FROM ask)"""
+
+
+@query("f10_f14_j18_checks", f"""WITH {_ASK} SELECT p_partkey, 'Um @coc7.check[subtype:' || kind || ',name:' || value || CASE WHEN hard = '' THEN '' ELSE ',difficulty:' || code END || CASE WHEN dice = '' THEN '' ELSE ',poolModifier:' || dice END || ']{{' || shown || '}}'
+ || CASE WHEN dice = '' THEN pool ELSE '' END || '; ' || p_name AS text FROM sh""")
 def f10_f14_j18_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", frames.linked_text(find_rolls)(F.expr(_ROLL)).alias("text"))
+    of = lambda values, k: F.get(F.array(*map(F.lit, values)), k.cast("int"))
+    key = F.col("p_partkey")
+    name, hard, pool = of([w[0] for w in _WHAT], key % len(_WHAT)), of(_HARD, F.col("p_size") % len(_HARD)), of(list(_POOLS), F.expr("p_partkey div 3") % len(_POOLS))
+    hard = F.when(hard == "", "").otherwise(F.concat(hard, F.lit(" ")))
+    said = F.when(key % 2 == 0, F.concat(F.lit("teste "), hard, F.lit("de "), name)).otherwise(F.concat(hard, name, F.lit(" roll")))
+    return table(spark, sf_dir, "part").select("p_partkey", frames.linked_text(find_rolls)(F.concat(F.lit("Um "), said, pool, F.lit("; "), F.col("p_name"))).alias("text"))
+
+
+# Each line loses by other dice and words; the shown text of a link keeps what was written.
+_DICE = ["0", "1", "1d4", "1D6", "2d6+1", "1D10 + 2", "d3"]
+_LOSE = [("Perda de Sanidade: ", ""), ("Sanity loss (", ") SAN"), ("", " SAN"), ("(", ") pontos de Sanidade"), ("teste de SAN – ", ""), ("", " de Sanidade perdida"), ("Some ", " points")]
+_LOST = f"""ls AS (SELECT l_orderkey, l_linenumber, {_listed(_DICE)}[l_partkey % {len(_DICE)} + 1] AS a, {_listed(_DICE)}[l_suppkey % {len(_DICE)} + 1] AS b, {_listed([x[0] for x in _LOSE])}[l_orderkey % {len(_LOSE)} + 1] AS h, {_listed([x[1] for x in _LOSE])}[l_orderkey % {len(_LOSE)} + 1] AS t FROM lineitem),
+lt AS (SELECT *, h || a || '/' || b || t AS shown FROM ls)"""
 
 
-@query("f11_f12_losses", "SELECT l_orderkey, l_linenumber, 'Perde @coc7.sanloss[sanMin:0,sanMax:1D' || l_linenumber || ']{0/1d' || l_linenumber || ' SAN} e faz @coc7.sanloss[sanMin:1,sanMax:2D6]{teste de Sanidade (1/2D6)}.' AS text FROM lineitem")
+@query("f11_f12_losses", f"""WITH {_LOST} SELECT l_orderkey, l_linenumber, 'Perde ' || CASE WHEN t = ' points' THEN shown ELSE '@coc7.sanloss[sanMin:' || upper(replace(a, ' ', '')) || ',sanMax:' || upper(replace(b, ' ', '')) || ']{{' || shown || '}}' END || '.' AS text FROM lt""")
 def f11_f12_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Perde 0/1d"), F.col("l_linenumber").cast("string"), F.lit(" SAN e faz teste de Sanidade (1/2D6)."))
+    of = lambda values, k: F.get(F.array(*map(F.lit, values)), (F.col(k) % len(values)).cast("int"))
+    text = F.concat(F.lit("Perde "), of([x[0] for x in _LOSE], "l_orderkey"), of(_DICE, "l_partkey"), F.lit("/"), of(_DICE, "l_suppkey"), of([x[1] for x in _LOSE], "l_orderkey"), F.lit("."))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", frames.linked_text(find_rolls)(text).alias("text"))
 
 
