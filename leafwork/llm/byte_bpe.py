@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textarrays import codepoints, text_slices, tidied
+from .textarrays import arrow_map, codepoints, text_slices
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: Bytes of merged pieces that a task keeps, as estimated; a full cache starts anew, and none outlives its task.
@@ -274,7 +274,7 @@ def _with_coder(path: str, body: Callable) -> Callable:
         finally:
             own.forget()
 
-    return tidied(run)
+    return run
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -286,7 +286,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             got = own.encode(b.column(kept.index(text_col)))
             yield pa.record_batch([*b.columns, pa.ListArray.from_arrays(pa.array(got.at, pa.int32()), pa.array(got.ids, pa.int32()))], names=[*kept, "ids"])
 
-    return docs.select(kept).mapInArrow(_with_coder(path, run), T.StructType([*docs.select(kept).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return arrow_map(docs.select(kept), _with_coder(path, run), T.StructType([*docs.select(kept).schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -304,7 +304,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.record_batch([*b.columns, pa.array([raw[s:e] for s, e in zip(begin[:-1], begin[1:], strict=True)], pa.binary()), pa.array([offsets[s + 1 : e + 1] - offsets[s] for s, e in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))], names=[*kept, "decoded", "offsets"])
 
     schema = T.StructType([*tokens.select(kept).schema, T.StructField("decoded", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.LongType()))])
-    return tokens.select(kept).mapInArrow(_with_coder(path, run), schema)
+    return arrow_map(tokens.select(kept), _with_coder(path, run), schema)
 
 
 def tokenize(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -322,7 +322,7 @@ def tokenize(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([*b.columns, ids, pa.array(np.diff(got.at)), pa.array(same)], names=[*kept, "ids", "n_tokens", "lossless"])
 
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
-    return docs.select(kept).mapInArrow(_with_coder(path, run), T.StructType([*docs.select(kept).schema, *more]))
+    return arrow_map(docs.select(kept), _with_coder(path, run), T.StructType([*docs.select(kept).schema, *more]))
 
 
 def _sha(parts: Iterator[bytes]) -> list[str]:
@@ -345,4 +345,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             decoded_sha = _sha(raw[s:e] for s, e in zip(begin[:-1], begin[1:], strict=True))
             yield pa.record_batch([b.column(0), pa.array(np.diff(got.at)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_with_coder(path, run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _with_coder(path, run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import text_slices, tidied
+from .textarrays import arrow_map, text_slices
 
 #: Labelled pages that the weights are fitted on at most, and the characters of one at most.
 SAMPLE = 400
@@ -248,4 +248,4 @@ def extract_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
             texts = [extract(x, weights) for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema=schema)
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
+    return arrow_map(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), run, "page_id long, url string, text string, n_chars long")

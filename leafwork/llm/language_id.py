@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textarrays import codepoints, text_slices, tidied
+from .textarrays import arrow_map, codepoints, text_slices
 
 PROFILE = 400
 #: More labels than this can't be profiles held by every task.
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
         yield from flush()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = rows.mapInArrow(tidied(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = arrow_map(rows, run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
     out: dict[str, list] = {}
     for lang, code, _ in sorted(ranked.select("lang", "code", "rank").limit(size * MOST_LANGUAGES + 1).collect(), key=lambda r: (r[0], r[2])):
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
             yield pa.record_batch([*b.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*kept, "lang_pred", "score"])
 
     schema = T.StructType([*docs.select(kept).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(kept).mapInArrow(tidied(run), schema)
+    return arrow_map(docs.select(kept), run, schema)
 
 
 def held_out():

@@ -36,14 +36,13 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import dropped, saved
-from .textarrays import mix, shingle_sets, text_slices, tidied
+from .textarrays import arrow_map, mix, shingle_sets, text_slices
 
 PERCENT = 75
 #: Counters of shingle frequency, a byte each (a twelfth of an octave): 16 MB that every task gets.
@@ -104,42 +103,34 @@ def summaries(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 raw = pa.compress(part.astype(np.uint32).tobytes(), "zstd", asbytes=True)
                 yield pa.record_batch([pa.nulls(1, pa.int64())] * 4 + [pa.array([k // _BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([raw], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(tidied(run), "id long, n long, f1 long, f2 long, block int, salt int, counts binary")
+    return arrow_map(docs, run, "id long, n long, f1 long, f2 long, block int, salt int, counts binary")
 
 
 def counters(made: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """The counters of all tasks, added up as a tree; what comes to the driver is 2 ** bits bytes."""
+    """The counters of all tasks, added up as a tree, as levels; what comes to the driver is 2 ** bits bytes."""
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_BLOCK, np.uint64)
-        for raw in rows["counts"]:
-            total += np.frombuffer(pa.decompress(raw, 4 * _BLOCK, "zstd", asbytes=True), np.uint32)
-        total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-        first = rows.iloc[0]
-        return pd.DataFrame([[first["block"], first["salt"], pa.compress(total.tobytes(), "zstd", asbytes=True)]], columns=["block", "salt", "counts"])
+    def adder(last: bool):
+        def add(rows: pa.Table) -> pa.Table:
+            total = np.zeros(_BLOCK, np.uint64)
+            for raw in rows.column("counts").to_pylist():
+                total += np.frombuffer(pa.decompress(raw, 4 * _BLOCK, "zstd", asbytes=True), np.uint32)
+            # Logarithms keep common shingles apart from others however large the corpus is.
+            told = np.minimum(STEPS * np.log2(1.0 + total), 255).astype(np.uint8) if last else np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+            return rows.slice(0, 1).select(["block", "salt"]).append_column("counts", pa.array([pa.compress(told.tobytes(), "zstd", asbytes=True)], pa.binary()))
+
+        return add
 
-    kind = "block int, salt int, counts binary"
     rows = made.where("block is not null").select("block", "salt", "counts")
     for fan_in in (1, _FAN_IN, _FAN_IN**2):
-        rows = rows.withColumn("salt", F.expr(f"cast(salt div {fan_in} as int)")).groupBy("block", "salt").applyInPandas(add, kind)
-    # Logarithms keep common shingles apart from others however large the corpus is.
-    level = F.pandas_udf(_levels, "binary")
+        rows = rows.withColumn("salt", F.expr(f"cast(salt div {fan_in} as int)")).groupBy("block", "salt").applyInArrow(adder(fan_in == _FAN_IN**2), "block int, salt int, counts binary")
     out = np.zeros(1 << bits, np.uint8)
-    for block, _, raw in rows.withColumn("counts", level("counts")).collect():
+    for block, _, raw in rows.collect():
         part = np.frombuffer(pa.decompress(bytes(raw), _BLOCK, "zstd", asbytes=True), np.uint8)
         at = slice(block * _BLOCK, (block + 1) * _BLOCK)
         out[at] = np.maximum(out[at], part)
     return out
 
 
-def _levels(counts: pd.Series) -> pd.Series:
-    def of(raw: bytes) -> bytes:
-        total = np.frombuffer(pa.decompress(raw, 4 * _BLOCK, "zstd", asbytes=True), np.uint32)
-        return pa.compress(np.minimum(STEPS * np.log2(1.0 + total), 255).astype(np.uint8).tobytes(), "zstd", asbytes=True)
-
-    return counts.map(of)
-
-
 def cells(docs: DataFrame, rarity: Broadcast, percent: int = PERCENT) -> DataFrame:
     """Rows (cell, id, n): each set in the cells of its rarest shingles, as many as links may need."""
 
@@ -166,7 +157,7 @@ def cells(docs: DataFrame, rarity: Broadcast, percent: int = PERCENT) -> DataFra
                 sizes = [len(g) for g in got]
                 yield pa.record_batch([pa.array(np.concatenate(got)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes))], names=["cell", "id", "n"])
 
-    return docs.mapInArrow(tidied(run), "cell long, id long, n int")
+    return arrow_map(docs, run, "cell long, id long, n int")
 
 
 def parity(x: np.ndarray) -> bytes:
@@ -194,7 +185,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 i, n, raw, bits = zip(*got, strict=True)
                 yield pa.record_batch([pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(raw, pa.binary()), pa.array(bits, pa.binary())], names=["id", "n", "s", "bits"])
 
-    return docs.mapInArrow(tidied(run), "id long, n int, s binary, bits binary")
+    return arrow_map(docs, run, "id long, n int, s binary, bits binary")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -224,7 +215,7 @@ def measure(pairs: DataFrame, held: DataFrame) -> DataFrame:
     own = held.select("id", "s").join(_small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()), "id", "left_semi")
     one = pairs.select(F.col("a").alias("id"), "b").join(own, "id").select(F.col("id").alias("a"), F.col("b").alias("id"), F.col("s").alias("x"))
     both = one.join(own, "id").select("a", F.col("id").alias("b"), "x", F.col("s").alias("y"))
-    return both.mapInArrow(tidied(run), "a long, b long, shared long, union long")
+    return arrow_map(both, run, "a long, b long, shared long, union long")
 
 
 def linked(percent: int = PERCENT):
@@ -325,7 +316,7 @@ def _cut(open_: DataFrame, level: int, percent: int) -> DataFrame:
                 star.append(bool(d[0] <= _within(n + lead_n, percent) and min(n, lead_n) * 100 >= max(n, lead_n) * percent))
             yield pa.record_batch([*(b.column(c) for c in kept), pa.array(parts, pa.list_(pa.int32())), pa.array(away, pa.int64()), pa.array(star, pa.bool_())], names=[*kept, "parts", "d", "star"])
 
-    return open_.join(pivots, "region").mapInArrow(tidied(run), "region long, id long, n int, bits binary, size long, wide long, lead long, parts array<int>, d long, star boolean")
+    return arrow_map(open_.join(pivots, "region"), run, "region long, id long, n int, bits binary, size long, wide long, lead long, parts array<int>, d long, star boolean")
 
 
 def _tiles(dense: DataFrame, leaf: int) -> DataFrame:
@@ -459,7 +450,7 @@ def near_pairs(members: DataFrame, label: DataFrame | None, percent: int = PERCE
         if rest is not None and (got := pairs(rest)) is not None:
             yield got
 
-    return members.select(columns).repartition("region").sortWithinPartitions("region", "id").mapInArrow(tidied(run), "a long, b long").distinct()
+    return arrow_map(members.select(columns).repartition("region").sortWithinPartitions("region", "id"), run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rounds: int = ROUNDS, leaf: int = LEAF) -> DataFrame:

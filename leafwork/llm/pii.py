@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import text_slices, tidied
+from .textarrays import arrow_map, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -186,7 +186,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             spans = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find(t)] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(spans, kind)], names=["id", "spans"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "id long, spans array<struct<kind string, start int, end int, score double>>")
+    out = arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, spans array<struct<kind string, start int, end int, score double>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -200,7 +200,7 @@ def mask_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array(texts, b.schema.field(where).type) if i == where else b.column(i) for i in range(len(names))]
             yield pa.record_batch(columns, names=names)
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -217,4 +217,4 @@ def digest(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True)
             yield pa.record_batch([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(kinds)[1:], strict=True))], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, score double")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2_000_000
 SHINGLE = 5
@@ -67,6 +68,20 @@ def tidied(run: Callable) -> Callable:
     return tidy
 
 
+#: Bytes of a batch that Spark hands to a worker, where the session keeps to Spark's own bound: several
+#: batches are held at once, by the executor and by the worker.
+BATCH_BYTES = 8 << 20
+_BOUND, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """A function over Arrow batches of bounded size, which leaves no memory behind in its worker."""
+    conf = df.sparkSession.conf
+    if conf.get(_BOUND) == f"{_USUAL}b":
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return df.mapInArrow(tidied(run), schema)
+
+
 def text_slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the texts of each hold at most ``most`` bytes, or one row."""
     for batch in batches:

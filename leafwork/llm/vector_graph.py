@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import saved
-from .textarrays import tidied
+from .textarrays import arrow_map
 
 DEGREE = 24
 BEAM = 48
@@ -177,7 +177,7 @@ def packed(vectors: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(_raw(b.column(1)), pa.binary())], names=["vec_id", "raw"])
 
-    own = _usable(vectors).mapInArrow(tidied(run), "vec_id long, raw binary")
+    own = arrow_map(_usable(vectors), run, "vec_id long, raw binary")
     return own.select("vec_id", (F.octet_length("raw") / 8).cast("int").alias("dim"), "raw")
 
 
@@ -201,7 +201,7 @@ def nodes(vectors: DataFrame, keep: int) -> DataFrame:
         for k in range(0, len(parts), 4096):
             yield pa.record_batch([pa.array([p[0] for p in parts[k : k + 4096]], pa.binary()), pa.array([p[1] for p in parts[k : k + 4096]], pa.list_(pa.int64()))], names=["raw", "ids"])
 
-    few = _usable(vectors).mapInArrow(tidied(run), "raw binary, ids array<long>").groupBy("raw").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    few = arrow_map(_usable(vectors), run, "raw binary, ids array<long>").groupBy("raw").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     few = few.select("raw", F.slice(F.array_sort(F.array_distinct("ids")), 1, keep).alias("ids"))
     return few.select(F.col("ids")[0].alias("node"), (F.octet_length("raw") / 8).cast("int").alias("dim"), "raw", "ids")
 
@@ -251,7 +251,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int | None
                     times = ok.sum(1)
                     yield pa.record_batch([pa.array(np.repeat(who, times)), pa.array(which[ok]), pa.array(np.repeat(score, times))], names=["query_id", "vec_id", "score"])
 
-    pairs = blocks.join(graphs, ["dim", "shard"]).mapInArrow(tidied(run), "query_id long, vec_id long, score double")
+    pairs = arrow_map(blocks.join(graphs, ["dim", "shard"]), run, "query_id long, vec_id long, score double")
     best = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
