@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from leafwork.functions.pages import parse_pages
 from leafwork.plans.convert import Layout, Options, convert, write
 from leafwork.sources.layout import SCHEMAS, read
-from leafwork.sources.worlds import SettingsError, output_and_prefix
+from leafwork.sources.worlds import SettingsError, default_data_dir, list_worlds, output_and_prefix
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="leafwork", description=__doc__)
-    p.add_argument("layout", help="folder with the layout tables as Parquet")
+    p.add_argument("layout", nargs="?", help="folder with the layout tables as Parquet")
     p.add_argument("-o", "--out", help="output folder")
     p.add_argument("-p", "--pages", help="pages, such as 1-3,7,10-")
     p.add_argument("-n", "--name", help="name of the journal")
@@ -30,12 +30,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--data-dir")
     for name in ("images", "tables", "boxes", "rolls", "links"):
         p.add_argument(f"--no-{name}", dest=name, action="store_false")
+    for name in ("macro", "preview"):
+        p.add_argument(f"--no-{name}", dest=name, action="store_false", help=f"write no {name}")
+    p.add_argument("--list-worlds", action="store_true", help="name the worlds of the data folder, and end")
     p.add_argument("--keep-headers", dest="strip_headers", action="store_false")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.list_worlds:
+        print(*list_worlds(args.data_dir or default_data_dir() or ""), sep="\n")
+        return 0
+    if not args.layout:
+        parser().error("a folder of layout tables is needed")
     spark = SparkSession.builder.appName("leafwork").getOrCreate()
     try:
         layout = Layout(**{name: read(spark, args.layout, name) for name in SCHEMAS})
@@ -47,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             args.images, args.tables, args.boxes, args.strip_headers, args.rolls, args.links, args.dpi, args.image_format, args.min_image, args.split, args.split_level,
             args.asset_prefix or (prefix.rstrip("/") if args.world else None),
         )
-        write(convert(layout, options, args.name), out)
+        write(convert(layout, options, args.name), out, ("entry", *(k for k in ("macro", "preview") if getattr(args, k))))
     except (SettingsError, ValueError) as error:
         print(error, file=sys.stderr)
         return 2

@@ -197,7 +197,7 @@ def convert(layout: Layout, options: Options = Options(), name: str | None = Non
     return told.groupBy("doc_id").applyInPandas(run, "doc_id string, slug string, name string, n_pages int, n_images int, entry string, macro string, preview string")
 
 
-def write(journals: DataFrame, path: str) -> None:
-    """Journals as text, a folder for each kind and one for each slug below it: entry, macro, preview."""
-    for kind in ("entry", "macro", "preview"):
+def write(journals: DataFrame, path: str, kinds: tuple[str, ...] = ("entry", "macro", "preview")) -> None:
+    """Journals as text, a folder for each kind and one for each slug below it."""
+    for kind in kinds:
         journals.select("slug", F.col(kind).alias("value")).write.mode("overwrite").partitionBy("slug").text(f"{path}/{kind}")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leafwork.functions.geometry import Rect, bounds, in_margin
 from leafwork.operators import geometry as G
-from leafwork.sources.layout import PAGE, RECTS_SQL, page_rects
+from leafwork.operators import pixels as P
+from leafwork.sources.layout import PAGE, RECTS_SQL, page_rects, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -171,3 +172,36 @@ def p4_p10_clean_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s4_s5_image_and_drawing_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("kind")
     return page_rects(spark, sf_dir).groupBy("book_id", "page_no").agg(F.count_if(kind == "image").alias("images"), F.countDistinct(F.when(kind == "image", F.col("digest"))).alias("digests"), F.count_if(kind == "drawing").alias("drawings"))
+
+
+# Pictures of eight orders each: a line is a row of sixteen grey values, some pictures almost of one grey.
+_GREY = "SELECT l_orderkey // 8 AS book_id, l_linenumber AS row_no, list_transform(range(16), lambda i: CAST(CASE WHEN l_orderkey // 8 % 3 = 0 THEN 200 + (l_partkey + i) % 9 ELSE (l_partkey * (i + 3) + l_suppkey) % 256 END AS INTEGER)) AS vals FROM lineitem"
+
+
+@query("a17_flat_pictures", f", g AS ({_GREY}), v AS (SELECT book_id, unnest(vals) AS v FROM g), n AS (SELECT book_id, count(*) AS h FROM g GROUP BY ALL) SELECT book_id, coalesce(min(h) < 2 OR stddev_pop(v) < 8, true) AS flat FROM v JOIN n USING (book_id) GROUP BY book_id")
+def a17_flat_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = F.expr("l_orderkey div 8")
+    grey = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(book % 3 == 0, 200 + (F.col("l_partkey") + i) % 9).otherwise((F.col("l_partkey") * (i + 3) + F.col("l_suppkey")) % 256).cast("int"))
+    return P.flat(table(spark, sf_dir, "lineitem").select(book.alias("book_id"), F.col("l_linenumber").alias("row_no"), grey.alias("values")), ["book_id"])
+
+
+# Differences of pages: 48 rows of 100 pixels, changed in two spots that the page's numbers place.
+_DIFF = "SELECT p.book_id, p.page_no, r.row_no, c.col, CASE WHEN (r.row_no + p.page_no) % 17 < 6 AND (c.col + p.book_id) % 41 < 15 THEN 30 ELSE (r.row_no * c.col) % 11 END AS d FROM (SELECT DISTINCT book_id, page_no FROM images) p, (SELECT unnest(range(48)) AS row_no) r, (SELECT unnest(range(100)) AS col) c"
+
+
+@query("a18_visible_parts", f""", d AS (SELECT * FROM ({_DIFF}) WHERE d > 10),
+i AS (SELECT *, greatest(0, CAST(trunc(x0 * 48 / 72) AS INTEGER)) AS px0, greatest(0, CAST(trunc(y0 * 48 / 72) AS INTEGER)) AS py0, CAST(ceil(x1 * 48 / 72) AS INTEGER) AS px1, CAST(ceil(y1 * 48 / 72) AS INTEGER) AS py1 FROM images),
+b AS (SELECT book_id, page_no, item_no, x0, y0, x1, y1, min(col) AS a, max(col) + 1 AS z, min(row_no) AS b, max(row_no) + 1 AS e FROM i JOIN d USING (book_id, page_no) WHERE row_no >= py0 AND row_no < py1 AND col >= px0 AND col < px1 GROUP BY ALL)
+SELECT book_id, page_no, item_no, greatest(x0, a / (48 / 72) - 1) AS x0, greatest(y0, b / (48 / 72) - 1) AS y0, least(x1, z / (48 / 72) + 1) AS x1, least(y1, e / (48 / 72) + 1) AS y1 FROM b""")
+def a18_visible_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _kind(spark, sf_dir, "image")
+    rows = images.select("book_id", "page_no").distinct().withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    changed = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda c: F.when(((F.col("row_no") + F.col("page_no")) % 17 < 6) & ((c + F.col("book_id")) % 41 < 15), 30).otherwise(F.col("row_no") * c % 11).cast("int"))
+    return P.visible(images, rows.withColumn("values", changed), (0.0, 0.0, 612.0, 792.0), ["book_id", "page_no"])
+
+
+@query("j20_resource_names", "SELECT t.book_id, t.page_no, t.item_no, n.name FROM (SELECT *, chars % 50 AS xref FROM images) t LEFT JOIN (SELECT book_id, page_no, chars % 50 AS xref, arg_min('Im' || item_no, item_no) AS name FROM texts GROUP BY ALL) n USING (book_id, page_no, xref)")
+def j20_resource_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xref = (F.col("chars") % 50).alias("xref")
+    resources = _kind(spark, sf_dir, "text").select("book_id", "page_no", F.col("item_no").alias("ord"), xref, F.concat(F.lit("Im"), F.col("item_no").cast("string")).alias("name"))
+    return P.named(_kind(spark, sf_dir, "image").withColumn("xref", xref), resources, ["book_id", "page_no"]).select("book_id", "page_no", "item_no", "name")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,24 @@ SCHEMAS = {
 }
 
 
+class LayoutError(ValueError):
+    """A layout that can't be used, told in words for the user."""
+
+
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A layout table kept as Parquet under a folder."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}.parquet")
+    """A layout table kept as Parquet under a folder; one that is absent or can't be read is told in words."""
+    at = f"{path.rstrip('/')}/{name}.parquet"
+    try:
+        found = spark.read.parquet(at).columns
+    except AnalysisException as error:
+        absent = "PATH_NOT_FOUND" in str(error)
+        raise LayoutError(f"no table {name} at {at}" if absent else f"{at} can't be read as Parquet") from error
+    except Exception as error:
+        raise LayoutError(f"{at} can't be read as Parquet") from error
+    lacking = [c.split()[0] for c in re.split(r", (?![^<]*>)", SCHEMAS[name]) if c.split()[0] not in found]
+    if lacking:
+        raise LayoutError(f"{at} lacks {', '.join(lacking)}")
+    return spark.read.schema(SCHEMAS[name]).parquet(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -77,3 +77,25 @@ def test_switches_off(book):
 def test_bad_options():
     with pytest.raises(ValueError):
         Options(split="chapter")
+
+
+def test_a_world_s_images_and_boxes_over_pages(book):
+    text = contents(entries(book, asset_prefix="worlds/arkham/leafwork/sample")["sample"][0])
+    assert "worlds/arkham/leafwork/sample/sample-p002-01.webp" in text
+
+
+def test_layouts_that_cannot_be_read(spark, tmp_path, capsys):
+    from leafwork import cli
+    from leafwork.sources.layout import LayoutError, read
+
+    with pytest.raises(LayoutError, match="no table spans"):
+        read(spark, str(tmp_path), "spans")
+    spark.range(1).write.parquet(str(tmp_path / "docs.parquet"))
+    with pytest.raises(LayoutError, match="lacks doc_id, title, n_pages"):
+        read(spark, str(tmp_path), "docs")
+    (tmp_path / "pages.parquet").write_text("no table")
+    with pytest.raises(LayoutError, match="can't be read"):
+        read(spark, str(tmp_path), "pages")
+    assert cli.main([str(tmp_path)]) == 2 and "lacks" in capsys.readouterr().err
+    (tmp_path / "worlds" / "Arkham").mkdir(parents=True)
+    assert cli.main(["--list-worlds", "--data-dir", str(tmp_path)]) == 0 and capsys.readouterr().out == "Arkham\n"
