@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 SHINGLE = 5
 
 _U = np.uint64
