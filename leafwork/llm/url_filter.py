@@ -117,9 +117,12 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, defa
 
     labelled has url and verdict (block or allow). ``block`` for a host with a seed word counts as
     a label too; the list's verdicts don't, as they would spread from listed hosts to all others.
-    Without labelled urls, those without a seed word count as ``allow`` unless the list blocks them.
+    Without labelled urls, or with an empty table of them, those without a seed word count as
+    ``allow`` unless the list blocks them.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "fired")]
+    if labelled is not None and labelled.isEmpty():
+        labelled = None
 
     def read(df: DataFrame) -> DataFrame:
         host, path = parse(F.col("url"))

@@ -39,6 +39,16 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_over_long_texts_and_clashing_names(spark, sf_dir):
+    long = " ".join(f"word{i % 977} and the other {i % 13}" for i in range(30_000))
+    rows = [(1, long, "en", "s", 0, "a", 1), (2, long, "en", "s", 0, "b", 2), (3, long + " more", "en", "s", 0, "c", 3), (4, "quite another text, mail me at a.b@example.com", "en", "s", 0, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string, id int")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == {1, 4} and got[1]["lossless"] and got[1]["n_tokens"] == len(got[1]["ids"]) > 90_000 and "@" not in got[4]["text"]
+
+
 def test_pipeline_over_odd_rows(spark, sf_dir, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "Hello there my friend of old", None, None, None), (None, "a text without an id at all", "en", "s", 1), (3, "Hello there my friend of old", None, None, None)]
     for part in (rows, []):

@@ -184,6 +184,14 @@ def test_an_item_id_with_several_texts(spark):
     assert got == {0: (36, 36, 1.0), 1: (26, 26, 1.0), 2: (36, 36, 1.0), 4: (36, 32, 32 / 36)}
 
 
+def test_items_in_very_long_texts(spark):
+    item = prose(3, 20)
+    texts = [prose(5, 40_000) + " " + item + " " + prose(6, 40_000), prose(7, 60_000), None, item, item]
+    items = spark.createDataFrame([(7, item, "x"), (7, item, "y")], "item_id long, text string, hash string")
+    assert sorted(r["doc_id"] for r in decontaminate.find(documents(spark, texts).withColumn("hash", F.lit(1)), items).collect()) == [0, 3, 4]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(documents(spark, texts), items).collect()) == [1, 2]
+
+
 # -- 4 -------------------------------------------------------------------------------------
 def test_licences(spark):
     s = license_scan.SENTENCES
@@ -285,6 +293,17 @@ def test_all_keys_segments_and_levels_are_tokens(spark):
     assert {"host6=a.b.c.d.example.com", "host5=b.c.d.example.com", "host1=com", "seg1=x", "seg3=z#", "key=k3"} <= tokens
 
 
+def test_labels_empty_repeated_and_with_clashing_names(spark):
+    urls = [f"http://shop{i}.example.com/a" for i in range(20)] + ["http://casino.example.com/a", "http://casino.example.com/a"]
+    pages = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string, listed string").drop("listed")
+    bare = [r["verdict"] for r in url_filter.judge(pages).orderBy("page_id").collect()]
+    none = spark.createDataFrame([], "url string, verdict string, host string, path string")
+    assert bare == [r["verdict"] for r in url_filter.judge(pages, none).orderBy("page_id").collect()] == ["allow"] * 20 + ["block"] * 2
+    labels = spark.createDataFrame([(u, "block" if "shop1" in u else "allow", "h", "p") for u in urls[:20]] * 2, "url string, verdict string, host string, path string")
+    got = url_filter.judge(pages, labels).orderBy("page_id").collect()
+    assert len(got) == 22 and got[20]["verdict"] == got[21]["verdict"] == "block" and got[20]["host"] == "casino.example.com"
+
+
 # -- 6 -------------------------------------------------------------------------------------
 def test_bpe_against_tiktoken(spark):
     import public_tokenizers
@@ -361,6 +380,14 @@ def test_languages_against_plain_profiles(spark):
         assert got[i] == (best, pytest.approx(1 - far[best] / (size * len(own))))
 
 
+def test_languages_of_long_and_repeated_texts_and_ties(spark):
+    rows = spark.createDataFrame([(1, "ab " * 200_000, "x"), (1, "ab " * 200_000, "x"), (2, "ab", "x"), (3, "cd ef", "y"), (4, "cd ef", "z")], "doc_id long, text string, lang string")
+    profiles = language_id.learn(rows)
+    got = [(r["lang_pred"], r["score"]) for r in language_id.predict(rows, profiles).orderBy("doc_id").collect()]
+    assert got[0] == got[1] and [x for x, _ in got] == ["x", "x", "x", "y", "y"]  # equal profiles: the first by name
+    assert language_id.predict(rows.limit(0), profiles).count() == 0
+
+
 def test_out_of_place_distance():
     a, b = {"x": np.array([5, 6, 7], np.uint32)}, np.array([6, 6, 5, 9], np.uint32)
     # ranks in the text: 6, 5, 9; in the profile: 1, 0, absent (3)
