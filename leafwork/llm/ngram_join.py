@@ -194,7 +194,7 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def measure(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs (a, b) with shared, the size of the intersection, and union."""
+    """Pairs (a, b), kept in a table, with shared, the size of the intersection, and union."""
 
     def run(batches):
         for batch in batches:
@@ -211,7 +211,6 @@ def measure(pairs: DataFrame, held: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "shared", "union"])
 
     # Both joins read the sets by the same columns, so that they are shuffled once, and only those that are met.
-    pairs = saved(pairs, "pairs")
     own = held.select("id", "s").join(_small(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()), "id", "left_semi")
     one = pairs.select(F.col("a").alias("id"), "b").join(own, "id").select(F.col("id").alias("a"), F.col("b").alias("id"), F.col("s").alias("x"))
     both = one.join(own, "id").select("a", F.col("id").alias("b"), "x", F.col("s").alias("y"))
@@ -251,7 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
             dropped(label)
             label = new
         dropped(to)
-    return label if label is not None else rest.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    if label is not None:
+        dropped(rest)
+        return label
+    return saved(rest.select(F.col("a").alias("id"), F.col("b").alias("label")), "labels")
 
 
 def _crowded(members: DataFrame, percent: int) -> DataFrame:
@@ -330,14 +332,17 @@ def _tiles(dense: DataFrame, leaf: int) -> DataFrame:
     return at.where("needed").select(F.col("tile").alias("region"), "id", "n", "bits")
 
 
-def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Regions (region, id, n, bits) small enough to be joined at once: those that were so, those made of larger ones, and pairs (a, b) with pivots."""
+def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[DataFrame]]:
+    """Regions (region, id, n, bits) small enough to be joined at once: those that were so, those made of larger ones, and pairs (a, b) with pivots.
+
+    Last, the tables that these pairs are read from.
+    """
     large = lambda df: df.groupBy("region").count().where(F.col("count") > leaf).select("region")
     hot = large(members)
     if hot.isEmpty():
-        return members, None, None
+        return members, None, None, []
     small, open_ = members.join(hot, "region", "left_anti"), members.join(hot, "region")
-    leaves, stars = [], []
+    leaves, stars, spent = [], [], []
     for level in range(rounds + 1):
         placed = saved(_cut(open_, level, percent), "placed")
         stars.append(placed.where("star and id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
@@ -347,13 +352,14 @@ def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds
         leaves.append(_tiles(placed.join(shrinks, "region", "left_anti"), leaf))
         cut = placed.join(shrinks, "region").withColumn("part", F.explode("parts"))
         cut = saved(cut.select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "id", "n", "bits"), "parts")
+        spent += [placed, cut]
         hot = large(cut)
         leaves.append(cut.join(hot, "region", "left_anti"))
         if hot.isEmpty():
             break
         open_ = cut.join(hot, "region")
     union = lambda many: functools.reduce(DataFrame.unionByName, many)
-    return small, saved(union(leaves), "leaves"), union(stars)
+    return small, saved(union(leaves), "leaves"), union(stars), spent
 
 
 def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -472,28 +478,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     members = saved(placed.join(held.select("id", "n", "bits"), ["id", "n"]).select("region", "id", "n", "bits"), "members")
     dropped(placed)
 
-    small, hot, stars = divided(members, percent, leaf, rounds)
-    label, tested = None, None
+    small, hot, stars, spent = divided(members, percent, leaf, rounds)
+    label, tested, told = None, None, []
 
     def met(pairs: DataFrame) -> None:
         """Measures the pairs that weren't yet, and follows their links."""
         nonlocal label, tested
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = saved(pairs, "pairs")
         now = saved(measure(pairs, held), "measured")
+        dropped(pairs)
+        told.append(now)
         links = now.where(linked(percent)).select("a", "b")
         tested = now if tested is None else tested.unionByName(now)
         if label is None:
             label = components(links)
         elif not links.isEmpty():
-            label = components(links.unionByName(label.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+            before = label
+            label = components(links.unionByName(before.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+            dropped(before)
 
     first = near_pairs(small, None, percent)
     met(first if stars is None else first.unionByName(stars).distinct())
+    dropped(*spent)
     if hot is not None:
         met(near_pairs(hot, label, percent))
     met(near_pairs(small if hot is None else small.unionByName(hot), label, percent, every=True))
-    dropped(members, held)
+    dropped(members, held, hot, *told)
     return _answer(classes, label, id_col)
 
 
