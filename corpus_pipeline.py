@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm import byte_bpe, decontaminate, language_id, ngram_join, pii
 from leafwork.llm.queries import table, vocabulary
-from leafwork.llm.storage import saved
+from leafwork.llm.storage import dropped, saved
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = saved(docs, f"stage{k + 1}")
+            dropped(before)  # the stage before that is read no more
+            before = docs
     return docs
