@@ -39,6 +39,9 @@ _TAXID = re.compile(r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-]
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 _GIVEN = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]+[_-])?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?key)[\"']?[\x20\t]*(?:=|:|=>)[\x20\t]*(?P<open>[\"'`]?)(?P<value>[^\s\"'`,;]{8,})")
+# What such keys and names hold: texts without any aren't searched.
+_KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza", "eyJ")
+_GIVEN_WORDS = ("passw", "pwd", "secret", "token", "key")
 
 # Base score by kind, and words that make a span of the kind likelier.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "taxid": 0.4, "secret": 0.5}
@@ -129,8 +132,11 @@ def mixed(value: str) -> bool:
 
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
-    found = [m.span() for pattern in (_KEY, _PEM) for m in pattern.finditer(text)]
-    found += [m.span("value") for m in _GIVEN.finditer(text) if mixed(m["value"])]
+    found = [m.span() for m in _KEY.finditer(text)] if any(x in text for x in _KEY_STARTS) else []
+    if "-----BEGIN" in text:
+        found += [m.span() for m in _PEM.finditer(text)]
+    if any(x in text.lower() for x in _GIVEN_WORDS):
+        found += [m.span("value") for m in _GIVEN.finditer(text) if mixed(m["value"])]
     done = 0
     for s, e in sorted(found):
         if s >= done:
