@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, ngram_join, pii, url_filter, vector_graph
+from . import byte_bpe, chat_format, decontaminate, html_extract, language_id, license_scan, ngram_join, pii, quality_cascade, spelling_variants, url_filter, vector_codes, vector_graph
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -69,5 +69,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op9_vector_graph, op10_chat_format)}
-ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(spelling_variants.vocabulary(table(spark, sf_dir, "documents"), slip=spelling_variants.SLIP))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_extract, op3_decontaminate, op4_license_scan, op5_url_filter, op6_byte_bpe, op7_language_id, op8_pii, op9_vector_graph, op10_chat_format, op11_vector_codes, op12_quality_cascade, op13_spelling_variants)}
+ORACLE: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op4_license_scan": license_scan.oracle(), "op10_chat_format": chat_format.ORACLE} | {
+    "op11_vector_codes": vector_codes.ORACLE, "op12_quality_cascade": quality_cascade.ORACLE, "op13_spelling_variants": spelling_variants.ORACLE
+}

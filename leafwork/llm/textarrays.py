@@ -173,3 +173,31 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield mix(own)
         else:
             yield np.zeros(0, np.uint64)
+
+
+def spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of every maximal run of bytes inside; no run crosses from one text to the next."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = at[:-1][at[:-1] < len(data)]
+    first[edge] = inside[edge]
+    ends = at[1:][at[1:] > 0] - 1
+    last[ends] = inside[ends]
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from s to e, e included, as they are."""
+    n = len(data)
+    up, down = _powers_to(n + 1)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=run[1:])
+    return mix((run[e + 1] - run[s]) * down[s] + (e - s).astype(np.uint64))
+
+
+def blank(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is one of 0x20 and 0x09-0x0D."""
+    return _SPACE[data]
