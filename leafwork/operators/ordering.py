@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafwork.operators.segments import by_group, heads, running_max
 
 WIDE, COLUMN_SLACK, ANCHOR_GAP = 0.6, 2.0, 8.0
 
@@ -32,63 +36,70 @@ def columns(items: DataFrame, keys: list[str], tie: str = "item_no") -> DataFram
     return islands(items, keys, ["x0", "x1", tie], F.col("x0") > reach + COLUMN_SLACK, "col")
 
 
-def page_order(rects: np.ndarray, x0: float | None = None, x1: float | None = None) -> list[int]:
-    """Rows of an array of rectangles in reading order.
+def region_order(region: np.ndarray, x0: np.ndarray, x1: np.ndarray, sides: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Rows in reading order within each of many regions at once, pages for instance, whose order stays.
 
-    A region is cut into bands at its wide items, and a band into columns, which are regions
-    again, until a band is one column: that reads from the top, then from the left. Regions wait on a stack,
-    so they may nest as deep as they like.
+    Rows come by region, and in it from the top, then from the left. A region is cut into bands at its wide items,
+    and a band into columns, which are regions again, until a band is one column: that reads as it came. All regions
+    that are still open are segments of one array and are cut together, by one sort and one running maximum a level,
+    so the number of passes is the depth of the deepest nesting. ``sides`` tells left and right of the first regions.
     """
-    out: list[int] = []
-    if not len(rects):
-        return out
+    order = np.arange(len(region))
+    slots, own = order.copy(), region
+    while len(slots):
+        rows, first = order[slots], heads(own)
+        size = np.diff(np.append(first, len(own)))
+        at = np.repeat(np.arange(len(first)), size)
+        left, right, width = x0[rows], x1[rows], x1[rows] - x0[rows]
+        lo, hi = (np.minimum.reduceat(left, first), np.maximum.reduceat(right, first)) if sides is None else sides
+        sides = None
+        wide = width >= WIDE * np.maximum(1.0, hi - lo)[at]
+        count = np.cumsum(wide)
+        band = 2 * (count - (count - wide)[first][at]) - wide
+        cut = np.append(True, (at[1:] != at[:-1]) | (band[1:] != band[:-1]))
+        band = np.cumsum(cut) - 1
+        by = np.lexsort((right, left, band))
+        reach = running_max(band[by], right[by])
+        new = np.append(True, (band[by][1:] != band[by][:-1]) | (left[by][1:] > reach[:-1] + COLUMN_SLACK))
+        column = np.empty(len(rows), np.int64)
+        column[by] = np.cumsum(new) - 1
+        columns_of = np.bincount(band[by][new])
+        again = np.argsort(column, kind="stable")  # each column from the top again
+        order[slots] = rows[again]
+        column = column[again]
+        open_ = (columns_of[band[again]] > 1) & (np.bincount(column)[column] > 1)
+        slots, own = slots[open_], column[open_]
+    return order
+
+
+def page_order(rects: np.ndarray, x0: float | None = None, x1: float | None = None) -> list[int]:
+    """Rows of an array of rectangles in reading order, in a region as wide as all or as told."""
     top = np.lexsort((rects[:, 0], rects[:, 1]))
-    bounds = (rects[:, 0].min(), rects[:, 2].max()) if x0 is None or x1 is None else (x0, x1)
-    todo: list[tuple[np.ndarray, tuple[float, float] | None]] = [(top, bounds)]
-    while todo:
-        own, sides = todo.pop()
-        if sides is None or len(own) < 2:
-            out += own.tolist()
-            continue
-        wide = rects[own, 2] - rects[own, 0] >= WIDE * max(1.0, sides[1] - sides[0])
-        band = 2 * np.cumsum(wide) - wide
-        parts = []
-        for piece in np.split(own, np.flatnonzero(np.diff(band)) + 1):
-            by_side = piece[np.lexsort((rects[piece, 2], rects[piece, 0]))]
-            reach = np.maximum.accumulate(rects[by_side, 2])
-            gaps = np.flatnonzero(rects[by_side[1:], 0] > reach[:-1] + COLUMN_SLACK) + 1
-            if not len(gaps):
-                parts.append((piece, None))
-                continue
-            for column in np.split(by_side, gaps):
-                inside = piece[np.isin(piece, column)]  # from the top again
-                parts.append((inside, (rects[inside, 0].min(), rects[inside, 2].max())))
-        todo += reversed(parts)
-    return out
+    sides = None if x0 is None or x1 is None else (np.array([x0], float), np.array([x1], float))
+    return top[region_order(np.zeros(len(top), np.int64), rects[top, 0], rects[top, 2], sides)].tolist()
 
 
 def reading_order(items: DataFrame, keys: list[str], tie: str = "item_no") -> DataFrame:
     """Items with ``place``, their rank in reading order on the page; of equal places the smaller ``tie`` goes first.
 
-    How deep columns nest isn't known beforehand, so a page's rectangles, gathered in one row, are ordered in an Arrow function.
+    How deep columns nest isn't known beforehand, so pages, dealt and sorted by Spark, are ordered as segments of
+    Arrow batches; a page with coordinates that are null or not finite keeps those items behind all others.
     """
-    columns_ = [c for c in items.columns if c not in keys]
-
-    @F.pandas_udf("array<int>")
-    def places(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        out = []
-        for sides in zip(x0, y0, x1, y1, strict=True):
-            order = page_order(np.stack(sides, axis=1))
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(1, len(order) + 1)
-            out.append(rank)
-        return pd.Series(out)
-
-    pages = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(tie).alias("_tie"), *columns_))).alias("_items"))
-    side = lambda c: F.transform("_items", lambda i: i[c].cast("double"))
-    placed = pages.withColumn("_places", places(*map(side, ("x0", "y0", "x1", "y1"))))
-    each = placed.select(*keys, F.explode(F.arrays_zip(F.col("_items").alias("item"), F.col("_places").alias("place"))).alias("x"))
-    return each.select(*keys, *(F.col(f"x.item.{c}").alias(c) for c in columns_), F.col("x.place").alias("place"))
+    schema = T.StructType([*(f for f in items.schema if f.name != "place"), T.StructField("place", T.IntegerType())])
+    sides = ("x0", "y0", "x1", "y1")
+
+    def run(b: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        x0, y0, x1, y1 = (pc.fill_null(b.column(c).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in sides)
+        good = np.isfinite(x0 + y0 + x1 + y1)
+        rows = np.arange(len(page))
+        ordered = rows[good][region_order(page[good], x0[good], x1[good])]
+        rows = np.concatenate([ordered, np.flatnonzero(~good)])
+        rows = rows[np.argsort(page[rows], kind="stable")]
+        place = np.empty(len(rows), np.int32)
+        place[rows] = np.arange(len(rows)) - heads(page)[page] + 1
+        return pa.record_batch([*b.columns, pa.array(place)], names=schema.names)
+
+    return by_group(items.select([f.name for f in schema][:-1]), keys, ["y0", "x0", tie], run, schema)
 
 
 def join_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,9 +46,17 @@ def w3_column_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.columns(banded, [*_PAGE, "band"]).select(*_PAGE, "item_no", F.col("col").cast("long").alias("col"))
 
 
-@query("w4_o1_reading_order", None)
+@query("w4_o1_reading_order", f"""WITH RECURSIVE {RECTS_SQL},
+t AS (SELECT book_id, page_no, item_no, x0, y0, x1, []::BIGINT[] AS path, true AS open FROM rects UNION ALL
+  SELECT book_id, page_no, item_no, x0, y0, x1, path || [band, col], cols > 0 AND count(*) OVER (PARTITION BY book_id, page_no, path, band, col) > 1 FROM (
+  SELECT *, max(col) OVER (PARTITION BY book_id, page_no, path, band) AS cols FROM (
+  SELECT *, CAST(sum(st) OVER (PARTITION BY book_id, page_no, path, band ORDER BY x0, x1, item_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS col FROM (
+  SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY book_id, page_no, path, band ORDER BY x0, x1, item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS st FROM (
+  SELECT *, CAST(sum(wide * 2) OVER (PARTITION BY book_id, page_no, path ORDER BY y0, x0, item_no ROWS UNBOUNDED PRECEDING) - wide AS BIGINT) AS band FROM (
+  SELECT *, CAST(x1 - x0 >= 0.6 * greatest(1.0, max(x1) OVER (PARTITION BY book_id, page_no, path) - min(x0) OVER (PARTITION BY book_id, page_no, path)) AS BIGINT) AS wide FROM t WHERE open))))))
+SELECT book_id, page_no, item_no, row_number() OVER (PARTITION BY book_id, page_no ORDER BY path, y0, x0, item_no) AS place FROM t WHERE NOT open""")
 def w4_o1_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.reading_order(page_rects(spark, sf_dir), _PAGE).select(*_PAGE, "item_no", "place")
+    return O.reading_order(page_rects(spark, sf_dir), _PAGE).select(*_PAGE, "item_no", F.col("place").cast("long").alias("place"))
 
 
 @query("p19_a8_line_text", f"""WITH {SPANS_SQL}, t AS (SELECT *, lag(text) OVER w AS pt, lag(x1) OVER w AS px FROM spans WHERE text <> '' WINDOW w AS (PARTITION BY book_id, page_no, line_no ORDER BY span_no))
