@@ -1,24 +1,21 @@
 """Filters and joins on rectangles of a page: images, boxes, tables, memberships.
 
-Every join is an equi-join on (document, page) with a spatial condition, so its pairs are those
-of one page.
+Every join deals rectangles to the cells of a grid of their page (``spatial``), so that pairs are those of
+neighbours, on crowded pages too. Items are told apart by ``item_no``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions.geometry import Rect, belongs, holds, overlap
+from leafwork.operators.spatial import OTHER, SIDES, counted, meetings, without
+from leafwork.storage import saved
 
 KEYS = ["book_id", "page_no"]
-_SIDES = ("x0", "y0", "x1", "y1")
-
-
-def prefixed(df: DataFrame, prefix: str, *more: str, keys: list[str] = KEYS) -> DataFrame:
-    """Keys, and sides and other columns with a prefix."""
-    return df.select(*keys, *(F.col(c).alias(prefix + c) for c in (*_SIDES, *more)))
+def _other() -> Rect:
+    return Rect(OTHER)
 
 
 def clip(df: DataFrame, page: tuple[float, float, float, float]) -> DataFrame:
@@ -28,21 +25,12 @@ def clip(df: DataFrame, page: tuple[float, float, float, float]) -> DataFrame:
 
 def not_covered(items: DataFrame, by: DataFrame, share: float, keys: list[str] = KEYS) -> DataFrame:
     """Items of which no rectangle of the page covers more than a share."""
-    other = prefixed(by, "o_", keys=keys)
-    on = [items[k] == other[k] for k in keys]
-    return items.join(other, [*on, overlap(_of(items), Rect("o_")) > share * _of(items).area], "left_anti")
+    return without(items, by, overlap(Rect(), _other()) > share * Rect().area, keys)
 
 
 def outside(items: DataFrame, rects: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Items whose centre lies in none of the rectangles."""
-    other, r = prefixed(rects, "o_", keys=keys), _of(items)
-    return items.join(other, [*(items[k] == other[k] for k in keys), holds(Rect("o_"), r.cx, r.cy)], "left_anti")
-
-
-def _of(df: DataFrame) -> Rect:
-    r = Rect()
-    r.x0, r.y0, r.x1, r.y1 = (df[c] for c in _SIDES)
-    return r
+    return without(items, rects, holds(_other(), Rect().cx, Rect().cy), keys, grow=1.0)
 
 
 def image_candidates(images: DataFrame, tables: DataFrame, texts: DataFrame, page: tuple[float, float, float, float], least: float = 48.0, keys: list[str] = KEYS) -> DataFrame:
@@ -50,29 +38,27 @@ def image_candidates(images: DataFrame, tables: DataFrame, texts: DataFrame, pag
     r = Rect()
     own = clip(images, page).where((r.width >= least) & (r.height >= least) & (F.greatest(r.width, r.height) <= 6 * F.least(r.width, r.height)))
     own = not_covered(own, tables, 0.5, keys)
-    content = texts.groupBy(*keys).agg(*(f(c).alias("c_" + c) for f, c in zip((F.min, F.min, F.max, F.max), _SIDES, strict=True)))
-    own = own.join(content, keys, "left").withColumns({"c_" + c: F.coalesce("c_" + c, F.lit(v)) for c, v in zip(_SIDES, page, strict=True)})
+    content = texts.groupBy(*keys).agg(*(f(c).alias("c_" + c) for f, c in zip((F.min, F.min, F.max, F.max), SIDES, strict=True)))
+    own = own.join(content, keys, "left").withColumns({"c_" + c: F.coalesce("c_" + c, F.lit(v)) for c, v in zip(SIDES, page, strict=True)})
     area = (page[2] - page[0]) * (page[3] - page[1])
-    return own.where(~((r.area < 0.06 * area) & (overlap(r, Rect("c_")) < 0.3 * r.area))).drop(*("c_" + c for c in _SIDES))
+    return own.where(~((r.area < 0.06 * area) & (overlap(r, Rect("c_")) < 0.3 * r.area))).drop(*("c_" + c for c in SIDES))
 
 
 def backgrounds(images: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Images under text: more than 300 characters in all, or 80 in one, at least half covered."""
-    t, r = Rect("t_"), Rect()
-    pairs = images.join(prefixed(texts, "t_", "chars", keys=keys), keys).where(overlap(t, r) >= 0.5 * t.area)
-    return pairs.groupBy(*keys, "item_no").agg(F.sum("t_chars").alias("chars"), F.max("t_chars").alias("most")).where("chars > 300 OR most > 80").select(*keys, "item_no")
+    pairs = meetings(images, texts, overlap(_other(), Rect()) >= 0.5 * _other().area, keys, more=("chars",))
+    return pairs.groupBy(*keys, "item_no").agg(F.sum("o_chars").alias("chars"), F.max("o_chars").alias("most")).where("chars > 300 OR most > 80").select(*keys, "item_no")
 
 
 def labels(texts: DataFrame, images: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Texts that are left: those that no image covers to 80 %."""
-    other = prefixed(images, "o_", keys=keys)
-    return texts.join(other, [*(texts[k] == other[k] for k in keys), overlap(_of(texts), Rect("o_")) >= 0.8 * _of(texts).area], "left_anti")
+    return without(texts, images, overlap(Rect(), _other()) >= 0.8 * Rect().area, keys)
 
 
 def erasures(images: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """By image the texts that touch it, in order: keys, item_no, erase."""
-    pairs = images.join(prefixed(texts, "t_", "item_no", keys=keys), keys).where(overlap(Rect("t_"), Rect()) > 0)
-    return pairs.groupBy(*keys, "item_no").agg(F.sort_array(F.collect_list("t_item_no")).alias("erase"))
+    pairs = meetings(images, texts, overlap(_other(), Rect()) > 0, keys, more=("item_no",))
+    return pairs.groupBy(*keys, "item_no").agg(F.sort_array(F.collect_list("o_item_no")).alias("erase"))
 
 
 def box_candidates(drawings: DataFrame, page_area: float) -> DataFrame:
@@ -83,23 +69,22 @@ def box_candidates(drawings: DataFrame, page_area: float) -> DataFrame:
 
 def outermost(rects: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Rectangles with no other around both corners."""
-    other = prefixed(rects, "o_", keys=keys)
-    o, r = Rect("o_"), _of(rects)
-    differ = (o.x0 != r.x0) | (o.y0 != r.y0) | (o.x1 != r.x1) | (o.y1 != r.y1)
-    return rects.join(other, [*(rects[k] == other[k] for k in keys), differ & holds(o, r.x0, r.y0) & holds(o, r.x1, r.y1)], "left_anti")
+    r = Rect()
+    differ = (_other().x0 != r.x0) | (_other().y0 != r.y0) | (_other().x1 != r.x1) | (_other().y1 != r.y1)
+    return without(rects, rects, differ & holds(_other(), r.x0, r.y0) & holds(_other(), r.x1, r.y1), keys, grow=1.0)
 
 
 def occupied(boxes: DataFrame, texts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Boxes that hold text, but aren't a frame around nine tenths of a page with more than three texts: n_inside."""
     total = texts.groupBy(*keys).agg(F.count("*").alias("total"))
-    pairs = boxes.join(prefixed(texts, "t_", keys=keys), keys).where(belongs(Rect("t_"), Rect()))
+    pairs = meetings(boxes, texts, belongs(_other(), Rect()), keys, grow=3.0)
     held = pairs.groupBy(*keys, "item_no").agg(F.count("*").alias("n_inside")).join(total, keys)
     return held.where(~((F.col("total") > 3) & (F.col("n_inside") >= 0.9 * F.col("total")))).select(*keys, "item_no", "n_inside")
 
 
 def memberships(items: DataFrame, boxes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """For each item in a box the first such box: item_no, box_no."""
-    pairs = items.join(prefixed(boxes, "o_", "item_no", keys=keys), keys).where(belongs(Rect(), Rect("o_")))
+    pairs = meetings(items, boxes, belongs(Rect(), _other()), keys, grow=3.0, more=("item_no",))
     return pairs.groupBy(*keys, "item_no").agg(F.min("o_item_no").alias("box_no"))
 
 
@@ -136,14 +121,34 @@ def merge_overlapping(rects: list[tuple], gap: float) -> list[tuple]:
 
 
 def merged(rects: DataFrame, gap: float = 2.0, keys: list[str] = KEYS) -> DataFrame:
-    """Rectangles of a page merged to a fixpoint, numbered from 1 in reading order: a grouped function, as the pages are small."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = merge_overlapping([tuple(r) for r in rows[list(_SIDES)].itertuples(index=False)], gap)
-        return pd.DataFrame([[*key, i + 1, *r] for i, r in enumerate(out)], columns=[*keys, "rect_no", *_SIDES])
+    """Rectangles of a page merged until none overlap when one is grown by a gap, numbered from 1 from the top left.
 
-    kinds = dict(rects.dtypes)
-    return rects.select(*keys, *_SIDES).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", rect_no int, x0 double, y0 double, x1 double, y1 double")
+    A round contracts: each rectangle goes with that of its neighbours and itself which a hash puts first, and what
+    goes together becomes its union. All that a union holds ends in one rectangle anyway, whatever the order, so
+    rounds reach the same fixpoint as merging pair by pair; hashes differ by round, so that chains shrink by a
+    factor. Pages on which nothing met are done; the others go on. Rectangles with a side that is null stay alone.
+    """
+    r = Rect()
+    meets = (r.x0 - gap < _other().x1) & (_other().x0 - gap < r.x1) & (r.y0 - gap < _other().y1) & (_other().y0 - gap < r.y1)
+    box = F.struct(*(F.col(c).cast("double").alias(c) for c in SIDES))
+    now, grid = counted(rects.select(*keys, box.alias("r")).distinct().select(*keys, "r.*"), keys, gap)
+    crowd, done, n = grid is not None, None, 0  # pages only get emptier
+    while True:
+        own = now.withColumn("p", F.struct(F.xxhash64(F.lit(n), *SIDES).alias("h"), *SIDES))
+        pairs = meetings(own, own, meets, keys, gap, more=("p",), may_crowd=crowd)
+        first = pairs.groupBy(*keys, "p").agg(F.min("o_p").alias("to"), (F.count("*") > 1).alias("met"))
+        # one with an empty side meets others, not itself: its own place counts too
+        told = own.join(first, [*keys, "p"], "left").select(*keys, F.coalesce(F.least("to", "p"), F.col("p")).alias("to"), F.coalesce("met", F.lit(False)).alias("met"), *SIDES)
+        union = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), SIDES, strict=True)]
+        round_ = saved(told.groupBy(*keys, "to").agg(*union, F.bool_or("met").alias("met")).drop("to"), "rects")
+        going = round_.where("met").select(*keys).distinct()
+        rest = round_.join(going, keys, "left_anti").select(*keys, *SIDES)
+        done = rest if done is None else done.unionByName(rest)
+        if going.isEmpty():
+            break
+        now, n = round_.join(going, keys, "left_semi").select(*keys, *SIDES).distinct(), n + 1
+    w = Window.partitionBy(*keys).orderBy("y0", "x0", "y1", "x1")
+    return done.select(*keys, F.row_number().over(w).alias("rect_no"), *SIDES)
 
 
 def numbered_files(rects: DataFrame, stem: str, ending: str = "webp", keys: list[str] = KEYS) -> DataFrame:

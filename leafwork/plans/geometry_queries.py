@@ -17,7 +17,7 @@ def query(name: str, sql: str | None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = f"WITH {RECTS_SQL}, {_VIEWS} {sql}"
+            ORACLE[name] = f"WITH RECURSIVE {RECTS_SQL}, {_VIEWS} {sql}"
         return f
 
     return add
@@ -156,7 +156,14 @@ def w13_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(alone, ["book_id", "page_no", "x0", "y0", "x1", "y1"], "left_semi").select(*_ID, "file")
 
 
-@query("a19_merged_rects", None)
+# A rectangle grows to the union of all that it meets, again and again; at the fixpoint equal ones are one.
+_GROWN = "list_distinct([{x0: list_min([b.x0 FOR b IN m]), y0: list_min([b.y0 FOR b IN m]), x1: list_max([b.x1 FOR b IN m]), y1: list_max([b.y1 FOR b IN m])} FOR m IN [[b FOR b IN rs IF a.x0 - 2 < b.x1 AND b.x0 - 2 < a.x1 AND a.y0 - 2 < b.y1 AND b.y0 - 2 < a.y1] FOR a IN rs]])"
+
+
+@query("a19_merged_rects", f""", g(book_id, page_no, rs, k) AS (SELECT book_id, page_no, list({{x0: x0, y0: y0, x1: x1, y1: y1}}), 0 FROM draws GROUP BY ALL
+  UNION ALL SELECT book_id, page_no, list_sort(new), k + 1 FROM (SELECT *, {_GROWN} AS new FROM g) WHERE list_sort(new) <> list_sort(rs)),
+l AS (SELECT book_id, page_no, unnest(list_distinct(rs)) AS r FROM g QUALIFY k = max(k) OVER (PARTITION BY book_id, page_no))
+SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id, page_no ORDER BY r.y0, r.x0, r.y1, r.x1) AS INTEGER) AS rect_no, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1 FROM l""")
 def a19_merged_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged(_kind(spark, sf_dir, "drawing"))
 
