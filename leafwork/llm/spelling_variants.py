@@ -47,6 +47,8 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 #: Longer runs are few and get their checksums one by one.
 _LONG = 64
+#: Rounds of tasks that write a table.
+WRITERS = 4
 #: Bytes of words whose paths are laid out at once.
 _PATH_BYTES = 200_000
 
@@ -194,12 +196,17 @@ def near(words: DataFrame, asked: DataFrame) -> DataFrame:
     return pairs.unionByName(sisters).groupBy("word").agg(F.sum("times").alias("n_near"), F.min("best").alias("best"))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of few files: as many tasks write as the cluster runs at a time, some times over, however many partitions were shuffled."""
+    return saved(df.coalesce(WRITERS * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def roots(forms: DataFrame) -> DataFrame:
     """For each word with a form the last of the chain of forms: word, root. A chain is as short as a logarithm, pointers double each round."""
-    to = saved(forms.select("word", F.col("form").alias("root")), "roots")
+    to = kept(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = to.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = saved(to.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        further = kept(to.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         dropped(to)
         to = further
         if to.where("moved").isEmpty():
@@ -208,11 +215,11 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def group(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     """Variants and their forms, for words (word, n): word, form, root, n, n_near, form_n."""
-    own = saved(named(words), "words")
-    asked = saved(edits(own), "edits")
+    own = kept(named(words), "words")
+    asked = kept(edits(own), "edits")
     close = own.select("word", "n").join(near(own, asked), "word", "left")
     takes = F.coalesce(-F.col("best.less") >= factor * F.col("n"), F.lit(False))
-    told = saved(close.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(takes, F.col("best.by")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
+    told = kept(close.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(takes, F.col("best.by")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
     dropped(asked, own)
     chains = roots(told.where("form is not null"))
     return told.join(chains, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
