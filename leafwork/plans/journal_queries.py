@@ -7,11 +7,10 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import rolls as R
-from leafwork.functions.references import References
 from leafwork.functions.rolls import find_rolls, loss_cell
 from leafwork.operators import frames
 from leafwork.operators import journal as J
@@ -54,7 +53,7 @@ def f10_f14_j18_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, hard, pool = of([w[0] for w in _WHAT], key % len(_WHAT)), of(_HARD, F.col("p_size") % len(_HARD)), of(list(_POOLS), F.expr("p_partkey div 3") % len(_POOLS))
     hard = F.when(hard == "", "").otherwise(F.concat(hard, F.lit(" ")))
     said = F.when(key % 2 == 0, F.concat(F.lit("teste "), hard, F.lit("de "), name)).otherwise(F.concat(hard, name, F.lit(" roll")))
-    return table(spark, sf_dir, "part").select("p_partkey", frames.linked_text(find_rolls)(F.concat(F.lit("Um "), said, pool, F.lit("; "), F.col("p_name"))).alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", frames.linked_text(find_rolls, R.openers)(F.concat(F.lit("Um "), said, pool, F.lit("; "), F.col("p_name"))).alias("text"))
 
 
 # Each line loses by other dice and words; the shown text of a link keeps what was written.
@@ -68,7 +67,7 @@ lt AS (SELECT *, h || a || '/' || b || t AS shown FROM ls)"""
 def f11_f12_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda values, k: F.get(F.array(*map(F.lit, values)), (F.col(k) % len(values)).cast("int"))
     text = F.concat(F.lit("Perde "), of([x[0] for x in _LOSE], "l_orderkey"), of(_DICE, "l_partkey"), F.lit("/"), of(_DICE, "l_suppkey"), of([x[1] for x in _LOSE], "l_orderkey"), F.lit("."))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", frames.linked_text(find_rolls)(text).alias("text"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", frames.linked_text(find_rolls, R.openers)(text).alias("text"))
 
 
 @query("f8_f9_loss_cells", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '@coc7.sanloss[sanMin:' || o_orderkey % 4 || ',sanMax:1D' || o_orderkey % 10 || '+1]{' || o_orderkey % 4 || ' / 1d' || o_orderkey % 10 || ' + 1}' END AS cell FROM orders")
@@ -78,21 +77,6 @@ def f8_f9_loss_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", frames.text_function(loss_cell)(text).alias("cell"))
 
 
-def _references() -> References:
-    names = [("Capítulo III: A Casa", ".ch3"), ("Insanidade", ".ins"), ("Insanidade Temporária", ".tmp"), ("Ataques", ".a1"), ("Ataques", ".a2")]
-    return References(names, [(9, "p9"), (10, "p10")], {42: 9, 43: 10, 44: 77})
-
-
-@query("f25_j16_j19_references", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'ver @UUID[.ch3]{capítulo 3} do livro ' || o_orderkey WHEN 1 THEN 'veja @UUID[.tmp]{Insanidade Temporária}, ' || o_orderkey WHEN 2 THEN '(@UUID[.p9]{página 42}) ' || o_orderkey
-  WHEN 3 THEN 'ver capítulo 9, ' || o_orderkey WHEN 4 THEN 'veja Ataques ' || o_orderkey ELSE 'see @UUID[.ins]{Insanidade}; p. 44' END AS text FROM orders""")
-def f25_j16_j19_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    n = k.cast("string")
-    text = F.when(k % 6 == 0, F.concat(F.lit("ver capítulo 3 do livro "), n)).when(k % 6 == 1, F.concat(F.lit("veja Insanidade Temporária, "), n)).when(k % 6 == 2, F.concat(F.lit("(página 42) "), n))
-    text = text.when(k % 6 == 3, F.concat(F.lit("ver capítulo 9, "), n)).when(k % 6 == 4, F.concat(F.lit("veja Ataques "), n)).otherwise(F.lit("see Insanidade; p. 44"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", frames.linked_text(_references().find)(text).alias("text"))
-
-
 _NAMES = "n AS (SELECT p_size AS doc_id, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name ELSE 'Chapter ' || p_partkey % 12 || ' of ' || p_name END AS name, 't' || p_partkey AS target FROM part)"
 
 
@@ -102,6 +86,41 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), k.alias("ord"), name.alias("name"), F.concat(F.lit("t"), k.cast("string")).alias("target"))
 
 
+# Orders refer to parts by name, by chapter and by printed page; every second one to a part of another document.
+# A name that begins with a chapter's number is read as that chapter where a verb stands right before it.
+_REFS = f"""{_NAMES}, pt AS (SELECT n.*, p_size, row_number() OVER (ORDER BY ord) - 1 AS k FROM n JOIN part ON p_partkey = ord), m AS (SELECT count(*) AS m FROM part),
+rf AS (SELECT o_orderkey AS text_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN p_size ELSE o_custkey % 50 + 1 END AS INTEGER) AS doc_id, name AS said, CASE WHEN o_orderkey % 3 = 0 THEN 's' ELSE '' END AS tail, o_orderkey % 14 AS ch, o_orderkey % 30 AS pg,
+  ['Veja também ', 'see the "', 'conforme ', 'lembra '][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS verb, ['ver capítulo ', '(Chapter ', 'ver o cap. ', 'no capítulo '][CAST(o_orderkey // 4 % 4 + 1 AS INTEGER)] AS cv, ['), ', '; ', ' e ', ' '][CAST(o_orderkey % 5 % 4 + 1 AS INTEGER)] AS mid,
+  ['(p. ', ', pág. ', 'vide a página ', 'na p. '][CAST(o_orderkey // 16 % 4 + 1 AS INTEGER)] AS pv FROM orders, m JOIN pt ON k = o_orderkey % m)"""
+
+
+@query("f25_j16_j19_references", f"""WITH {_REFS},
+h AS (SELECT doc_id, lower(name) AS key, min(target) AS target FROM n GROUP BY ALL HAVING count(*) = 1 AND length(lower(name)) >= 4),
+c AS (SELECT doc_id, CAST(regexp_extract(name, '^Chapter ([0-9]+)', 1) AS INTEGER) AS ch, arg_min(target, ord) AS target FROM n WHERE name LIKE 'Chapter %' GROUP BY ALL),
+pp AS (SELECT doc_id, printed AS pg, target FROM (SELECT p_size AS doc_id, CAST(p_partkey % 25 AS INTEGER) AS printed, arg_min('p' || p_partkey, p_partkey) AS target FROM part GROUP BY ALL)),
+hit AS (SELECT text_id, doc_id, arg_max(target, length(key)) AS target, max(length(key)) AS len FROM rf JOIN h USING (doc_id) WHERE verb <> 'lembra ' AND starts_with(lower(said || tail), key) AND NOT regexp_matches(substring(lower(said || tail), length(key) + 1, 1), '^[\\pL\\pN]') GROUP BY ALL)
+SELECT text_id, doc_id, verb || CASE WHEN d.target IS NOT NULL THEN '@UUID[' || d.target || ']{{' || regexp_extract(said, '^Chapter [0-9]+') || '}}' || regexp_replace(said, '^Chapter [0-9]+', '') || tail WHEN hit.target IS NULL THEN said || tail ELSE '@UUID[' || hit.target || ']{{' || substring(said || tail, 1, len) || '}}' || substring(said || tail, len + 1) END || '; '
+  || CASE WHEN c.target IS NULL OR cv = 'no capítulo ' THEN cv || rf.ch ELSE regexp_replace(cv, '(cap|Chap).*$', '') || '@UUID[' || c.target || ']{{' || regexp_extract(cv, '(cap|Chap).*$') || rf.ch || '}}' END || mid
+  || CASE WHEN pp.target IS NULL OR pv = 'na p. ' THEN pv || rf.pg ELSE regexp_replace(pv, 'p[.á].*$', '') || '@UUID[.' || pp.target || ']{{' || regexp_extract(pv, 'p[.á].*$') || rf.pg || '}}' END || '.' AS text
+FROM rf LEFT JOIN hit USING (text_id, doc_id) LEFT JOIN c ON c.doc_id = rf.doc_id AND c.ch = rf.ch LEFT JOIN pp ON pp.doc_id = rf.doc_id AND pp.pg = rf.pg
+  LEFT JOIN c d ON d.doc_id = rf.doc_id AND verb = 'conforme ' AND CAST(d.ch AS VARCHAR) = regexp_extract(said, '^Chapter ([0-9]+)', 1)""")
+def f25_j16_j19_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, part, o = _names(spark, sf_dir), table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    k, of = F.col("o_orderkey"), lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    numbered = names.select(F.col("doc_id").alias("own"), F.col("name").alias("said"), (F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("k"))
+    said = o.withColumn("k", k % part.count()).join(numbered, "k")
+    text = F.concat(
+        of(["Veja também ", "see the \"", "conforme ", "lembra "], k % 4), F.col("said"), F.when(k % 3 == 0, "s").otherwise(""), F.lit("; "),
+        of(["ver capítulo ", "(Chapter ", "ver o cap. ", "no capítulo "], F.expr("o_orderkey div 4") % 4), (k % 14).cast("string"), of(["), ", "; ", " e ", " "], k % 5 % 4),
+        of(["(p. ", ", pág. ", "vide a página ", "na p. "], F.expr("o_orderkey div 16") % 4), (k % 30).cast("string"), F.lit("."),
+    )
+    texts = said.select(k.alias("text_id"), F.when(k % 2 == 0, F.col("own")).otherwise((F.col("o_custkey") % 50 + 1).cast("int")).alias("doc_id"), text.alias("text"))
+    page = (F.col("p_partkey") % 25).cast("int")
+    printed = part.select(F.col("p_size").alias("doc_id"), page.alias("printed"), (page + 2).alias("pdf_page")).distinct()
+    pages = part.select(F.col("p_size").alias("doc_id"), (page + 2).alias("pdf_page"), F.col("p_partkey").alias("ord"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("page_id"))
+    return frames.linked_references(texts, names, pages, printed).select("text_id", "doc_id", "text")
+
+
 @query("a11_o3_unique_headings", f"WITH {_NAMES} SELECT doc_id, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS key, min(target) AS target FROM n GROUP BY ALL HAVING count(*) = 1 AND length(lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))) >= 4")
 def a11_o3_unique_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.unique_headings(_names(spark, sf_dir))
