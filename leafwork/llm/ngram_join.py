@@ -14,7 +14,8 @@ A region of more than ``LEAF`` documents is joined recursively: document pivots
 regions, and a document is replicated to each region whose pivot is, by the triangle inequality,
 near enough for a linked one to belong there. Where such regions don't shrink, as all documents
 lie within the window, the region is cut by distance from its pivot into rings as wide as a link
-is long, so that only the same and neighbouring rings meet, in tiles of bounded size.
+is long, so that only the same and neighbouring rings meet, in tiles of bounded size; links with
+the pivots are measured first, and members of the class that holds most of the region never meet one another.
 
 Distances between members are bounded below by parity bitmaps: bit h mod B of a set's bitmap is the parity of
 its shingles there, and two bitmaps differ in no more bits than the sets in shingles. This distance
@@ -321,35 +322,48 @@ def _cut(open_: DataFrame, level: int, percent: int) -> DataFrame:
     return arrow_map(open_.join(pivots, "region"), run, "region long, id long, n int, bits binary, size long, wide long, lead long, parts array<int>, d long, star boolean")
 
 
-def _tiles(dense: DataFrame, leaf: int) -> DataFrame:
-    """Regions cut into rings around their pivot and blocks of rings: the members of each two blocks that may hold a link."""
-    blocks = F.ceil(F.col("size") / leaf)
-    at = dense.select("region", "id", "n", "bits", F.floor(F.col("d") / F.greatest("wide", F.lit(1))).alias("ring"), F.pmod(F.xxhash64("id"), blocks).alias("block"), blocks.alias("blocks"))
-    at = at.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col("blocks") - 1)))
-    own = F.col("ring") * F.col("blocks") + F.col("block")
-    other = F.expr("(ring - 1 + k div blocks) * blocks + k % blocks")
-    at = at.select(F.xxhash64("region", F.least(own, other), F.greatest(own, other)).alias("tile"), "id", "n", "bits", ((own != other) | (F.col("blocks") == 1)).alias("needed"))
-    return at.where("needed").select(F.col("tile").alias("region"), "id", "n", "bits")
+def _tiles(dense: DataFrame, label: DataFrame, leaf: int) -> DataFrame:
+    """Regions cut into rings around their pivot, and into tiles: the members of each two blocks that may hold a link between classes.
 
-
-def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[DataFrame]]:
-    """Regions (region, id, n, bits) small enough to be joined at once: those that were so, those made of larger ones, and pairs (a, b) with pivots.
-
-    Last, the tables that these pairs are read from.
+    What links so far (``label``) has made classes of a region's members, in a family of near copies one that
+    holds most. Its members need none of one another: each of its blocks meets only blocks of the rest, and these meet
+    each other. A region that is one class needs no tile, so rows grow with the members that aren't linked yet.
+    """
+    own = dense.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = own.groupBy("region", "label").count()
+    most = sizes.groupBy("region").agg(F.max(F.struct("count", "label")).alias("most"), F.sum("count").alias("all")).where(F.col("all") > F.col("most.count"))
+    most = saved(most.select("region", F.col("most.label").alias("main"), F.ceil(F.col("most.count") / leaf).alias("mains"), F.ceil((F.col("all") - F.col("most.count")) / leaf).alias("rests")), "classes")
+    at = own.join(most, "region").withColumn("ring", F.floor(F.col("d") / F.greatest("wide", F.lit(1)))).withColumn("in_main", F.col("label") == F.col("main"))
+    at = at.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))))
+    around = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), 3 * F.col(blocks) - 1))
+    other = lambda blocks: F.expr(f"(ring - 1 + k div {blocks}) * {blocks} + k % {blocks}")
+    mine = lambda blocks: F.col("ring") * F.col(blocks) + F.col("block")
+    main = at.where("in_main").withColumn("k", around("rests")).withColumn("tile", F.xxhash64("region", F.lit("main"), mine("mains"), other("rests")))
+    rest = at.where("NOT in_main")
+    to_main = rest.withColumn("k", around("mains")).withColumn("tile", F.xxhash64("region", F.lit("main"), other("mains"), mine("rests")))
+    among = rest.withColumn("k", around("rests")).where((mine("rests") != other("rests")) | (F.col("rests") == 1))
+    among = among.withColumn("tile", F.xxhash64("region", F.lit("rest"), F.least(mine("rests"), other("rests")), F.greatest(mine("rests"), other("rests"))))
+    return functools.reduce(DataFrame.unionByName, (x.select(F.col("tile").alias("region"), "id", "n", "bits") for x in (main, to_main, among)))
+
+
+def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None, list[DataFrame]]:
+    """Regions (region, id, n, bits) small enough to be joined at once: those that were so, and those made of larger ones.
+
+    Then those that don't shrink, with the distance d from their pivot; pairs (a, b) with pivots; and the tables that these are read from.
     """
     large = lambda df: df.groupBy("region").count().where(F.col("count") > leaf).select("region")
     hot = large(members)
     if hot.isEmpty():
-        return members, None, None, []
+        return members, None, None, None, []
     small, open_ = members.join(hot, "region", "left_anti"), members.join(hot, "region")
-    leaves, stars, spent = [], [], []
+    leaves, dense, stars, spent = [], [], [], []
     for level in range(rounds + 1):
         placed = saved(_cut(open_, level, percent), "placed")
         stars.append(placed.where("star and id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
         parts = placed.select("region", "size", F.explode("parts").alias("part")).groupBy("region", "size", "part").count()
         stats = parts.groupBy("region", "size").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
         shrinks = stats.where((F.col("most") <= SHRINKS * F.col("size")) & (F.col("all") <= 2 * F.col("size")) & F.lit(level < rounds)).select("region")
-        leaves.append(_tiles(placed.join(shrinks, "region", "left_anti"), leaf))
+        dense.append(placed.join(shrinks, "region", "left_anti").select("region", "id", "n", "bits", "wide", "d"))
         cut = placed.join(shrinks, "region").withColumn("part", F.explode("parts"))
         cut = saved(cut.select(F.xxhash64("region", "part", F.lit(level)).alias("region"), "id", "n", "bits"), "parts")
         spent += [placed, cut]
@@ -359,7 +373,7 @@ def divided(members: DataFrame, percent: int = PERCENT, leaf: int = LEAF, rounds
             break
         open_ = cut.join(hot, "region")
     union = lambda many: functools.reduce(DataFrame.unionByName, many)
-    return small, saved(union(leaves), "leaves"), union(stars), spent
+    return small, union(leaves), union(dense), union(stars), spent
 
 
 def _forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -478,7 +492,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     members = saved(placed.join(held.select("id", "n", "bits"), ["id", "n"]).select("region", "id", "n", "bits"), "members")
     dropped(placed)
 
-    small, hot, stars, spent = divided(members, percent, leaf, rounds)
+    small, leaves, dense, stars, spent = divided(members, percent, leaf, rounds)
     label, tested, told = None, None, []
 
     def met(pairs: DataFrame) -> None:
@@ -501,8 +515,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
     first = near_pairs(small, None, percent)
     met(first if stars is None else first.unionByName(stars).distinct())
-    dropped(*spent)
-    if hot is not None:
+    hot = None
+    if leaves is not None:
+        hot = saved(leaves.unionByName(_tiles(dense, label, leaf)), "leaves")
+        dropped(*spent)
         met(near_pairs(hot, label, percent))
     met(near_pairs(small if hot is None else small.unionByName(hot), label, percent, every=True))
     dropped(members, held, hot, *told)

@@ -253,3 +253,21 @@ def test_light_edges_are_few(spark):
     words = spark.createDataFrame([("".join(r.choice("abcd") for _ in range(9)), 3) for _ in range(2000)], "word string, n long").distinct()
     most = spelling_variants.light_edges(spelling_variants.named(words)).groupBy("id").count().agg({"count": "max"}).collect()[0][0]
     assert most <= 11
+
+
+# -- 1 -------------------------------------------------------------------------------------
+def test_tiles_of_copies_grow_with_what_is_not_linked(spark):
+    from pyspark.sql import functions as F
+
+    from leafwork.llm import ngram_join
+
+    for n, apart in ((2000, 0), (8000, 0), (2000, 40), (8000, 40), (32000, 40)):
+        ids = spark.range(n).withColumn("away", F.col("id") >= n - apart)
+        dense = ids.select(F.lit(7).cast("long").alias("region"), "id", F.lit(100).alias("n"), F.lit(b"").alias("bits"), F.lit(33).cast("long").alias("wide"), F.when(F.col("away"), F.lit(40)).otherwise(F.lit(5)).cast("long").alias("d"))
+        label = ids.where("NOT away").select("id", F.lit(0).cast("long").alias("label"))
+        tiles = ngram_join._tiles(dense, label, 512)
+        rows = tiles.count()
+        assert rows == 0 if not apart else rows <= 3 * n + apart * (3 * (n // 512 + 1) + 3)
+        if apart and n == 2000:
+            got = {tuple(sorted(x)) for r in tiles.groupBy("region").agg(F.collect_set("id").alias("ids")).collect() for x in ((a, b) for a in r["ids"] for b in r["ids"] if a < b and b >= n - apart)}
+            assert len(got) == (n - apart) * apart + apart * (apart - 1) // 2
