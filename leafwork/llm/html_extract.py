@@ -56,6 +56,12 @@ HOLDERS = frozenset("aside footer dialog comment comments disqus feedback relate
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Words that may stand beside these in a name of a class or id without giving it another meaning.
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons card center column container content desktop entry extra feed fixed form global group header icon icons inner item items left link links list main mobile outer page panel "
+    "post posts primary reader right row secondary section site slot social text thread title top unit user users wrap wrapper js is has".split()
+)
+_NAMES = re.compile(r"\S+")
 _PARTS = re.compile(r"[a-z]+")
 _ATTRIBUTE_END = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -74,11 +80,14 @@ class Token(NamedTuple):
 
 
 def _marked(attributes: str) -> set[str]:
-    """The words of class, id and role that mark what isn't content."""
+    """The words of class, id and role that mark what isn't content: of each name as a whole, so ``share-buttons`` is one and ``price-share-news`` isn't."""
     found: set[str] = set()
     for m in _MARKS.finditer(attributes):
-        words = _ATTRIBUTE_END.sub(" ", m[1] or m[2] or m[3] or "").lower()
-        found |= MARKED.intersection(_PARTS.findall(words))
+        for name in _NAMES.findall(m[1] or m[2] or m[3] or ""):
+            words = set(_PARTS.findall(_ATTRIBUTE_END.sub("-", name).lower()))
+            told = words & MARKED
+            if told and all(w in MARKED or w in BESIDE or len(w) == 1 for w in words):
+                found |= told
     return found
 
 
@@ -200,15 +209,22 @@ def fit(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> di
 
 
 def scores(read: list[Token], weights: dict[str, float]) -> list[float]:
-    """What each tag costs and each text earns, by the learnt weights and by what the page marks."""
-    marks = any(t.in_article for t in read)
+    """What each tag costs and each text earns, by the learnt weights and by what the page marks.
+
+    Between the first and the last of several marked articles nothing costs anything.
+    """
+    marked = [i for i, t in enumerate(read) if t.in_article]
+    first, last = (marked[0], marked[-1]) if marked else (len(read), -1)
     out = []
-    for t in read:
+    for i, t in enumerate(read):
         if t.tag:
-            out.append(0.0 if t.in_article else -(LEAST if t.left_out else weights.get(t.tag, UNKNOWN)))
+            out.append(0.0 if first <= i <= last else -(LEAST if t.left_out else weights.get(t.tag, UNKNOWN)))
             continue
         n, learnt = len(t.text.split()), weights.get(f"#{t.within}", WORD)
-        word = 0.0 if t.left_out and t.in_article else WORD if t.in_article else OUTSIDE if marks else min(LEFT_OUT, learnt) if t.left_out else learnt
+        if marked:
+            word = OUTSIDE if not first <= i <= last else WORD if t.in_article and not t.left_out else 0.0
+        else:
+            word = min(LEFT_OUT, learnt) if t.left_out else learnt
         out.append(n * word)
     return out
 
@@ -229,12 +245,13 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page."""
     read = tokens(page) if page else []
     begin, end = best_region(scores(read, weights))
+    marks = any(t.in_article for t in read)
     parts = []
     for t in read[begin:end]:
         if t.tag:
             if t.tag.removeprefix("/") not in INLINE:
                 parts.append(" ")
-        elif not t.left_out:
+        elif not t.left_out and (t.in_article or not marks):
             parts.append(t.text)
     return " ".join("".join(parts).split())
 

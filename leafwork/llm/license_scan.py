@@ -1,14 +1,11 @@
 """Licence scans by sentence rules, with column functions only and no shuffle.
 
-A text is cut into sentences; normalised ones are looked up in a dictionary of known licence
-sentences, which gives the text's sequence of sentence identifiers. Ordered rules (sequences of
-identifiers, longest first) are matched against the sequence; what a rule has matched is taken
-out, so a long licence isn't reported again by its parts.
-
-Sentences end at ``.``, ``!``, ``?`` or ``;`` before a blank, and at line ends; a label or a list's number
-before one isn't part of it. As licences are
-also wrapped, the sequence is read a second time from the text with line ends as blanks; a
-licence counts as often as in the reading that has more of it.
+A text is brought to its normal form, words of a-z and digits with blanks for all else, so that sentences may be
+wrapped, quoted, bordered by comment signs, or stand within a longer line. Known licence sentences, themselves
+normal, are replaced by their identifiers wherever they stand as whole words, longer ones first; what is left between is
+dropped, which gives the text's sequence of sentence identifiers. Ordered rules (sequences of identifiers, longest
+first) are matched against the sequence; what a rule has matched is taken out, so a long licence isn't reported
+again by its parts.
 
 Edge cases: a null or empty text, or one without a known sentence, has no row in ``scan`` and no
 licences in ``label``; repeated sentences count each time; texts are whole; other columns than
@@ -112,26 +109,28 @@ RULES = (
 ANCHORS = r"(?i)licen|permi|warrant|redistribut|copyright|public[^a-z0-9]+domain|copy[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+mpl|rights[^a-z0-9]+reserved|endorse"
 
 
-#: What may lead a sentence without being part of it: a label such as ``License:``, a number or letter of a list.
-LABEL = r"^\s*(?:[A-Za-z][A-Za-z -]{0,30}:|\(?[A-Za-z0-9]{1,3}[.)])\s+"
-
 
 def normal(text: str) -> str:
     """A sentence's normal form: lower-case a-z and digits, all else one blank."""
     return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
 
 
-def _normal(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+def _wrapped(sentence: str) -> str:
+    """The normal form with blanks of its own around each word: sentences that follow one another share none."""
+    return " " + normal(sentence).replace(" ", "  ") + " "
+
+
+def _longest_first(sentences: dict[str, str]) -> list[tuple[str, str]]:
+    return sorted(((_wrapped(v), k) for k, v in sentences.items()), key=lambda x: (-len(x[0]), x))
 
 
 def sequence(text: Column, sentences=SENTENCES) -> Column:
     """The identifiers of the known sentences of a text, in order, each as <identifier>."""
-    known = F.create_map(*(F.lit(x) for k, v in sentences.items() for x in (normal(v), f"<{k}>")))
-    cut = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r\n]+", "$1\n"), "\n")
-    look_up = lambda x: F.try_element_at(known, _normal(x))
-    found = F.transform(cut, lambda x: F.coalesce(look_up(x), look_up(F.regexp_replace(x, LABEL, "")), F.lit("")))
-    return F.array_join(found, "")
+    words = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    marked = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for known, name in _longest_first(sentences):
+        marked = F.replace(marked, F.lit(known), F.lit(f"<{name}>"))
+    return F.array_join(F.regexp_extract_all(marked, F.lit("<[a-z0-9-]+>"), F.lit(0)), "")
 
 
 def _steps(df: DataFrame, seq: str, rules, tag: str) -> DataFrame:
@@ -148,37 +147,29 @@ def _steps(df: DataFrame, seq: str, rules, tag: str) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES, anchors: str = ANCHORS) -> DataFrame:
     """One row by document and licence found: the id, license, n (times found)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(anchors))
-    rows = rows.select("id", sequence(F.col("text"), sentences).alias("a0"), sequence(F.regexp_replace("text", r"[\r\n]+", " "), sentences).alias("b0"))
-    rows = rows.where((F.col("a0") != "") | (F.col("b0") != ""))
-    rows = _steps(_steps(rows, "a", rules, "m"), "b", rules, "n")
+    rows = _steps(rows.select("id", sequence(F.col("text"), sentences).alias("a0")).where("a0 <> ''"), "a", rules, "m")
     names = list(dict.fromkeys(name for name, _ in rules))
-    times = {k: [sum((F.col(f"{c}{i}") for i, r in enumerate(rules) if r[0] == k), F.lit(0)) for c in "mn"] for k in names}
-    each = F.array(*(F.struct(F.lit(k).alias("license"), F.greatest(*times[k]).cast("long").alias("n")) for k in names))
+    times = {k: sum((F.col(f"m{i}") for i, r in enumerate(rules) if r[0] == k), F.lit(0)) for k in names}
+    each = F.array(*(F.struct(F.lit(k).alias("license"), times[k].cast("long").alias("n")) for k in names))
     out = rows.select("id", F.explode(F.filter(each, lambda x: x.n > 0)).alias("x"))
     return out.select(F.col("id").alias(id_col), "x.license", "x.n")
 
 
 def oracle() -> str:
-    """The scan in DuckDB: readings unnested and joined with the dictionary, then a step by rule."""
+    """The scan in DuckDB: known sentences replaced by their identifiers, longer ones first, then a step by rule."""
     q = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({q(normal(v))}, '<{k}>')" for k, v in SENTENCES.items())
+    marked = "' ' || replace(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ', '  ') || ' '"
+    for known, name in _longest_first(SENTENCES):
+        marked = f"replace({marked}, {q(known)}, '<{name}>')"
     steps, last = [], "s0"
     for i, (_, ids) in enumerate(RULES):
         pattern = "".join(f"<{k}>" for k in ids)
-        steps.append(f"s{i + 1} AS (SELECT doc_id, v, replace(seq, {q(pattern)}, '|') AS seq, list_append(ns, (length(seq) - length(replace(seq, {q(pattern)}, '|'))) // {len(pattern) - 1}) AS ns FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT doc_id, replace(seq, {q(pattern)}, '|') AS seq, list_append(ns, (length(seq) - length(replace(seq, {q(pattern)}, '|'))) // {len(pattern) - 1}) AS ns FROM s{i})")
         last = f"s{i + 1}"
     names = "[" + ", ".join(q(n) for n, _ in RULES) + "]"
     return f"""
-WITH known(norm, id) AS (VALUES {known}),
-r AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-v AS (SELECT rid, doc_id, 1 AS v, text FROM r UNION ALL SELECT rid, doc_id, 2, regexp_replace(text, '[\\r\\n]+', ' ', 'g') FROM r),
-c AS (SELECT rid, doc_id, v, unnest(p) AS s, generate_subscripts(p, 1) AS k
-      FROM (SELECT rid, doc_id, v, string_split(regexp_replace(text, '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM v)),
-s0 AS (SELECT min(doc_id) AS doc_id, v, string_agg(id, '' ORDER BY k) AS seq, CAST([] AS BIGINT[]) AS ns
-       FROM (SELECT c.*, coalesce(a.id, b.id) AS id FROM c LEFT JOIN known a ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = a.norm
-             LEFT JOIN known b ON trim(regexp_replace(lower(regexp_replace(s, {q(LABEL)}, '')), '[^a-z0-9]+', ' ', 'g')) = b.norm) WHERE id IS NOT NULL GROUP BY rid, v),
+WITH s0 AS (SELECT doc_id, array_to_string(regexp_extract_all({marked}, '<[a-z0-9-]+>'), '') AS seq, CAST([] AS BIGINT[]) AS ns FROM documents WHERE text IS NOT NULL),
 {", ".join(steps)},
-n AS (SELECT doc_id, v, unnest({names}) AS license, unnest(ns) AS n FROM {last}),
-t AS (SELECT doc_id, v, license, sum(n) AS n FROM n GROUP BY ALL)
-SELECT doc_id, license, CAST(max(n) AS BIGINT) AS n FROM t WHERE n > 0 GROUP BY doc_id, license
+n AS (SELECT doc_id, unnest({names}) AS license, unnest(ns) AS n FROM {last} WHERE len(ns) > 0)
+SELECT doc_id, license, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY doc_id, license HAVING sum(n) > 0
 """
