@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import json
-from itertools import groupby
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.functions import rolls as R
 from leafwork.functions.rolls import find_rolls, loss_cell
-from leafwork.operators import frames
+from leafwork.functions.text import half_points
+from leafwork.operators import flow, frames
 from leafwork.operators import journal as J
 from leafwork.operators.grids import text_tables
-from leafwork.operators.paragraphs import paragraphs, plain
 from leafwork.sources.layout import LINES_SQL, book_lines, table, word_spans
 
 QUERIES, ORACLE = {}, {}
@@ -233,34 +231,16 @@ blocks AS (SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id
   CASE WHEN kind = 'p' AND lines = 1 AND bold AND length(text) < 70 AND NOT regexp_matches(text, '[.,;:]$') THEN 'h4' WHEN kind IN ('h1', 'h2') AND length(text) > 200 THEN 'p' ELSE kind END AS kind, CAST(lines AS INTEGER) AS lines, text FROM l11 WHERE text <> '')"""
 
 
-def _by_page(rows: DataFrame, keys: list[str], order: list[str], body, schema: str) -> DataFrame:
-    """body(rows of a key in order, as dicts) gives rows, for each key; the rows of a key are gathered in one."""
-    held = F.sort_array(F.collect_list(F.struct(*order, *(c for c in rows.columns if c not in (*keys, *order)))))
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    fields = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
-
-    def run(batches):
-        for batch in batches:
-            out = [(*key, *made) for *key, own in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 1)), strict=True) for made in body(own)]
-            if out:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
-
-    return rows.groupBy(*keys).agg(held.alias("held")).mapInArrow(run, schema)
-
-
 @query("w5_w6_paragraphs", f"WITH {_PARAGRAPHS} SELECT * FROM blocks")
 def w5_w6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of each synthetic page: book_id, page_no, ord, kind, lines, text."""
-
-    def body(rows: list[dict]):
-        spans = [r | {"font": "", "flags": 16 if r["bold"] else 0} for r in rows]
-        lines = [{"spans": [s], "bbox": (s["x0"], s["y0"], s["x1"], s["y1"])} for s in spans]
-        for i, b in enumerate(paragraphs(lines, _BODY, _LEVELS)):
-            yield i, b["k"], b.get("lines", 0), plain(b)
-
-    sized = book_lines(spark, sf_dir).withColumnRenamed("size", "points").withColumn("size", F.rint(F.col("points") * 2) / 2)
-    rows = sized.select("book_id", "page_no", "line_no", "text", "size", "bold", "x0", "y0", "x1", "y1")
-    return _by_page(rows, ["book_id", "page_no"], ["line_no"], body, "book_id bigint, page_no int, ord int, kind string, lines int, text string")
+    sized = book_lines(spark, sf_dir).withColumn("size", half_points(F.col("size")))
+    keys = ["book_id", "page_no"]
+    lines = flow.same_row(sized.select(*keys, "line_no", "text", "size", "bold", "x0", "y0", "x1", "y1"), keys, "line_no")
+    whole = lambda c: F.col("parts")[0][c]
+    read = lines.select(*keys, "line_no", F.array_join(F.transform("parts", lambda p: p.text), "").alias("text"), whole("size").alias("size"), F.forall("parts", lambda p: p.bold).alias("bold"), "x0", "y0", "x1", "y1")
+    level = F.coalesce(*(F.when(F.col("size") == size, level) for size, level in _LEVELS.items()))
+    return flow.paragraphs(read, keys, "line_no", F.lit(_BODY), level)
 
 
 @query("w7_w10_j14_text_tables", None)
@@ -299,12 +279,5 @@ SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_no, o
 def w11_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tidied stream of each synthetic book: paragraphs joined over pages, repeated titles dropped."""
 
-    def body(rows: list[dict]):
-        stream = []
-        for page, own in groupby(rows, key=lambda r: r["page_no"]):
-            stream.append({"k": "break", "n": page + 1})
-            stream += [{"k": r["kind"], "runs": [[r["text"], False, False, False]], "ordered": False} for r in own if r["kind"] != "table"]
-        for i, b in enumerate(J.tidy(stream, True)):
-            yield i, b["k"], plain(b)
-
-    return _by_page(w5_w6_paragraphs(spark, sf_dir).drop("lines"), ["book_id"], ["page_no", "ord"], body, "book_id bigint, ord int, kind string, text string")
+    blocks = w5_w6_paragraphs(spark, sf_dir).where("kind <> 'table'")
+    return flow.tidied(blocks, "book_id")
