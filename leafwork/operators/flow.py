@@ -20,6 +20,17 @@ ENDS = r"""[.!?:…"”»)]$"""
 TITLE_MOST, HEADING_MOST = 70, 200
 
 
+def last(c: Column, n: int = 1) -> Column:
+    """The last characters of a text: what ends it is told by them, without a search through long lines."""
+    return F.right(c, F.lit(n))
+
+
+def trimmed(c: Column, left: bool = True) -> Column:
+    """The text without Unicode white space at its end, and at its start if told so; searched only where there is some."""
+    edge = last(c).rlike(r"(?U)^\s") | (c.rlike(r"^(?U)\s") if left else F.lit(False))
+    return F.when(edge, strip(c) if left else F.regexp_replace(c, r"(?U)\s+$", "")).otherwise(c)
+
+
 def same_row(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Fragments at one height, each right of the one before, made one line: their texts, by place, and its bounds.
 
@@ -51,11 +62,11 @@ def same_row(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
 def paragraphs(lines: DataFrame, keys: list[str], order: str, body: Column, level: Column) -> DataFrame:
     """Blocks of lines (text, size, bold, x0, y0, x1, y1): keys, ord, kind, lines, text; level is the heading level of a size, or null."""
     w, all_ = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
-    own = lines.withColumn("text", F.replace("text", F.lit("\xad"), F.lit(""))).withColumn("t", strip(F.col("text"))).where("t <> ''")
+    own = lines.withColumn("text", F.replace("text", F.lit("\xad"), F.lit(""))).withColumn("t", trimmed(F.col("text"))).where("t <> ''")
     letters = (F.char_length("t") <= 2) & F.col("t").rlike(r"^\p{L}+$")
     own = own.withColumns({
         "kind": F.when(letters & (F.col("size") >= 1.8 * body), "dropcap").when(level.isNotNull(), F.concat(F.lit("h"), level.cast("string"))).otherwise("p"),
-        "mark": F.char_length(F.regexp_extract("text", MARKER, 0)), "lab": F.col("t").rlike(LABELLED), "cap": F.col("t").rlike(r"^[\p{Lu}\p{Nd}]"), "ends": F.col("t").rlike(ENDS),
+        "mark": F.char_length(F.regexp_extract("text", MARKER, 0)), "lab": F.col("t").rlike(LABELLED), "cap": F.col("t").rlike(r"^[\p{Lu}\p{Nd}]"), "ends": last(F.col("t")).rlike(ENDS),
     })
     lag = lambda c: F.lag(c).over(w)
     n_labels = F.count_if("lab").over(all_)
@@ -66,7 +77,7 @@ def paragraphs(lines: DataFrame, keys: list[str], order: str, body: Column, leve
     })
     short = F.col("after_end") & (F.col("last_x1") < F.col("right") - 3 * F.col("size"))
     plain = (F.col("x0") > F.col("left") + F.greatest(F.lit(6.0), 0.8 * F.col("size"))) | F.col("two_labels") | F.col("cap") & short
-    looks = F.when(F.col("sheet"), F.col("cap") & ~F.col("before").rlike(r"[-,(]$")).otherwise(plain)
+    looks = F.when(F.col("sheet"), F.col("cap") & ~last(F.col("before")).isin("-", ",", "(")).otherwise(plain)
     own = own.withColumns({"looks": F.coalesce(looks, F.lit(False)), "turns": F.coalesce(~F.col("sheet") & F.col("turned"), F.lit(False)), "seg": F.sum(F.col("hard").cast("int")).over(w)})
     own = own.withColumn("free", F.first((F.col("kind") == "p") & (F.col("mark") == 0)).over(Window.partitionBy(*keys, "seg").orderBy(order)))
     # a line that turns from bold follows a bold one, which doesn't turn: so what starts there is known
@@ -75,15 +86,19 @@ def paragraphs(lines: DataFrame, keys: list[str], order: str, body: Column, leve
     own = own.withColumn("new", new).withColumn("para", F.sum(F.col("new").cast("int")).over(w))
     bare = F.regexp_replace("text", r"^(?U)\s+", "")
     cut = F.when(F.col("new"), F.expr("substring(text, if(kind = 'p', mark, 0) + 1)")).otherwise(bare)
-    own = own.withColumns({"piece": cut, "next": F.lead(bare).over(Window.partitionBy(*keys, "para").orderBy(order))})
-    hyphen = F.col("piece").rlike(r"(?U)\p{L}-\s*$") & F.col("next").rlike(r"^\p{Ll}")
-    glued = F.when(F.col("next").isNull(), F.col("piece")).when(hyphen, F.regexp_replace("piece", r"(?U)-\s*$", "")).when(F.col("piece").endswith(" "), F.col("piece")).otherwise(F.concat(F.regexp_replace("piece", r"(?U)\s+$", ""), F.lit(" ")))
+    own = own.withColumns({"piece": cut, "tail": last(F.col("t"), 2), "next": F.lead(bare).over(Window.partitionBy(*keys, "para").orderBy(order))})
+    hyphen = F.col("tail").rlike(r"^\p{L}-$") & (trimmed(F.col("piece"), False).endswith("-")) & F.col("next").rlike(r"^\p{Ll}")
+    glued = F.when(F.col("next").isNull(), F.col("piece")).when(hyphen, F.regexp_replace(trimmed(F.col("piece"), False), "-$", "")).when(F.col("piece").endswith(" "), F.col("piece")).otherwise(F.concat(trimmed(F.col("piece"), False), F.lit(" ")))
     first = lambda c: F.min_by(c, order)
-    text = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), glued.alias("g")))), lambda x: x.g), ""))
-    made = own.groupBy(*keys, "para").agg(first(F.when((F.col("kind") == "p") & (F.col("mark") > 0), "li").otherwise(F.col("kind"))).alias("kind"), F.count("*").cast("int").alias("lines"), F.bool_and("bold").alias("bold"), text.alias("text")).where("text <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), glued.alias("g")))), lambda x: x.g), "")
+    made = own.groupBy(*keys, "para").agg(first(F.when((F.col("kind") == "p") & (F.col("mark") > 0), "li").otherwise(F.col("kind"))).alias("kind"), F.count("*").cast("int").alias("lines"), F.bool_and("bold").alias("bold"), text.alias("text"))
+    made = made.withColumn("text", trimmed(F.col("text"))).where("text <> ''")
     is_p = F.col("kind") == "p"
-    title = is_p & (F.col("lines") == 1) & F.col("bold") & (F.char_length("text") < TITLE_MOST) & ~F.col("text").rlike("[.,;:]$")
-    kind = F.when(is_p & stats.stat_table(F.col("text")).isNotNull(), "table").when(title, "h4").when(F.col("kind").rlike("^h") & (F.char_length("text") > HEADING_MOST), "p").otherwise(F.col("kind"))
+    title = is_p & (F.col("lines") == 1) & F.col("bold") & (F.char_length("text") < TITLE_MOST) & ~last(F.col("text")).isin(".", ",", ";", ":")
+    # a stat line has four values: figures or dashes; few other texts are searched for pairs
+    figures = F.char_length("text") - F.char_length(F.translate("text", "0123456789—–-", ""))
+    is_stat = F.when(figures >= stats.LEAST_PAIRS, stats.stat_table(F.col("text")).isNotNull()).otherwise(F.lit(False))
+    kind = F.when(is_p & is_stat, "table").when(title, "h4").when(F.col("kind").rlike("^h") & (F.char_length("text") > HEADING_MOST), "p").otherwise(F.col("kind"))
     place = (F.row_number().over(Window.partitionBy(*keys).orderBy("para")) - 1).alias("ord")
     return made.select(*keys, place, kind.alias("kind"), "lines", "text")
 
@@ -97,17 +112,17 @@ def tidied(blocks: DataFrame, doc: str, across: bool = True) -> DataFrame:
     pages, place = Window.partitionBy(doc).orderBy("page_no"), Window.partitionBy(doc).orderBy("page_no", "ord")
     key = F.when(F.col("kind").rlike("^h"), F.concat_ws("|", "kind", F.lower(F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " "))))
     own = blocks.select(doc, "page_no", "ord", "kind", "text").withColumn("title", key)
-    last = own.groupBy(doc, "page_no").agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col("ord"))).alias("last"))
-    last = last.select(doc, "page_no", F.last("last", True).over(pages.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    titles = own.groupBy(doc, "page_no").agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.col("ord"))).alias("last"))
+    titles = titles.select(doc, "page_no", F.last("last", True).over(pages.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     again = F.min(F.coalesce(F.col("title") == F.col("before"), F.lit(False))).over(Window.partitionBy(doc, "page_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    own = own.join(last, [doc, "page_no"]).withColumn("again", again).where(~F.col("again"))
+    own = own.join(titles, [doc, "page_no"]).withColumn("again", again).where(~F.col("again"))
     holds = ~F.col("kind").isin("dropcap", "table", "image", "box")
     own = own.withColumn("g", F.count_if(holds).over(place.rowsBetween(Window.unboundedPreceding, -1)))
     caps = own.where("kind = 'dropcap'").groupBy(doc, "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "ord", strip(F.col("text")).alias("t")))), lambda x: x.t), "").alias("caps"))
     own = own.where("kind <> 'dropcap'").join(caps, [doc, "g"], "left").withColumn("text", F.when(holds, F.concat(F.coalesce("caps", F.lit("")), "text")).otherwise(F.col("text")))
     near = place if across else Window.partitionBy(doc, "page_no").orderBy("ord")
     before = F.lag("text").over(near)
-    goes_on = (F.col("kind") == "p") & F.lag("kind").over(near).isin("p", "li") & ~strip(before).rlike(ENDS) & strip(F.col("text")).rlike(r"^\p{Ll}")
+    goes_on = (F.col("kind") == "p") & F.lag("kind").over(near).isin("p", "li") & ~last(trimmed(before)).rlike(ENDS) & F.col("text").rlike(r"^(?U)\s*\p{Ll}")
     own = own.withColumn("joins", F.coalesce(goes_on, F.lit(False)))
     own = own.withColumn("grp", F.sum((~F.col("joins")).cast("int")).over(place))
     at = F.struct("page_no", "ord")
