@@ -188,3 +188,17 @@ def u4_selection_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     d = F.array_except(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), k % 5), F.array(k % 3, k % 4))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(d), ",").alias("d"))
+
+
+@query("p21_s14_destinations", """SELECT o_orderkey, CASE WHEN ok THEN CASE WHEN world <> '' AND data <> '' THEN data || '/worlds/' || world || '/leafwork' WHEN o_custkey % 2 = 0 THEN 'out/' || o_custkey ELSE '.' END END AS folder,
+  CASE WHEN ok THEN CASE WHEN world = '' THEN 'leafwork/' ELSE 'worlds/' || world || '/leafwork/' END || 'book-' || o_orderkey END AS prefix, ok AS allowed
+FROM (SELECT *, NOT contains(world, ' ') AND NOT contains(world, '/') AS ok FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'World.' || o_custkey WHEN 2 THEN 'no world ' || o_custkey WHEN 3 THEN 'a/' || o_custkey ELSE 'mundo-É_' || o_custkey END AS world, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '/data/' || o_orderkey % 7 END AS data FROM orders))""")
+def p21_s14_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafwork.sources.worlds import destinations
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    world = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit("World."), c)).when(k % 5 == 2, F.concat(F.lit("no world "), c)).when(k % 5 == 3, F.concat(F.lit("a/"), c)).otherwise(F.concat(F.lit("mundo-É_"), c))
+    data = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("/data/"), (k % 7).cast("string")))
+    out = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("out/"), c))
+    folder, prefix, allowed = destinations(F.concat(F.lit("book-"), k.cast("string")), out, world, data)
+    return table(spark, sf_dir, "orders").select("o_orderkey", folder.alias("folder"), prefix.alias("prefix"), allowed.alias("allowed"))

@@ -7,6 +7,9 @@ import re
 import sys
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _NAME = re.compile(r"[\w.-]+")
 
 
@@ -54,3 +57,12 @@ def output_and_prefix(slug: str, out: str | None, world: str | None, data_dir: s
     if world and data_dir:
         return str(world_output_dir(data_dir, world)), prefix
     return out or ".", prefix
+
+
+def destinations(slug: Column, out: Column, world: Column, data_dir: Column) -> tuple[Column, Column, Column]:
+    """The same for many conversions: output folder, asset prefix (both null where no world can be so named), and whether the name is allowed."""
+    named = F.coalesce(world, F.lit("")) != ""
+    allowed = ~named | world.rlike(f"(?U)^(?:{_NAME.pattern})$")
+    prefix = F.when(named, F.concat(F.lit("worlds/"), world, F.lit("/leafwork/"), slug)).otherwise(F.concat(F.lit("leafwork/"), slug))
+    folder = F.when(named & (F.coalesce(data_dir, F.lit("")) != ""), F.concat_ws("/", data_dir, F.lit("worlds"), world, F.lit("leafwork"))).otherwise(F.coalesce(F.nullif(out, F.lit("")), F.lit(".")))
+    return F.when(allowed, folder), F.when(allowed, prefix), allowed
