@@ -86,7 +86,7 @@ def linked_references(texts: DataFrame, names: DataFrame, pdf_pages: DataFrame,
 
 def page_ids(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds id (from the document and the page's place, so that runs repeat) and sort key."""
-    n = F.row_number().over(Window.partitionBy(doc).orderBy("ord"))
+    n = F.row_number().over(Window.partitionBy(doc).orderBy("ord")).cast("long")  # a long: 21,475 pages are too many for sort keys of an int
     own = pages.withColumn("sort", n * 100000)
     return own.withColumn("id", F.substring(F.sha2(F.concat_ws("\x1f", F.col(doc).cast("string"), (n - 1).cast("string")), 256), 1, 16))
 
@@ -99,11 +99,14 @@ def journals(pages: DataFrame, now_ms: int = 0, doc: str = "doc_id") -> DataFram
         F.struct(F.col("html").alias("content"), F.lit(1).alias("format")).alias("text"), F.col("sort"), F.struct(F.lit(-1).alias("default")).alias("ownership"), stats.alias("_stats"),
     )
     drawn = F.concat(F.lit("<article><h1>"), escape(F.col("title")), F.lit("</h1>"), preview_links(F.col("html")), F.lit("</article>"))
-    own = page_ids(pages, doc).groupBy(doc).agg(F.first("name").alias("name"), F.sort_array(F.collect_list(F.struct("sort", page.alias("page"), drawn.alias("drawn")))).alias("ps"))
-    body = [F.col("name"), F.transform("ps", lambda p: p.page).alias("pages"), F.lit(None).cast("string").alias("folder"), F.lit(0).alias("sort"), F.struct(F.lit(0).alias("default")).alias("ownership")]
-    as_json = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    macro = F.concat(F.lit("const data = "), as_json(*body), F.lit(";\nconst entry = await JournalEntry.create(data);\nentry?.sheet.render(true);\n"))
-    return own.select(doc, as_json(*body, stats.alias("_stats")).alias("entry"), macro.alias("macro"), F.array_join(F.transform("ps", lambda p: p.drawn), "").alias("preview"))
+    as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    # Pages are written before they are gathered, and what isn't asked for is never gathered.
+    in_order = lambda c, between: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sort", c.alias("t")))), lambda p: p.t), between)
+    own = page_ids(pages, doc).groupBy(doc).agg(F.first("name").alias("name"), in_order(as_json(page), ",").alias("ps"), in_order(drawn, "").alias("preview"))
+    head = F.concat(F.regexp_replace(as_json(F.struct("name")), r"\}$", ',"pages":['), F.col("ps"), F.lit('],"folder":null,"sort":0,"ownership":{"default":0}'))
+    entry = F.concat(head, F.lit(',"_stats":'), as_json(stats), F.lit("}"))
+    macro = F.concat(F.lit("const data = "), head, F.lit("};\nconst entry = await JournalEntry.create(data);\nentry?.sheet.render(true);\n"))
+    return own.select(doc, entry.alias("entry"), macro.alias("macro"), "preview")
 
 
 def escape(c: Column) -> Column:
