@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,30 +18,38 @@ PAIR = rf"(?U)(?<![\w])({ABBR})\s*:?\s*({VALUE})(?![\w])"
 LEAST_PAIRS, COVERED, ONE_ROW = 4, 0.8, 6
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pairs(text: Column) -> Column:
     """Array of structs a (abbreviation) and v (value) found in a text."""
     names, values = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))
-    return F.transform(names, lambda a, i: F.struct(a.alias("a"), F.get(values, i).alias("v")))
+    return F.zip_with(names, values, lambda a, v: F.struct(a.alias("a"), v.alias("v")))
 
 
 def coverage(text: Column) -> Column:
     """Share of a text's characters, blanks apart, that pairs take up."""
     solid = lambda c: F.char_length(F.replace(c, F.lit(" "), F.lit("")))
-    return F.aggregate(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), F.lit(0), lambda n, m: n + solid(m)) / solid(text)
+    return solid(F.array_join(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), "")) / solid(text)
 
 
 def pair_rows(found: Column) -> Column:
     """Rows of a table: a row of abbreviations above one of values, two of each beyond six pairs, padded."""
     n = F.size(found)
     width = F.when(n <= ONE_ROW, n).otherwise(F.ceil(n / 2).cast("int"))
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.greatest(width, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-    def both(i: Column) -> Column:
-        part = F.slice(found, i + 1, F.greatest(width, F.lit(1)))
+    def both(part: Column, width: Column) -> Column:
         pad = F.array_repeat(F.lit(""), width - F.size(part))
         return F.array(F.concat(F.transform(part, lambda p: p.a), pad), F.concat(F.transform(part, lambda p: p.v), pad))
 
-    return F.flatten(F.transform(starts, both))
+    def rows(width: Column) -> Column:
+        step = F.greatest(width, F.lit(1))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, step)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda i: named(F.slice(found, i + 1, step), lambda part: both(part, width))))
+
+    return named(width, rows)
 
 
 def stat_table(text: Column) -> Column:
@@ -48,13 +58,18 @@ def stat_table(text: Column) -> Column:
     Either four pairs or more cover four fifths of the line, or as many abbreviations (four at
     least) are followed by as many values.
     """
-    own = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
-    found = pairs(own)
-    words = F.regexp_extract_all(own, F.lit(rf"(?U){VALUE}|\S+"), F.lit(0))
-    half = (F.size(words) / 2).cast("int")
-    names, values = F.slice(words, F.lit(1), half), F.slice(words, half + 1, half)
-    listed = (F.size(words) % 2 == 0) & (half >= LEAST_PAIRS) & F.forall(names, lambda x: x.rlike(f"^(?:{ABBR})$")) & F.forall(values, lambda x: x.rlike(f"(?U)^{VALUE}$"))
-    return F.when((F.size(found) >= LEAST_PAIRS) & (coverage(own) >= COVERED), pair_rows(found)).when(listed, F.array(names, values))
+
+    def listed(words: Column) -> Column:
+        half = (F.size(words) / 2).cast("int")
+        names, values = F.slice(words, F.lit(1), half), F.slice(words, half + 1, half)
+        fits = (F.size(words) % 2 == 0) & (half >= LEAST_PAIRS) & F.forall(names, lambda x: x.rlike(f"^(?:{ABBR})$")) & F.forall(values, lambda x: x.rlike(f"(?U)^{VALUE}$"))
+        return F.when(fits, F.array(names, values))
+
+    def read(own: Column) -> Column:
+        words = F.regexp_extract_all(own, F.lit(rf"(?U){VALUE}|\S+"), F.lit(0))
+        return named(pairs(own), lambda found: F.when((F.size(found) >= LEAST_PAIRS) & (coverage(own) >= COVERED), pair_rows(found)).otherwise(named(words, listed)))
+
+    return named(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""), read)
 
 
 def stat_grid(rows: Column) -> Column:

@@ -19,6 +19,15 @@ from leafwork.operators.ordering import first_disjoint, splice
 from leafwork.storage import saved
 
 
+#: Tasks for each core, for work on rows that costs more than its bytes.
+SPREAD = 4
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over the cluster by keys: a small file is read by one task, which would do all work on its rows."""
+    return rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def text_function(f: Callable[[str], str]) -> Callable[[Column], Column]:
     """A function of a text as a column function over Arrow batches; nulls stay null."""
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from leafwork.operators import frames
+from leafwork.plans.registry import QUERIES
 
 
 def test_journal_of_more_pages_than_an_int_has_sort_keys(spark):
@@ -17,3 +18,9 @@ def test_journal_of_more_pages_than_an_int_has_sort_keys(spark):
     assert list(entry) == ["name", "pages", "folder", "sort", "ownership", "_stats"]
     assert json.loads(made["macro"].split("\n")[0][len("const data = ") : -1]) == {k: v for k, v in entry.items() if k != "_stats"}
     assert made["preview"].startswith("<article><h1>0</h1><p>0</p></article><article><h1>1</h1>") and made["preview"].count("<article>") == n
+
+
+def test_stat_lines_are_read_by_many_tasks_and_matched_few_times(spark, sf_dir):
+    made = QUERIES["f15_f16_a10_stat_lines"](spark, sf_dir)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") < 10
