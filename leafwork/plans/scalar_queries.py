@@ -11,6 +11,7 @@ from leafwork.functions import text as T
 from leafwork.functions.glyphs import without_glyphs
 from leafwork.operators.frames import spread
 from leafwork.sources.layout import LINES_SQL, book_lines, table
+from leafwork.storage import saved
 
 QUERIES, ORACLE = {}, {}
 
@@ -121,7 +122,8 @@ r AS (SELECT p_partkey, p_partkey % 3 AS m, [['FOR', CAST(p_size AS VARCHAR)], [
 SELECT p_partkey, CASE WHEN m = 0 THEN array_to_string([x[1] for x in ps[1:4]], '|') || '/' || array_to_string([x[2] for x in ps[1:4]], '|') || '/' || array_to_string([x[1] for x in ps[5:7]], '|') || '|/' || array_to_string([x[2] for x in ps[5:7]], '|') || '|'
   ELSE array_to_string([x[1] for x in ps], '|') || '/' || array_to_string([x[2] for x in ps], '|') END AS tab FROM r WHERE m <> 1""")
 def f15_f16_a10_stat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", S.stat_table(F.expr(_STAT)).alias("rows")).where("rows is not null")
+    part = saved(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey"), "part")  # a filter goes below a shuffle, not below a table
+    rows = part.select("p_partkey", S.stat_table(F.expr(_STAT)).alias("rows")).where("rows is not null")
     return rows.select("p_partkey", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("tab"))
 
 
