@@ -51,7 +51,7 @@ def f10_f14_j18_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, hard, pool = of([w[0] for w in _WHAT], key % len(_WHAT)), of(_HARD, F.col("p_size") % len(_HARD)), of(list(_POOLS), F.expr("p_partkey div 3") % len(_POOLS))
     hard = F.when(hard == "", "").otherwise(F.concat(hard, F.lit(" ")))
     said = F.when(key % 2 == 0, F.concat(F.lit("teste "), hard, F.lit("de "), name)).otherwise(F.concat(hard, name, F.lit(" roll")))
-    return table(spark, sf_dir, "part").select("p_partkey", frames.linked_text(find_rolls, R.openers)(F.concat(F.lit("Um "), said, pool, F.lit("; "), F.col("p_name"))).alias("text"))
+    return frames.spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", frames.linked_text(find_rolls, R.openers)(F.concat(F.lit("Um "), said, pool, F.lit("; "), F.col("p_name"))).alias("text"))
 
 
 # Each line loses by other dice and words; the shown text of a link keeps what was written.
@@ -156,7 +156,7 @@ def f19_runs_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         runs = ([[n + " ", True, False, False], [" ", False, False, False], [b, False, True, False], [str(s), False, False, True], [" a < b ", False, False, False]] for n, b, s in zip(name, brand, size, strict=True))
         return pd.Series([J.runs_html(r) for r in runs])
 
-    return table(spark, sf_dir, "part").select("p_partkey", html("p_name", "p_brand", "p_size").alias("html"))
+    return frames.spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html("p_name", "p_brand", "p_size").alias("html"))
 
 
 @query("f20_f21_j21_render", """SELECT p_partkey, '<h2>' || p_brand || '</h2>' || chr(10) || '<ul><li>' || p_name || '</li><li>b</li></ul>' || chr(10) || '<table><thead><tr><th>Nome</th><th>SAN</th></tr></thead><tbody><tr><td>' || p_type || '</td><td>@coc7.sanloss[sanMin:0,sanMax:1D' || p_size || ']{0/1D' || p_size || '}</td></tr></tbody></table>' || chr(10)
@@ -175,7 +175,7 @@ def f20_f21_j21_render(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append(J.render(blocks, lambda f: f"a/{f}", find_rolls, True))
         return pd.Series(out)
 
-    return table(spark, sf_dir, "part").select("p_partkey", html("p_brand", "p_name", "p_type", "p_size").alias("html"))
+    return frames.spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html("p_brand", "p_name", "p_type", "p_size").alias("html"))
 
 
 _PAGES = "pg AS (SELECT p_size AS doc_id, p_partkey AS ord, 'Book ' || p_size AS name, p_name AS title, '<p>ver @UUID[.x]{' || p_brand || '}</p>' AS html FROM part), pi AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM pg)"

@@ -2,8 +2,11 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from leafwork.functions import rolls
 from leafwork.operators import frames
 from leafwork.plans.registry import QUERIES
 
@@ -23,4 +26,15 @@ def test_journal_of_more_pages_than_an_int_has_sort_keys(spark):
 def test_stat_lines_are_read_by_many_tasks_and_matched_few_times(spark, sf_dir):
     made = QUERIES["f15_f16_a10_stat_lines"](spark, sf_dir)
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert made.where("tab is not null").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") < 10
+
+
+@pytest.mark.parametrize("name", ["f10_f14_j18_checks", "f19_runs_html", "f20_f21_j21_render"])
+def test_rows_of_a_small_file_are_written_by_many_tasks(name, spark, sf_dir):
+    assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_without_an_opener_are_not_read_as_words(monkeypatch):
+    monkeypatch.setattr(rolls, "Words", None)
+    assert rolls.find_rolls("almond antique rose, teapot") == []
