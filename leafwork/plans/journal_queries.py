@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from leafwork.functions.text import half_points
 from leafwork.operators import flow, frames
 from leafwork.operators import journal as J
 from leafwork.operators.grids import text_tables
+from leafwork.operators.segments import by_group, heads
 from leafwork.sources.layout import LINES_SQL, book_lines, table, word_spans
 
 QUERIES, ORACLE = {}, {}
@@ -247,17 +251,29 @@ def w5_w6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w7_w10_j14_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gridless tables of each synthetic page: a line's words are set in rows of five columns; rows as JSON."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    keys = ["book_id", "page_no"]
+
+    def block_of(lines: list[int], numbers: list[int], texts: list[str]) -> list[dict]:
         block: list[dict] = []
-        for (line, _), own in rows.assign(row=rows["span_no"] // 5).sort_values(["line_no", "span_no"]).groupby(["line_no", "row"]):
+        for (line, _), own in groupby(zip(lines, numbers, texts, strict=True), key=lambda w: (w[0], w[1] // 5)):
             y = 14.0 * len(block) + 40.0 * line
-            spans = [{"text": r.text, "font": "", "size": 10.0, "flags": 0, "x0": 54 + 90.0 * (r.span_no % 5), "y0": y, "x1": 114 + 90.0 * (r.span_no % 5), "y1": y + 10} for r in own.itertuples()]
+            spans = [{"text": t, "font": "", "size": 10.0, "flags": 0, "x0": 54 + 90.0 * (n % 5), "y0": y, "x1": 114 + 90.0 * (n % 5), "y1": y + 10} for _, n, t in own]
             block.append({"spans": spans, "bbox": (54.0, y, spans[-1]["x1"], y + 10)})
-        found, used = text_tables([block], 10.0, 612.0)
-        return pd.DataFrame([[*key, i, len(used), json.dumps(t["rows"], ensure_ascii=False)] for i, (_, t) in enumerate(found)], columns=["book_id", "page_no", "table_no", "used_lines", "rows"])
-
-    words = word_spans(spark, sf_dir).select("book_id", "page_no", "line_no", "span_no", "text")
-    return words.groupBy("book_id", "page_no").applyInPandas(run, "book_id long, page_no int, table_no int, used_lines int, rows string")
+        return block
+
+    def run(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        first = heads(page).tolist()
+        rows, out = [], []
+        for a, z in zip(first, [*first[1:], len(page)], strict=True):
+            found, used = text_tables([block_of(*(batch.column(c).slice(a, z - a).to_pylist() for c in ("line_no", "span_no", "text")))], 10.0, 612.0)
+            rows += [a] * len(found)
+            out += [(i, len(used), json.dumps(t["rows"], ensure_ascii=False)) for i, (_, t) in enumerate(found)]
+        told = zip(*out, strict=True) if out else ([], [], [])
+        at = pa.array(rows, pa.int64())
+        return pa.record_batch([*(batch.column(k).take(at) for k in keys), *(pa.array(c, t) for c, t in zip(told, (pa.int32(), pa.int32(), pa.string()), strict=True))], names=[*keys, "table_no", "used_lines", "rows"])
+
+    words = word_spans(spark, sf_dir).select(*keys, "line_no", "span_no", "text")
+    return by_group(words, keys, ["line_no", "span_no"], run, "book_id long, page_no int, table_no int, used_lines int, rows string")
 
 
 _TIDY = _PARAGRAPHS + f""",

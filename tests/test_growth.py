@@ -1,13 +1,15 @@
 """Steps that once broke or slowed down as tables grew."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from leafwork.functions import rolls
-from leafwork.operators import frames
+from leafwork.operators import frames, grids
 from leafwork.plans.registry import QUERIES
 
 
@@ -38,3 +40,27 @@ def test_rows_of_a_small_file_are_written_by_many_tasks(name, spark, sf_dir):
 def test_texts_without_an_opener_are_not_read_as_words(monkeypatch):
     monkeypatch.setattr(rolls, "Words", None)
     assert rolls.find_rolls("almond antique rose, teapot") == []
+
+
+def test_gridless_tables_grow_with_their_rows(monkeypatch):
+    calls, of = [], grids.anchors_of
+    monkeypatch.setattr(grids, "anchors_of", lambda rows: calls.append(len(rows)) or of(rows))
+    y = [14.0 * k for k in range(3000)]
+    block = [{"spans": [{"text": f"w{k}", "font": "", "size": 10.0, "flags": 0, "x0": 54 + 90.0 * c, "y0": v, "x1": 114 + 90.0 * c, "y1": v + 10} for c in range(5)], "bbox": (54.0, v, 474.0, v + 10)} for k, v in enumerate(y)]
+    ((_, table),), used = grids.text_tables([block], 10.0, 612.0)
+    assert len(table["rows"]) == len(used) == len(y) and table["rows"][7] == ["w7"] * 5
+    assert calls == [len(y)]  # once for a table, not for each of its rows
+
+
+def test_columns_of_a_growing_group_are_those_of_all_its_rows():
+    r = random.Random(3)
+    cell = lambda x: grids.Cell((x, 0.0, x + 5, 10.0), "a", False)
+    for _ in range(200):
+        rows = [grids.Row([cell(r.choice([r.uniform(0, 120), 8.0 * r.randint(0, 15)])) for _ in range(r.randint(1, 4))]) for _ in range(12)]
+        columns = grids.Columns(rows[0])
+        for row in rows[1:]:
+            columns.add(row)
+        want = grids.anchors_of(rows)
+        assert np.allclose([s / n for s, n in zip(columns.sum, columns.n, strict=True)], want)
+        for x in range(0, 130, 3):
+            assert columns.holds(x + 0.3) == bool((abs(want - x - 0.3) <= grids.ALIGNED).any())
