@@ -124,17 +124,74 @@ def split_cells(spans: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "cell").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.every("bold").alias("bold"))
 
 
+def floats(column: pa.Array) -> np.ndarray:
+    """Numbers as doubles, null as NaN."""
+    return pc.fill_null(column.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+
+
+def typed(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    return T.StructType([*(df.schema[k] for k in names), *T._parse_datatype_string(more)])
+
+
 def anchors(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Column anchors: means of left sides that follow one another within 8 points, numbered from the left."""
-    w = Window.partitionBy(*keys).orderBy("x0")
-    grouped = islands(cells.select(*keys, "x0"), keys, ["x0"], F.col("x0") - F.lag("x0").over(w) > ANCHOR_GAP, "anchor")
-    return grouped.groupBy(*keys, "anchor").agg((F.sum("x0") / F.count("*")).alias("ax"))
+    """Column anchors: means of left sides that follow one another within 8 points, numbered from the left.
+
+    Sides are dealt and sorted by Spark, once; runs of them are segments of arrays.
+    """
+    schema = typed(cells, keys, "anchor long, ax double")
+
+    def run(b: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        x = floats(b.column("x0"))
+        with np.errstate(invalid="ignore"):
+            first = np.append(True, (page[1:] != page[:-1]) | ~(np.diff(x) <= ANCHOR_GAP))
+            at = np.flatnonzero(first)
+            ax = np.add.reduceat(x, at) / np.diff(np.append(at, len(x)))
+        own = page[at]
+        number = np.arange(len(at)) - heads(own)[own]
+        told = pa.array(ax, mask=pc.is_null(b.column("x0")).to_numpy(zero_copy_only=False)[at])
+        return pa.record_batch([*(b.column(k).take(pa.array(at)) for k in keys), pa.array(number, pa.int64()), told], names=schema.names)
+
+    return by_group(cells.select(*keys, "x0"), keys, ["x0"], run, schema)
 
 
 def nearest_anchor(cells: DataFrame, found: DataFrame, keys: list[str], cell_id: str) -> DataFrame:
-    """For each cell the nearest anchor, the first of equals."""
-    pairs = cells.join(found, keys).withColumn("d", F.abs(F.col("x0") - F.col("ax")))
-    return pairs.groupBy(*keys, cell_id).agg(F.min(F.struct("d", "anchor")).alias("m")).select(*keys, cell_id, F.col("m.anchor").alias("anchor"))
+    """For each cell the nearest anchor, the first of equals; a cell whose side is unknown has the page's first, one without anchors no row.
+
+    Cells and anchors of a page are sorted together by place, so the nearest is the last anchor before a cell or the next
+    one behind it: no cell is paired with all anchors.
+    """
+    schema = typed(cells, [*keys, cell_id], "anchor long")
+    mark = found.select(*keys, F.lit(None).cast(cells.schema[cell_id].dataType).alias(cell_id), F.col("ax").alias("x"), F.col("anchor").cast("long").alias("anchor"))
+    both = cells.select(*keys, cell_id, F.col("x0").cast("double").alias("x"), F.lit(None).cast("long").alias("anchor")).unionByName(mark)
+
+    def run(b: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
+        x, number = floats(b.column("x")), pc.fill_null(b.column("anchor"), -1).to_numpy(zero_copy_only=False)
+        is_anchor, at = number >= 0, np.arange(len(x))
+        least = np.full(page[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, page[is_anchor], number[is_anchor])
+        # of anchors at one place the first counts: anchors come by number, and the later ones are passed over
+        use = np.flatnonzero(is_anchor & ~np.isnan(x))
+        use = use[np.lexsort((number[use], x[use], page[use]))]
+        use = use[np.append(True, (page[use][1:] != page[use][:-1]) | (x[use][1:] != x[use][:-1]))] if len(use) else use
+        cell = np.flatnonzero(~is_anchor & (least[page] < np.iinfo(np.int64).max))
+        best, away = least[page[cell]], np.full(len(cell), np.inf)
+        if len(use):
+            # rows are in order of page and place, so ranks of anchors are found by the place of rows
+            k = np.searchsorted(use, cell)
+            for side in (k - 1, k):
+                other = use[np.clip(side, 0, len(use) - 1)]
+                d = np.where((side >= 0) & (side < len(use)) & (page[other] == page[cell]), np.abs(x[cell] - x[other]), np.inf)
+                nearer = (d < away) | (d == away) & np.isfinite(d) & (number[other] < best)
+                best, away = np.where(nearer, number[other], best), np.where(nearer, d, away)
+        ids = b.column(cell_id).take(pa.array(at[cell]))
+        rank = pc.rank(ids, tiebreaker="dense").to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0, np.int64)
+        order = np.lexsort((best, away, rank, page[cell]))
+        own, r = page[cell][order], rank[order]
+        order = order[np.append(True, (own[1:] != own[:-1]) | (r[1:] != r[:-1]))] if len(order) else order
+        rows = pa.array(cell[order])
+        return pa.record_batch([*(b.column(c).take(rows) for c in (*keys, cell_id)), pa.array(best[order], pa.int64())], names=schema.names)
+
+    return by_group(both, keys, ["x", "anchor"], run, schema)
 
 
 def split_by_heading(blocks: DataFrame, doc: str, level: int) -> DataFrame:

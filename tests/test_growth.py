@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork.functions import rolls
-from leafwork.operators import frames, grids
+from leafwork.operators import frames, grids, ordering, pixels
 from leafwork.plans.registry import QUERIES
+from leafwork.sources import layout
 
 
 def test_journal_of_more_pages_than_an_int_has_sort_keys(spark):
@@ -64,3 +65,35 @@ def test_columns_of_a_growing_group_are_those_of_all_its_rows():
         assert np.allclose([s / n for s, n in zip(columns.sum, columns.n, strict=True)], want)
         for x in range(0, 130, 3):
             assert columns.holds(x + 0.3) == bool((abs(want - x - 0.3) <= grids.ALIGNED).any())
+
+
+def test_visible_parts_read_only_rows_that_an_image_reaches(spark):
+    images = spark.createDataFrame([(1, 0, 1, 0.0, 3.0, 30.0, 9.0), (1, 0, 2, 0.0, 60.0, 9.0, 900.0), (2, 0, 1, 0.0, 72.0, 30.0, 99.0), (3, 0, 1, 9.0, 0.0, 9.0, 9.0)], "book_id long, page_no int, item_no int, x0 double, y0 double, x1 double, y1 double")
+    keys, page = ["book_id", "page_no"], (0.0, 0.0, 612.0, 792.0)
+    rows = pixels.reached(images, page, 48, keys)
+    assert sorted(r.row_no for r in rows.collect()) == list(range(2, 48)) and rows.where("book_id > 1").isEmpty()
+    blank = rows.withColumn("values", F.expr("if(row_no = 4, array(0, 0, 11, 12, 0), array(1, 2))"))
+    (seen,) = pixels.visible(images, blank, page, keys).collect()
+    assert (seen.item_no, seen.x0, seen.y0, seen.x1, seen.y1) == (1, 2.0, 5.0, 7.0, 8.5)
+
+
+def test_nearest_anchor_pairs_no_cell_with_all_anchors(spark):
+    r = random.Random(5)
+    rows = [(r.randint(0, 5), k, r.choice([None, r.uniform(0, 300), float(r.randint(0, 40) * 8)]) if k % 9 == 0 else r.uniform(0, 300)) for k in range(400)]
+    cells = spark.createDataFrame(rows, "book_id long, item_no int, x0 double")
+    found = ordering.anchors(cells.where("x0 is not null"), ["book_id"])
+    means = {}
+    for a in found.collect():
+        means.setdefault(a.book_id, []).append((a.anchor, a.ax))
+    near = ordering.nearest_anchor(cells, found, ["book_id"], "item_no")
+    want = {(b, k): min((0.0 if x is None else abs(x - ax), n) for n, ax in means[b])[1] for b, k, x in rows}
+    assert {(x.book_id, x.item_no): x.anchor for x in near.collect()} == want and near.count() == len(want)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("of", [layout.book_lines, layout.page_rects])
+def test_tasks_follow_the_size_of_a_table(of, spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_BYTES", 500)
+    few = of(spark, sf_dir).rdd.getNumPartitions()
+    monkeypatch.setattr(layout, "TASK_BYTES", 250)
+    assert 8 < few < of(spark, sf_dir).rdd.getNumPartitions()
