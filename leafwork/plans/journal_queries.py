@@ -238,7 +238,7 @@ blocks AS (SELECT book_id, page_no, CAST(row_number() OVER (PARTITION BY book_id
 @query("w5_w6_paragraphs", f"WITH {_PARAGRAPHS} SELECT * FROM blocks")
 def w5_w6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of each synthetic page: book_id, page_no, ord, kind, lines, text."""
-    sized = book_lines(spark, sf_dir).withColumn("size", half_points(F.col("size")))
+    sized = book_lines(spark, sf_dir, together=True).withColumn("size", half_points(F.col("size")))
     keys = ["book_id", "page_no"]
     lines = flow.same_row(sized.select(*keys, "line_no", "text", "size", "bold", "x0", "y0", "x1", "y1"), keys, "line_no")
     whole = lambda c: F.col("parts")[0][c]

@@ -2,6 +2,7 @@
 
 import json
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -91,7 +92,7 @@ def test_nearest_anchor_pairs_no_cell_with_all_anchors(spark):
     assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("of", [layout.book_lines, layout.page_rects])
+@pytest.mark.parametrize("of", [partial(layout.book_lines, together=True), layout.page_rects])
 def test_tasks_follow_the_size_of_a_table(of, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(layout, "TASK_BYTES", 500)
     few = of(spark, sf_dir).rdd.getNumPartitions()
