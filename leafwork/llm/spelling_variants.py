@@ -163,18 +163,23 @@ def paths(words: DataFrame) -> DataFrame:
     return arrow_map(words.select("id", "word"), run, "id long, depth int, parent long, ch int, node long")
 
 
+def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sorting: all tables here grow with the words, and one whose files are small may take many times their size where it is broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def light_edges(words: DataFrame) -> DataFrame:
     """Light edges on the words' paths, with the character of the heavy edge beside each (0: the end): id, depth, heavy."""
     own = paths(words)
     edges = own.groupBy("parent", "node", "ch").agg(F.count("*").alias("size"))
     below = Window.partitionBy("parent").orderBy(F.desc("size"), "ch")
     light = edges.select("node", F.first("ch").over(below).alias("heavy"), F.row_number().over(below).alias("place")).where("place > 1")
-    return own.select("id", "depth", "node").join(light.select("node", "heavy"), "node").select("id", "depth", "heavy")
+    return joined(own.select("id", "depth", "node"), light.select("node", "heavy"), "node").select("id", "depth", "heavy")
 
 
 def edits(words: DataFrame) -> DataFrame:
     """What merging light subtrees asks of each word: the edited words to look up, and the word under an error mark (null: none): word, n, to, mark."""
-    own = light_edges(words).join(words, "id").select(
+    own = joined(light_edges(words), words, "id").select(
         "word", "n", F.expr("left(word, depth)").alias("a"), F.expr("substring(word, depth + 1)").alias("b"), F.expr("substring(word, depth + 2)").alias("c"), F.expr("CASE WHEN heavy > 0 THEN chr(heavy) END").alias("h")
     )
     inner = F.col("b") != ""
@@ -186,7 +191,7 @@ def edits(words: DataFrame) -> DataFrame:
 
 def near(words: DataFrame, asked: DataFrame) -> DataFrame:
     """For each word with words one edit apart: word, n_near, and the most frequent of them as best (minus n, word)."""
-    met = asked.select("word", "n", F.explode("to").alias("to")).join(words.select(F.col("word").alias("to"), F.col("n").alias("to_n")), "to")
+    met = joined(asked.select("word", "n", F.explode("to").alias("to")), words.select(F.col("word").alias("to"), F.col("n").alias("to_n")), "to")
     both = F.array(F.struct("word", F.col("to").alias("by"), F.col("to_n").alias("by_n")), F.struct(F.col("to").alias("word"), F.col("word").alias("by"), F.col("n").alias("by_n")))
     pairs = met.select(F.explode(both).alias("x")).select("x.word", F.lit(1).alias("times"), F.struct((-F.col("x.by_n")).alias("less"), F.col("x.by").alias("by")).alias("best"))
     # Under one mark there is at most one word for each character: two of them say all that is asked.
@@ -206,7 +211,7 @@ def roots(forms: DataFrame) -> DataFrame:
     to = kept(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = to.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = kept(to.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        further = kept(joined(to, on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         dropped(to)
         to = further
         if to.where("moved").isEmpty():
@@ -217,12 +222,12 @@ def group(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     """Variants and their forms, for words (word, n): word, form, root, n, n_near, form_n."""
     own = kept(named(words), "words")
     asked = kept(edits(own), "edits")
-    close = own.select("word", "n").join(near(own, asked), "word", "left")
+    close = joined(own.select("word", "n"), near(own, asked), "word", "left")
     takes = F.coalesce(-F.col("best.less") >= factor * F.col("n"), F.lit(False))
     told = kept(close.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(takes, F.col("best.by")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
     dropped(asked, own)
     chains = roots(told.where("form is not null"))
-    return told.join(chains, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return joined(told, chains, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 ORACLE = r"""

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwork.functions import rolls
+from leafwork.llm import spelling_variants
 from leafwork.operators import frames, grids, ordering, pixels
 from leafwork.plans.registry import QUERIES
 from leafwork.sources import layout
@@ -98,3 +99,13 @@ def test_tasks_follow_the_size_of_a_table(of, spark, sf_dir, monkeypatch):
     few = of(spark, sf_dir).rdd.getNumPartitions()
     monkeypatch.setattr(layout, "TASK_BYTES", 250)
     assert 8 < few < of(spark, sf_dir).rdd.getNumPartitions()
+
+
+def test_words_and_their_edges_are_never_broadcast(spark, monkeypatch):
+    plans, of = [], spelling_variants.saved
+    monkeypatch.setattr(spelling_variants, "saved", lambda df, name: plans.append(df) or of(df, name))
+    words = spark.createDataFrame([("aaaaa", 3), ("aaaab", 6), ("aaabb", 12), ("zzzzz", 3)], "word string, n long")
+    plans.append(spelling_variants.group(words))
+    told = [df._jdf.queryExecution().optimizedPlan().toString() for df in plans]
+    joins = [x for plan in told for x in plan.split("\n") if "Join " in x]
+    assert len(joins) >= 6 and all("strategy=merge" in x for x in joins)
