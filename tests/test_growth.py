@@ -5,13 +5,15 @@ import random
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from leafwork.functions import rolls
+from leafwork.functions import text as T
 from leafwork.llm import spelling_variants
-from leafwork.operators import frames, grids, ordering, pixels
+from leafwork.operators import frames, grids, ordering, pixels, sizes
 from leafwork.plans.registry import QUERIES
 from leafwork.sources import layout
 
@@ -109,3 +111,41 @@ def test_words_and_their_edges_are_never_broadcast(spark, monkeypatch):
     told = [df._jdf.queryExecution().optimizedPlan().toString() for df in plans]
     joins = [x for plan in told for x in plan.split("\n") if "Join " in x]
     assert len(joins) >= 6 and all("strategy=merge" in x for x in joins)
+
+
+def test_line_kinds_lay_out_the_words_once_and_shuffle_none(spark, sf_dir):
+    made = QUERIES["j2_p17_line_kinds"](spark, sf_dir)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("Join ") == 3  # tables of a book and size, none of words
+    shuffled = QUERIES["a1_a13_dominant_size"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in shuffled
+
+
+@pytest.mark.parametrize("most", [40, 1_000_000])
+def test_sizes_of_whole_lines_are_those_of_their_spans(spark, monkeypatch, most):
+    r = random.Random(8)
+    blank = ["", " ", "\u2009\u3000", "a", "\u00a0b c\t", "\x1cd", "\U0001f600e"]
+    rows = [(b, k, ";".join(f"{r.choice(blank)},{r.choice([9.75, 10.0, 10.2, 12.25, 14.0])},{r.randint(0, 3)}" for _ in range(r.randint(1, 7)))) for b in range(3) for k in range(120)]
+    lines = spark.createDataFrame(rows, "book_id long, line_no int, text string").repartition(2)
+
+    def spans_of(batch):
+        spans = [(k, *x.split(",")) for k, t in enumerate(batch.column("text").to_pylist()) for x in t.split(";")]
+        line, text, size, bold = zip(*spans, strict=True)
+        return np.array(line), pa.array(text), np.array(size, float), np.array(bold) != "0"
+
+    monkeypatch.setattr(sizes, "SLICE_BYTES", most)
+    got = sizes.sized_lines(lines, ["book_id", "line_no"], spans_of)
+    flat = lines.select("book_id", "line_no", F.posexplode(F.split("text", ";")).alias("span_no", "s")).select("book_id", "line_no", "span_no", F.split("s", ",").alias("s"))
+    flat = flat.select("book_id", "line_no", "span_no", F.col("s")[0].alias("text"), F.col("s")[1].cast("double").alias("size"), (F.col("s")[2] != "0").alias("bold"))
+    want = sizes.dominant_sizes(flat, ["book_id", "line_no"])
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and 300 < got.count() < 360
+    assert sizes.sized_lines(lines.where("false"), ["book_id"], spans_of).collect() == []
+
+
+def test_strip_is_what_the_pattern_was(spark):
+    r = random.Random(4)
+    odd = [chr(k) for k in range(0x3100) if not chr(k).isalnum()] + ["\ufeff", "\ufffd", "\U0001f600"]
+    texts = [(c + "a" + c + "b" + c,) for c in map(chr, range(1, 0xD800))] + [("".join(r.choice(" \t\n\r\x0b\x85\u2028\u3000xé") if r.random() < 0.7 else r.choice(odd) for _ in range(r.randint(0, 9))),) for _ in range(3000)]
+    rows = spark.createDataFrame([*texts, (None,)], "t string")
+    assert rows.where(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).collect() == []
+    assert "regexp" not in rows.select(T.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
