@@ -47,6 +47,16 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def group_slices(batch: pa.RecordBatch, keys: list[str], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut where a group begins, each part with ``most`` bytes of a text column or little more, or one group."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begins = np.flatnonzero(starts(batch, keys))
+    part = np.append(0, size)[begins] // most
+    cut = begins[np.flatnonzero(np.diff(part, prepend=-1))].tolist()
+    for a, z in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, z - a)
+
+
 def by_group(rows: DataFrame, keys: list[str], order: list[str | Column], run, schema) -> DataFrame:
     """A function of (batch, segment of each row) over whole groups, sorted within; it yields or returns a batch."""
 

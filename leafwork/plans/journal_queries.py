@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +16,9 @@ from leafwork.functions.rolls import find_rolls, loss_cell
 from leafwork.functions.text import half_points
 from leafwork.operators import flow, frames
 from leafwork.operators import journal as J
-from leafwork.operators.grids import text_tables
-from leafwork.operators.segments import by_group, heads
-from leafwork.sources.layout import LINES_SQL, book_lines, table, word_spans
+from leafwork.operators.gridless import Spans, page_tables
+from leafwork.operators.segments import group_slices, heads, starts, whole_groups
+from leafwork.sources.layout import LINES_SQL, book_lines, page_lines, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -210,6 +210,8 @@ def s12_f24_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.journals(_pages(spark, sf_dir)).select("doc_id", "preview")
 
 
+#: Bytes of lines whose words are laid out at once.
+_SLICE_BYTES = 1_000_000
 _BODY, _LEVELS = 10.0, {18.0: 1, 14.0: 2}
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _PARAGRAPHS = LINES_SQL + f""",
@@ -253,27 +255,32 @@ def w7_w10_j14_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     keys = ["book_id", "page_no"]
 
-    def block_of(lines: list[int], numbers: list[int], texts: list[str]) -> list[dict]:
-        block: list[dict] = []
-        for (line, _), own in groupby(zip(lines, numbers, texts, strict=True), key=lambda w: (w[0], w[1] // 5)):
-            y = 14.0 * len(block) + 40.0 * line
-            spans = [{"text": t, "font": "", "size": 10.0, "flags": 0, "x0": 54 + 90.0 * (n % 5), "y0": y, "x1": 114 + 90.0 * (n % 5), "y1": y + 10} for _, n, t in own]
-            block.append({"spans": spans, "bbox": (54.0, y, spans[-1]["x1"], y + 10)})
-        return block
-
-    def run(batch: pa.RecordBatch, page: np.ndarray) -> pa.RecordBatch:
-        first = heads(page).tolist()
-        rows, out = [], []
-        for a, z in zip(first, [*first[1:], len(page)], strict=True):
-            found, used = text_tables([block_of(*(batch.column(c).slice(a, z - a).to_pylist() for c in ("line_no", "span_no", "text")))], 10.0, 612.0)
-            rows += [a] * len(found)
-            out += [(i, len(used), json.dumps(t["rows"], ensure_ascii=False)) for i, (_, t) in enumerate(found)]
-        told = zip(*out, strict=True) if out else ([], [], [])
-        at = pa.array(rows, pa.int64())
-        return pa.record_batch([*(batch.column(k).take(at) for k in keys), *(pa.array(c, t) for c, t in zip(told, (pa.int32(), pa.int32(), pa.string()), strict=True))], names=[*keys, "table_no", "used_lines", "rows"])
-
-    words = word_spans(spark, sf_dir).select(*keys, "line_no", "span_no", "text")
-    return by_group(words, keys, ["line_no", "span_no"], run, "book_id long, page_no int, table_no int, used_lines int, rows string")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines, words = np.cumsum(starts(batch, keys)) - 1, pc.split_pattern(batch.column("text"), " ")
+        count, line_no = pc.list_value_length(words).to_numpy(zero_copy_only=False), batch.column("line_no").to_numpy().astype(np.int64)
+        line = np.repeat(np.arange(len(count)), count)
+        page, no, text = lines[line], np.arange(len(line)) - (np.cumsum(count) - count)[line], words.flatten()
+        line = line_no[line]
+        if ((np.diff(page) == 0) & (np.diff(line) < 1) & (np.diff(no) != 1)).any():  # documents of one number make one page
+            order = np.lexsort((no, line, page))
+            page, line, no, text = page[order], line[order], no[order], text.take(pa.array(order))
+        row = np.cumsum(np.append(True, (np.diff(page) != 0) | (np.diff(line) != 0) | (np.diff(no // 5) != 0))[: len(page)]) - 1
+        first = heads(row)
+        y = 14.0 * (row - row[heads(page)][page]) + 40.0 * line
+        x = 54 + 90.0 * (no % 5)
+        found, used = page_tables(Spans(page, page, row, text, x, y, x + 60, y + 10, np.full(len(x), 10.0), np.zeros(len(x), bool)), 10.0, 612.0)
+        told = np.array([p for p, _, _ in found], np.int64)
+        lines_used = np.bincount(page[first[used]], minlength=lines[-1] + 1)[told]
+        at = pa.array(heads(lines)[told])
+        number = np.arange(len(told)) - np.searchsorted(told, told)
+        rows = map(json.JSONEncoder(ensure_ascii=False).encode, (t["rows"] for _, _, t in found))
+        return pa.record_batch([*(batch.column(k).take(at) for k in keys), pa.array(number, pa.int32()), pa.array(lines_used, pa.int32()), pa.array(rows, pa.string())], names=[*keys, "table_no", "used_lines", "rows"])
+
+    def each(batches):
+        for batch in whole_groups(batches, keys):
+            yield from map(run, group_slices(batch, keys, "text", _SLICE_BYTES))
+
+    return page_lines(spark, sf_dir).mapInArrow(each, "book_id long, page_no int, table_no int, used_lines int, rows string")
 
 
 _TIDY = _PARAGRAPHS + f""",

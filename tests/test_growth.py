@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from leafwork.functions import rolls
 from leafwork.functions import text as T
 from leafwork.llm import spelling_variants
-from leafwork.operators import frames, grids, ordering, pixels, sizes
+from leafwork.operators import frames, gridless, grids, ordering, pixels, segments, sizes
+from leafwork.plans import journal_queries
 from leafwork.plans.registry import QUERIES
 from leafwork.sources import layout
 
@@ -149,3 +150,91 @@ def test_strip_is_what_the_pattern_was(spark):
     rows = spark.createDataFrame([*texts, (None,)], "t string")
     assert rows.where(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).collect() == []
     assert "regexp" not in rows.select(T.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def drawn_page(r: random.Random, tidy: bool) -> list[list[dict]]:
+    """Blocks of lines in columns: tidy ones seldom leave one out, others overlap, jump and stand side by side."""
+    word = lambda: r.choice(["a", "b c", "12", "+3", "1D6", "x" * 31, "y" * 161, "FOR", "50", "\xad", " ", "a\xadb", "t\tu", "\xa0v ", "\x1cw", "\u3000", "\u00e9"])
+    stat = lambda k: r.choice(["FOR", "CON", "DES"]) if k % 2 == 0 else r.choice(["50", "80", "+3"])
+    blocks = []
+    for _ in range(1 if tidy else r.choice([1, 2, 3])):
+        left, y, lines = r.choice([54.0, 120.0]), r.choice([40.0, 47.0]), []
+        for _ in range(r.randint(1, 14)):
+            spans, stats, columns = [], r.random() < 0.2, r.choice([1, 2, 4, 5, 5, 16])
+            if columns == 1 and r.random() < 0.7:
+                columns, below = 5, r.randint(0, 4)
+            else:
+                below = None
+            for k in range(columns):
+                if (below is not None and k != below) or r.random() < (0.03 if tidy else 0.15):
+                    continue
+                x = left + (60.0 if columns < 9 else 20.0) * (k if tidy or r.random() < 0.9 else r.randint(0, 5)) + (r.choice([0, 0, 0, 2, 5.5]) if tidy else r.choice([0, 4, 7.5, 8, 8.5]))
+                top = y if tidy else y + r.choice([0, 0, 3.5, 6])
+                wide, high = r.choice([10.0, 30.0, 45.0, 3.0 if tidy else 52.0]), 10.0 if tidy else r.choice([10.0, 10.0, 0.5, 30.0])
+                wide = -5.0 if not tidy and r.random() < 0.01 else wide
+                text = stat(k) if stats else word() if not tidy or r.random() < 0.2 else r.choice(["a", "12", "b c"])
+                spans.append({"text": text, "font": "", "size": r.choice([10.0, 0.0, 14.25]), "flags": 16 if r.random() < (0.2 if lines else 0.9) else 0, "x0": x, "y0": top, "x1": x + wide, "y1": top + high})
+            if spans:
+                lines.append({"spans": spans})
+            y += r.choice([11.0, 12.0, 14.0, 14.0, 26.5, 40.0] if tidy else [0.0, 3.0, 12.0, 14.0, 26.0, 26.5, -20.0])
+        if lines:
+            blocks.append(lines)
+    return blocks
+
+
+@pytest.mark.parametrize("tidy", [True, False])
+def test_tables_of_many_pages_are_those_of_each(monkeypatch, tidy):
+    r, apart, tables, of = random.Random(11), [], 0, gridless.table_of
+    monkeypatch.setattr(gridless, "table_of", lambda *a: apart.append(made := of(*a)) or made)
+    for _ in range(250):
+        pages = [p for _ in range(r.randint(1, 5)) if (p := drawn_page(r, tidy))]
+        where = [(p, b, k) for p, blocks in enumerate(pages) for b, lines in enumerate(blocks) for k in range(len(lines))]
+        block = np.cumsum([k == 0 for _, _, k in where]) - 1
+        spans = [(p, block[n], n, s["text"], s["x0"], s["y0"], s["x1"], s["y1"], s["size"], s["flags"] > 0) for n, (p, b, k) in enumerate(where) for s in pages[p][b][k]["spans"]]
+        if not spans:
+            continue
+        found, used = gridless.page_tables(gridless.Spans(*(pa.array(c, pa.string()) if n == 3 else np.array(c) for n, c in enumerate(zip(*spans, strict=True)))), 10.0, 612.0)
+        for p, blocks in enumerate(pages):
+            want = grids.text_tables(blocks, 10.0, 612.0)
+            assert ([f[1:] for f in found if f[0] == p], {where[n][1:] for n in used if where[n][0] == p}) == want
+            tables += len(want[0])
+    assert tables > 300 and (not tidy or tables - sum(t is not None for t in apart) > 0.6 * tables)
+
+
+def test_blanks_of_texts_are_those_of_python():
+    assert {c for c in map(chr, range(0xD800)) if c.isspace()} == set(T.BLANKS + "\x1c\x1d\x1e\x1f")
+
+
+@pytest.mark.parametrize("most", [50, 1_000_000])
+def test_gridless_tables_of_documents_shuffle_no_words(spark, tmp_path, monkeypatch, most):
+    r = random.Random(6)
+    words = ["a", "bb", "FOR", "50", "CON", "60", "", "\t", "x" * 40, '"q\\', "\u00e9", "\x01", "c\xadc", "DES", "70", "STR", "80"]
+    texts = ["\n".join(" ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 5, 8, 10, 11, 26]))) for _ in range(r.randint(0, 6))) for _ in range(60)]
+    docs = [*enumerate(texts), (-7, texts[3]), (None, "a b c d e f g"), (None, None), (70, None), (71, ""), (72, texts[4]), (72, texts[4])]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(journal_queries, "_SLICE_BYTES", most)
+    made = QUERIES["w7_w10_j14_text_tables"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == plan.count("Repartition") == 1 and plan.index("Generate") < plan.index("Repartition")  # texts are dealt, then split
+    got = {}
+    for x in made.collect():
+        got.setdefault((x.book_id, x.page_no), []).append((x.table_no, x.used_lines, x.rows))
+    pages, want = {}, {}
+    for doc, text in docs:
+        key = (None, None) if doc is None else (int(doc / 10), doc - 10 * int(doc / 10))
+        pages.setdefault(key, []).extend((k, n, t) for k, line in enumerate(text.split("\n") if text is not None else ()) for n, t in enumerate(line.split(" ")))
+    for key, spans in pages.items():
+        block = []
+        for k, n in sorted({(k, n // 5) for k, n, _ in spans}):
+            y = 14.0 * len(block) + 40.0 * k
+            block.append({"spans": [{"text": t, "font": "", "size": 10.0, "flags": 0, "x0": 54 + 90.0 * (m % 5), "y0": y, "x1": 114 + 90.0 * (m % 5), "y1": y + 10} for j, m, t in sorted(spans) if (j, m // 5) == (k, n)]})
+        found, used = grids.text_tables([block], 10.0, 612.0)
+        if found:
+            want[key] = [(n, len(used), json.dumps(t["rows"], ensure_ascii=False)) for n, (_, t) in enumerate(found)]
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 30
+
+
+def test_batches_are_cut_where_groups_begin():
+    batch = pa.record_batch({"k": [1, 1, 2, 3, 3, 4], "text": ["aa", "aa", "aaaaaaaaa", None, "a", "a"]})
+    cut = lambda most: [b.column("k").to_pylist() for b in segments.group_slices(batch, ["k"], "text", most)]
+    assert cut(5) == [[1, 1, 2], [3, 3, 4]] and cut(100) == [[1, 1, 2, 3, 3, 4]] and cut(1) == [[1, 1], [2], [3, 3], [4]]
