@@ -25,6 +25,8 @@ _BLANK = f"[{BLANKS}\x1c-\x1f]"
 _NAMES = pa.array(ABBREVIATIONS)
 #: Distances this near a bound are left to the exact functions.
 _SLACK = 1e-6
+#: Lines at a row's height that are looked at in one go.
+_MOST_BELOW = 16
 
 
 @dataclass
@@ -258,6 +260,8 @@ def _many_pages(s: Spans, raw: pa.Array, body: float, width: float, odd: np.ndar
     many = np.flatnonzero((plain & (size > 1))[run])
     low, high = (_ranks(lone_page, y0[lone], cp[many], y, side) for y, side in ((cy1[many] - 1, False), (cy1[many] + BELOW_LAST * ch[many], True)))
     pairs = np.maximum(high - low, 0)
+    below[run[many[pairs > _MOST_BELOW]]] = True  # so that pairs grow with the rows
+    pairs[pairs > _MOST_BELOW] = 0
     which = np.repeat(np.arange(len(many)), pairs)
     other = lone[low[which] + np.arange(len(which)) - (np.cumsum(pairs) - pairs)[which]]
     sums = np.add.reduceat(x[order], column_at) / (column_end - column_at)

@@ -182,10 +182,11 @@ def drawn_page(r: random.Random, tidy: bool) -> list[list[dict]]:
     return blocks
 
 
-@pytest.mark.parametrize("tidy", [True, False])
-def test_tables_of_many_pages_are_those_of_each(monkeypatch, tidy):
+@pytest.mark.parametrize(("tidy", "most"), [(True, gridless._MOST_BELOW), (True, 0), (False, gridless._MOST_BELOW)])
+def test_tables_of_many_pages_are_those_of_each(monkeypatch, tidy, most):
     r, apart, tables, of = random.Random(11), [], 0, gridless.table_of
     monkeypatch.setattr(gridless, "table_of", lambda *a: apart.append(made := of(*a)) or made)
+    monkeypatch.setattr(gridless, "_MOST_BELOW", most)
     for _ in range(250):
         pages = [p for _ in range(r.randint(1, 5)) if (p := drawn_page(r, tidy))]
         where = [(p, b, k) for p, blocks in enumerate(pages) for b, lines in enumerate(blocks) for k in range(len(lines))]
@@ -198,7 +199,7 @@ def test_tables_of_many_pages_are_those_of_each(monkeypatch, tidy):
             want = grids.text_tables(blocks, 10.0, 612.0)
             assert ([f[1:] for f in found if f[0] == p], {where[n][1:] for n in used if where[n][0] == p}) == want
             tables += len(want[0])
-    assert tables > 300 and (not tidy or tables - sum(t is not None for t in apart) > 0.6 * tables)
+    assert tables > 300 and (not tidy or not most or tables - sum(t is not None for t in apart) > 0.6 * tables)
 
 
 def test_blanks_of_texts_are_those_of_python():
