@@ -202,6 +202,18 @@ def test_tables_of_many_pages_are_those_of_each(monkeypatch, tidy, most):
     assert tables > 300 and (not tidy or not most or tables - sum(t is not None for t in apart) > 0.6 * tables)
 
 
+def test_columns_that_drift_or_hold_two_cells_of_a_row_are_told_one_at_a_time():
+    span = lambda x, y, wide=9.0: {"text": f"w{x:.0f}", "font": "", "size": 1.0, "flags": 0, "x0": x, "y0": y, "x1": x + wide, "y1": y + 10}
+    drift = [[span(x + 7.0 * k, 40.0 + 12 * k) for x in (54.0, 300.0)] for k in range(8)]
+    double = [[span(54.0, 40.0 + 12 * k, 1.0), span(61.5, 40.0 + 12 * k), span(200.0, 40.0 + 12 * k)] for k in range(4)]
+    for lines in (drift, double):
+        want, used = grids.text_tables([[{"spans": own} for own in lines]], 10.0, 612.0)
+        rows = [(0, 0, k, s["text"], s["x0"], s["y0"], s["x1"], s["y1"], s["size"], False) for k, own in enumerate(lines) for s in own]
+        found, numbers = gridless.page_tables(gridless.Spans(*(pa.array(c, pa.string()) if n == 3 else np.array(c) for n, c in enumerate(zip(*rows, strict=True)))), 10.0, 612.0)
+        assert [f[1:] for f in found] == want and {(0, n) for n in numbers} == used and want
+    assert len(want[0][1]["rows"][0]) == 2  # two cells in the first column
+
+
 def test_blanks_of_texts_are_those_of_python():
     assert {c for c in map(chr, range(0xD800)) if c.isspace()} == set(T.BLANKS + "\x1c\x1d\x1e\x1f")
 
